@@ -1,0 +1 @@
+"""End-to-end pipelines composed from the operators."""

@@ -1,0 +1 @@
+"""Left empty on purpose: the analytics in scope are batch only (see README)."""
