@@ -1,3 +1,4 @@
 """Importing this module registers every query."""
 
 import parity.spell_queries  # noqa: F401
+import parity.survival_queries  # noqa: F401
