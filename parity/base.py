@@ -60,6 +60,7 @@ def present(df: DataFrame, spec: str) -> DataFrame:
 def present_sql(body: str, spec: str) -> str:
     out = []
     for name, kind in _fields(spec):
+        name = f'"{name}"'
         if kind == "s":
             c = f"CAST({name} AS VARCHAR)"
         elif kind == "d":

@@ -77,9 +77,9 @@ def near_duplicates(values: DataFrame, column: str) -> DataFrame:
     left, right = shortened.alias("l"), shortened.alias("r")
     swapped = left.join(
         right, (F.col("l.i") == F.col("r.i")) & (F.col("l.rest") == F.col("r.rest")) & (F.col("l.v") < F.col("r.v"))
-    ).select(F.col("l.v").alias("left"), F.col("r.v").alias("right"))
+    ).select(F.col("l.v").alias("first_value"), F.col("r.v").alias("second_value"))
     grown = shortened.select(F.col("v").alias("long"), "rest").distinct().join(
         distinct.select(F.col("v").alias("short")), F.col("rest") == F.col("short")
-    ).select(F.least("long", "short").alias("left"), F.greatest("long", "short").alias("right"))
+    ).select(F.least("long", "short").alias("first_value"), F.greatest("long", "short").alias("second_value"))
     return swapped.unionByName(grown).distinct()
 

@@ -209,10 +209,10 @@ def common_window(tables: dict[str, DataFrame]) -> DataFrame:
 
 def reference_rate(child: DataFrame, parent: DataFrame, key: str, name: str, threshold: float = P.REFERENTIAL_THRESHOLD) -> DataFrame:
     """Share of child rows whose key exists in the parent, counted over distinct keys first."""
-    keys = child.groupBy(key).agg(F.count("*").alias("k"))
+    keys = child.groupBy(key).agg(F.count("*").alias("_k"))
     known = parent.select(F.col(key).alias("_key"), F.lit(True).alias("_known")).filter(F.col("_key").isNotNull()).distinct()
     matched = keys.join(known, F.col(key) == F.col("_key"), "left")
-    n, hit = F.sum("k"), F.coalesce(F.sum(F.when(F.col("_known"), F.col("k"))), F.lit(0))
+    n, hit = F.sum("_k"), F.coalesce(F.sum(F.when(F.col("_known"), F.col("_k"))), F.lit(0))
     return matched.agg(F.lit(name).alias("check"), n.alias("n_total"), (n - hit).alias("n_bad"), (hit / n).alias("match_rate"),
                        (hit / n >= threshold).alias("passed"))
 
