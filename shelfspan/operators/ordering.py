@@ -19,7 +19,7 @@ RANGES = 1024
 
 def _cuts(df: DataFrame, value: str, ranges: int) -> Column:
     """Ascending cut points as a scalar array of at most ``ranges`` - 1 numbers."""
-    probabilities = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
+    probabilities = F.expr("array(" + ", ".join(f"{i / ranges!r}D" for i in range(1, ranges)) + ")")
     return df.agg(F.percentile_approx(value, probabilities, ranges * 8).alias("cuts")).scalar()
 
 

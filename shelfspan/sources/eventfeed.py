@@ -151,6 +151,13 @@ class EventFeed:
             F.col("sold").cast("double").alias("units_sold"), F.col("lost").cast("double").alias("lost_units"),
         ))
 
+    @cached_property
+    def ledger_with_inbound(self) -> DataFrame:
+        return infer_receipts(self.walk.select(
+            *PAIR, "date", F.col("stock").cast("double").alias("store_stock"),
+            F.col("sold").cast("double").alias("units_sold"), F.col("inbound").cast("double").alias("intransit_stock"),
+        ))
+
     @cached_property
     def spells(self) -> DataFrame:
         return build_spells(self.ledger)
