@@ -88,19 +88,23 @@ def quantiles(
     )
 
 
-def rank_all(df: DataFrame, value: str, alias: str, descending: bool = False, method: str = "min",
-             ranges: int = RANGES) -> DataFrame:
-    """Rank over the whole table: ``min``, ``average`` or ``pct`` (average over n); null for null."""
-    placed = positions(df, value, ranges=ranges)
-    n = df.agg(F.count(value).alias("n")).scalar()
-    first = (n - F.col("before") - F.col("ties")) if descending else F.col("before")
-    if method == "min":
-        rank = first + 1
-    else:
-        rank = first + (F.col("ties") + 1) / 2
+def rank_all(df: DataFrame, ranks: dict[str, tuple[str, bool, str]], ranges: int = RANGES) -> DataFrame:
+    """Ranks over the whole table, null for null values.
+
+    ``ranks`` maps an output column to (value column, descending, method) with method
+    ``min``, ``average`` or ``pct`` (average over n).  Every rank reads ``df`` itself, so
+    materialise it first when it is costly.
+    """
+    out = df
+    for alias, (value, descending, method) in ranks.items():
+        placed = positions(df, value, ranges=ranges)
+        n = df.agg(F.count(value).alias("n")).scalar()
+        first = (n - F.col("before") - F.col("ties")) if descending else F.col("before")
+        rank = first + 1 if method == "min" else first + (F.col("ties") + 1) / 2
         if method == "pct":
             rank = rank / n
-    return df.join(placed.select(value, rank.alias(alias)), value, "left")
+        out = out.join(placed.select(value, rank.alias(alias)), value, "left")
+    return out
 
 
 def ordered_pairs(df: DataFrame, time_code: str, value: str, starts: str, weight: str, codes: int,
