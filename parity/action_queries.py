@@ -136,7 +136,7 @@ def _hist(feed):
 POPULATION = "positions:i p_stockout_mean:f positions_likely_out:i expected_days_out_mean:f expected_unmet_units:f1"
 POPULATION_SQL = """
 SELECT count(*) AS positions, avg(mc_p_stockout) AS p_stockout_mean, count(*) FILTER (WHERE mc_p_stockout >= 0.5) AS positions_likely_out,
-       avg(mc_expected_days_out) AS expected_days_out_mean, sum(round(mc_expected_days_out * trailing_demand_rate, 1)) AS expected_unmet_units
+       avg(mc_expected_days_out) AS expected_days_out_mean, sum(round(CAST(mc_expected_days_out * trailing_demand_rate AS DECIMAL(18, 9)), 1)) AS expected_unmet_units
 FROM {sums} JOIN {rows} USING (store_id, sku_uid)"""
 
 
