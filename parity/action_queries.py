@@ -259,7 +259,7 @@ SELECT m.*, e0 * trailing_demand_rate AS loss, CASE WHEN m1 > 0 THEN greatest((e
 FROM moved_rows m JOIN arm_wide USING (store_id, sku_uid))
 """)
 cte("recs", """
-SELECT *, round(loss, 2) AS baseline_expected_lost_units, round(best_saved, 2) AS expected_units_saved, round(best, 2) AS expected_net_value, round(best_saved * avg_price * 0.4, 2) AS expected_margin_protected,
+SELECT *, round(CAST(loss AS DECIMAL(18, 9)), 2) AS baseline_expected_lost_units, round(CAST(best_saved AS DECIMAL(18, 9)), 2) AS expected_units_saved, round(CAST(best AS DECIMAL(18, 9)), 2) AS expected_net_value, round(CAST(best_saved * avg_price * 0.4 AS DECIMAL(18, 9)), 2) AS expected_margin_protected,
        CASE WHEN recommended_action = 'rebalance_from_store' THEN rebalance_donor ELSE '' END AS donor FROM (
 SELECT *, CASE WHEN coalesce(v3, -1) > greatest(coalesce(v1, 0), 0) THEN 'expedite_from_supplier' WHEN coalesce(v1, 0) > 0 THEN 'rebalance_from_store' ELSE 'no_action' END AS recommended_action,
        CASE WHEN coalesce(v3, -1) > greatest(coalesce(v1, 0), 0) THEN v3 WHEN coalesce(v1, 0) > 0 THEN v1 ELSE 0 END AS best,
@@ -278,7 +278,7 @@ def recommended(feed, costs=None, margin=P.MARGIN_RATE):
 
 
 @query("lever_value", "store_id:s sku_uid:s baseline_expected_lost_units:f2 rebalance_from_store_value:f2 expedite_from_supplier_value:f2",
-       "SELECT *, v1 AS rebalance_from_store_value, v3 AS expedite_from_supplier_value FROM recs")
+       "SELECT *, round(CAST(v1 AS DECIMAL(18, 9)), 2) AS rebalance_from_store_value, round(CAST(v3 AS DECIMAL(18, 9)), 2) AS expedite_from_supplier_value FROM recs")
 def _values(feed):
     return recommended(feed)
 

@@ -51,6 +51,15 @@ def quantile(p: float) -> float:
     return NormalDist().inv_cdf(p)
 
 
+def standardised(t: Column, mu: Column, sigma: float) -> Column:
+    """Where ln t stands above the mean; -40 (survival one) at or before zero."""
+    return F.when(t > 0, (F.log(t) - mu) / F.lit(sigma)).otherwise(F.lit(-40.0))
+
+
 def lognormal_survival(t: Column, mu: Column, sigma: float) -> Column:
-    """P(T > t) for ln T ~ N(mu, sigma); 1 at or before zero."""
-    return F.when(t > 0, cdf((mu - F.log(t)) / F.lit(sigma))).otherwise(F.lit(1.0))
+    """P(T > t) for ln T ~ N(mu, sigma); 1 at or before zero.
+
+    The argument is bound once: written out it would be copied into every term of the
+    rational form and outgrow generated code.
+    """
+    return F.get(F.transform(F.array(standardised(t, mu, sigma)), lambda z: cdf(-z)), F.lit(0))

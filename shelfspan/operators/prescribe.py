@@ -84,7 +84,8 @@ def lever_values(feasible: DataFrame, project: Projector, horizon: int, unit_cos
     costs = {**P.LEVER_COSTS, **(unit_costs or {})}
     columns = {P.REBALANCE: ("rebalance_units", "rebalance_days"), P.EXPEDITE_DC: ("dc_available", "expedite_dc_days"),
                P.EXPEDITE_SUPPLIER: ("supplier_available", "expedite_supplier_days")}
-    price = F.coalesce("avg_price", quantiles(feasible, "avg_price", {"m": 0.5}).scalar()) if "avg_price" in feasible.columns else F.lit(1.0)
+    # prices are catalogue price points, so the exact median holds few distinct values
+    price = F.coalesce("avg_price", feasible.agg(F.median("avg_price").alias("m")).scalar()) if "avg_price" in feasible.columns else F.lit(1.0)
     need = F.ceil(F.greatest(F.col("trailing_demand_rate") * horizon - F.col("start_stock"), F.lit(0.0)))
     base = cut_lineage(feasible.withColumns({
         "_price": price, **{f"_moved_{n}": F.least(F.greatest(F.col(u), F.lit(0.0)), need.cast("double")) for n, (u, _) in columns.items()}
@@ -116,10 +117,12 @@ def recommend(valued: DataFrame, margin: float = P.MARGIN_RATE) -> DataFrame:
         wins = F.coalesce(F.col(f"_value_{name}") > value, F.lit(False))
         action, saved = F.when(wins, F.lit(name)).otherwise(action), F.when(wins, F.col(f"_saved_{name}")).otherwise(saved)
         value = F.when(wins, F.col(f"_value_{name}")).otherwise(value)
+    # float noise is settled before halves are rounded
+    settled = lambda c: F.round(F.round(c, 9), 2)
     out = valued.withColumns({
-        "baseline_expected_lost_units": F.round("_loss", 2), **{f"{n}_value": F.round(f"_value_{n}", 2) for n in LEVERS},
-        "recommended_action": action, "expected_units_saved": F.round(saved, 2), "expected_net_value": F.round(value, 2),
-        "expected_margin_protected": F.round(saved * F.col("_price") * margin, 2),
+        "baseline_expected_lost_units": settled(F.col("_loss")), **{f"{n}_value": settled(F.col(f"_value_{n}")) for n in LEVERS},
+        "recommended_action": action, "expected_units_saved": settled(saved), "expected_net_value": settled(value),
+        "expected_margin_protected": settled(saved * F.col("_price") * margin),
     })
     donor = F.when(F.col("recommended_action") == P.REBALANCE, F.col("rebalance_donor")).otherwise("")
     return out.withColumn("rebalance_donor", donor).drop(*[c for c in out.columns if c.startswith("_")])

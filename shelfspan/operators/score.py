@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from shelfspan import params as P
+from shelfspan.functions import normal
 from shelfspan.functions.values import clip
 from shelfspan.operators.ordering import quantiles, rank_all
 from shelfspan.session import cut_lineage
@@ -23,30 +24,40 @@ REPORT = [
 
 
 def _placed(frame: DataFrame, model) -> DataFrame:
-    start = model.survival(F.col("elapsed_days").cast("double"), F.col("_mu"))
-    return frame.withColumn("_mu", model.mu()).withColumn("_start", F.greatest(start, F.lit(SURVIVED_FLOOR)))
+    """Linear predictor and survival so far, floored."""
+    so_far = normal.standardised(F.col("elapsed_days").cast("double"), F.col("_mu"), model.sigma)
+    return frame.withColumn("_mu", model.mu()).withColumn("_z0", so_far).withColumn(
+        "_start", F.greatest(normal.cdf(-F.col("_z0")), F.lit(SURVIVED_FLOOR))
+    )
+
+
+def _lost(z: Column) -> Column:
+    """Chance of having run out by then, given survival so far."""
+    return clip(1 - normal.cdf(-z) / F.col("_start"), 0.0, 1.0)
 
 
-def _lost(model, ahead: Column) -> Column:
-    """Chance of having run out ``ahead`` days from now, given survival so far."""
-    return clip(1 - model.survival(F.col("elapsed_days") + ahead, F.col("_mu")) / F.col("_start"), 0.0, 1.0)
+def _ahead(model, days: Column) -> Column:
+    return normal.standardised(F.col("elapsed_days") + days, F.col("_mu"), model.sigma)
 
 
 def conditional_risk(frame: DataFrame, model, horizons=P.HORIZONS) -> DataFrame:
-    risks = {f"p_stockout_{h}d": _lost(model, F.lit(float(h))) for h in horizons}
-    return _placed(frame, model).withColumns(risks).drop("_mu", "_start")
+    placed = _placed(frame, model).withColumns({f"_z{h}": _ahead(model, F.lit(float(h))) for h in horizons})
+    risks = placed.withColumns({f"p_stockout_{h}d": _lost(F.col(f"_z{h}")) for h in horizons})
+    return risks.drop("_mu", "_start", "_z0", *[f"_z{h}" for h in horizons])
 
 
 def expected_days_out(frame: DataFrame, model, horizon: int) -> DataFrame:
     """Days expected without stock over the horizon if nothing arrives."""
-    total = F.aggregate(F.sequence(F.lit(1), F.lit(horizon)), F.lit(0.0), lambda acc, u: acc + _lost(model, u.cast("double")))
-    return _placed(frame, model).withColumn("expected_days_out", total).drop("_mu", "_start")
+    days = F.transform(F.sequence(F.lit(1), F.lit(horizon)), lambda u: _ahead(model, u.cast("double")))
+    total = F.aggregate(days, F.lit(0.0), lambda acc, z: acc + _lost(z))
+    return _placed(frame, model).withColumn("expected_days_out", total).drop("_mu", "_start", "_z0")
 
 
 def rank_positions(frame: DataFrame, model, horizon: int = 14, horizons=P.HORIZONS) -> DataFrame:
     """Risk, expected loss in units and money, and the three ranks."""
     scored = expected_days_out(conditional_risk(frame, model, horizons), model, horizon)
-    price = F.coalesce("avg_price", quantiles(frame, "avg_price", {"m": 0.5}).scalar())
+    # prices are catalogue price points, so the exact median holds few distinct values
+    price = F.coalesce("avg_price", frame.agg(F.median("avg_price").alias("m")).scalar())
     lost = scored.withColumn("expected_lost_units", F.col("expected_days_out") * F.greatest("trailing_demand_rate", F.lit(0.0)))
     lost = lost.withColumn("expected_lost_revenue", F.col("expected_lost_units") * price)
     return rank_all(cut_lineage(lost), {
