@@ -222,7 +222,7 @@ FROM past_rows r LEFT JOIN store_dim s ON s.store_id = r.store_id LEFT JOIN po O
 
 
 def feasible(feed):
-    positions = past_positions(feed)
+    positions = past_positions(feed)  # materialised: read by donors and by the context
     ready = X.serving_context(positions, feed.store_dim.select("store_id", "dc_id"), feed.pending_orders)
     levers = feed.spark.createDataFrame([("dc", "WH_AFRICA", 3.0), ("dc", "WH_ASIA", 2.0), ("vendor", "V1", 9.0)], "kind string, id string, expedite_days double")
     return X.feasibility(ready, donors_of(feed, positions, scoring_day(feed)), feed.store_dim, levers=levers)

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from shelfspan.session import cut_lineage
+
 RANGES = 1024
 
 
@@ -39,14 +41,18 @@ def with_range(df: DataFrame, value: str, ranges: int = RANGES, name: str = "_ra
     )
 
 
-def positions(df: DataFrame, value: str, by: list[str] | None = None, ranges: int = RANGES) -> DataFrame:
-    """One row per distinct value: ``ties`` and the number of rows ``before`` it.
+def value_counts(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
+    """One row per distinct value with its ``ties``, written once: what follows reads it several times."""
+    return cut_lineage(df.filter(F.col(value).isNotNull()).groupBy(*(by or []), value).agg(F.count("*").alias("ties")))
+
+
+def positions(distinct: DataFrame, value: str, by: list[str] | None = None, ranges: int = RANGES) -> DataFrame:
+    """The number of rows ``before`` each distinct value of ``value_counts``.
 
     Equal values are combined before anything is shuffled by range, so a value holding a
     third of all rows is one row here.
     """
     by = by or []
-    distinct = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("ties"))
     ranged = with_range(distinct, value, ranges)
     totals = ranged.groupBy(*by, "_range").agg(F.sum("ties").alias("_in_range"))
     before_range = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
@@ -64,8 +70,9 @@ def quantiles(
 ) -> DataFrame:
     """Exact linearly interpolated quantiles, one output column per name."""
     by = by or []
-    placed = positions(df, value, by, ranges)
-    total = df.filter(F.col(value).isNotNull()).groupBy(*by).agg(F.count("*").alias("_n"))
+    distinct = value_counts(df, value, by)
+    placed = positions(distinct, value, by, ranges)
+    total = distinct.groupBy(*by).agg(F.sum("ties").alias("_n"))
     if by:
         placed = placed.join(total, by)
     else:
@@ -97,8 +104,9 @@ def rank_all(df: DataFrame, ranks: dict[str, tuple[str, bool, str]], ranges: int
     """
     out = df
     for alias, (value, descending, method) in ranks.items():
-        placed = positions(df, value, ranges=ranges)
-        n = df.agg(F.count(value).alias("n")).scalar()
+        distinct = value_counts(df, value)
+        placed = positions(distinct, value, ranges=ranges)
+        n = distinct.agg(F.sum("ties").alias("n")).scalar()
         first = (n - F.col("before") - F.col("ties")) if descending else F.col("before")
         rank = first + 1 if method == "min" else first + (F.col("ties") + 1) / 2
         if method == "pct":

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from shelfspan import params as P
+from shelfspan.session import cut_lineage
 
 UNSTRATIFIED = "_all"
 
@@ -154,6 +155,8 @@ def bias_curve(observed: DataFrame, counterfactual: DataFrame) -> DataFrame:
 def km_bias(observed: DataFrame, counterfactual: DataFrame) -> DataFrame:
     """One row: medians, their gap, the largest vertical gap and where it sits."""
     stockout = F.col("end_reason") == P.END_STOCKOUT
+    # two columns and one row per pair, read many times below
+    observed, counterfactual = [cut_lineage(arm.select("duration", "end_reason")) for arm in (observed, counterfactual)]
     curve = bias_curve(observed, counterfactual)
     peak = curve.agg(
         F.max(F.struct(F.abs("difference").alias("size"), (-F.col("t")).alias("back"), F.col("difference").alias("signed"))).alias("p")
