@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 
@@ -18,6 +17,7 @@ def local_session(cores: str = "*", app: str = "shelfspan", partitions: int = 8)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", os.environ.get("SHELFSPAN_DRIVER_MEMORY", "12g"))
         .getOrCreate()
     )
@@ -26,17 +26,12 @@ def local_session(cores: str = "*", app: str = "shelfspan", partitions: int = 8)
 
 
 def _checkpoint_dir_ready(spark: SparkSession) -> None:
+    """The session's ``spark.checkpoint.dir``; where it is unset, a folder in the warehouse,
+    which executors reach as they reach managed tables."""
     context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isDefined():
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        if not context.master.startswith("local"):
-            raise RuntimeError(
-                "spark.checkpoint.dir is not set: iterative jobs need a folder every executor can reach"
-            )
-        shared = tempfile.mkdtemp(prefix="shelfspan-checkpoint-")
-    context.setCheckpointDir(shared)
+    if context.getCheckpointDir() is None:
+        warehouse = spark.conf.get("spark.sql.warehouse.dir")
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{warehouse}/_checkpoints")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
