@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfspan.llm.packing import POSTINGS_AT_ONCE, bucket_of, bucket_rows, grouped, pack, pack_sorted, read_row, unpack, unpack_sorted
+from shelfspan.llm.packing import ANSWER, BLOCK, POSTINGS_AT_ONCE, answer, bucket_of, grouped, pack, pack_sorted, posted, summed, unpack, unpack_sorted
 from shelfspan.llm.trie import WIDTH, Shard, built
 from shelfspan.llm.words import Words, chunks, mixed, row_key, shuffle_width
 from shelfspan.session import cut_lineage
@@ -23,33 +23,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 MOST_WORDS = 1 << 20
 #: A context word that follows many tokens is spread over at most so many shards.
 MOST_SALTS = 64
-_FIELDS = ["hashes", "places", "times", "keys"]
-
-
-def _posted(make, place):
-    """Postings ``make`` finds in a batch (value, row, times, keys) leave in blocks per ``place``."""
-
-    def block(parts):
-        value, key, times = (np.concatenate(x) for x in zip(*parts))
-        names, text = np.unique(key, return_inverse=True)
-        bucket = place(value)
-        order = np.lexsort((text, value, bucket))
-        rows = list(bucket_rows(value[order], text[order], times[order], names, bucket[order]))
-        return pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), *[pa.array([r[c] for _, r in rows], pa.binary()) for c in _FIELDS]], ["bucket", *_FIELDS])
-
-    def run(batches):
-        parts, held = [], 0
-        for batch in batches:
-            for part in make(batch):
-                parts.append(part)
-                held += len(part[0])
-                if held >= POSTINGS_AT_ONCE:
-                    yield block(parts)
-                    parts, held = [], 0
-        if held:
-            yield block(parts)
-
-    return run
 
 
 def _words(batch):
@@ -58,29 +31,52 @@ def _words(batch):
     for low, high, data, offsets in chunks(batch.column("text")):
         w = Words(data, offsets, lower=True)
         text, value, times = grouped(w.text, w.hash)
-        yield value, keys[low + text], times * 2 + train[low + text]
+        yield value, text, times * 2 + train[low + text], keys[low:high], None
 
 
 def _unigrams(cut: int):
+    """Exact counts of a bucket's words, and what they add to the texts of each block.
+
+    Rows of kind 1 are words that keep their identity, of kind 2 sums over the others; rows
+    with a block answer it: log counts of all words, of rare ones, known and rare words.
+    """
+    names = ["kind", "id", "mass", "count", "block", "keys", "sums"]
+    kinds = [pa.int32(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.binary())]
+
+    def rows(kind, name, mass, count):
+        n = len(name)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind), pa.int32()), pa.array(name, pa.int64()), pa.array(mass, pa.float64()), pa.array(count, pa.int64()),
+                                           *[pa.nulls(n, k) for k in kinds[4:]]], names)
+
+    def replied(batch):
+        return pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), *[pa.nulls(1, k) for k in kinds[1:4]], *batch.columns], names)
+
     def run(batches):
-        rows = [read_row(*(r[c] for c in _FIELDS)) for batch in batches for r in batch.to_pylist()]
-        if not rows:
+        held = []
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["keys"] is not None:
+                    yield replied(answer(row["block"], row["keys"], []))
+                else:
+                    held.append(row)
+        if not held:
             return
-        known, count = grouped(np.concatenate([r[0] for r in rows]), weight=np.concatenate([(r[2] >> 1) * (r[2] & 1) for r in rows]))
-        rare = count[(count > 0) & (count < cut)]
-        often = count >= cut
-        out = [([2], [0], [float((rare + 0.5).sum())], [int((count > 0).sum())], [0.0], [0])]
-        out.append((np.ones(often.sum(), int), known[often].view(np.int64), np.zeros(often.sum()), count[often], np.zeros(often.sum()), np.zeros(often.sum(), int)))
-        for value, place, times, keys in rows:
-            c, times = count[np.searchsorted(known, value)], times >> 1
-            log = times * np.log10(c + 0.5)
-            low = c < cut
-            total = lambda x: np.bincount(place, x, len(keys))  # noqa: E731, B023
-            whole = lambda x: total(x).astype(np.int64)
-            out.append((np.zeros(len(keys), int), keys, total(log), whole(times * (c > 0)), total(log * low), whole(times * low)))
-        for kind, name, a, b, r, m in out:
-            yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(name, pa.int64()), pa.array(a, pa.float64()), pa.array(b, pa.int64()),
-                                              pa.array(r, pa.float64()), pa.array(m, pa.int64())], ["kind", "id", "log", "known", "rare_log", "rare"])
+        value, count = [], []
+        for row in held:
+            times = unpack(row["times"], np.uint32).astype(np.int64)
+            v, c = grouped(unpack_sorted(row["hashes"]), weight=(times >> 1) * (times & 1))
+            value.append(v)
+            count.append(c)
+        known, count = grouped(np.concatenate(value), weight=np.concatenate(count))
+        rare, often = count[(count > 0) & (count < cut)], count >= cut
+        yield rows(2, [0], [float((rare + 0.5).sum())], [int((count > 0).sum())])
+        yield rows(1, known[often].view(np.int64), np.zeros(often.sum()), count[often])
+        for row in held:
+            place, times = unpack(row["places"], np.uint32), unpack(row["times"], np.uint32).astype(np.int64) >> 1
+            c = count[np.searchsorted(known, unpack_sorted(row["hashes"]))]
+            log, low = times * np.log10(c + 0.5), c < cut
+            sums = [np.bincount(place, x) for x in (log, log * low, times * (c > 0), times * low)]
+            yield replied(answer(row["block"], None, [x.astype(k) for x, k in zip(sums, ("<f4", "<f4", "<u4", "<u4"))]))
 
     return run
 
@@ -183,7 +179,7 @@ def _asked(classes):
         keys = batch.column("key").to_numpy()
         for low, high, data, offsets in chunks(batch.column("text")):
             text, value, times = grouped(*classes.value.triples(Words(data, offsets, lower=True), high - low))
-            yield value.astype(np.uint64), keys[low + text], times
+            yield value.astype(np.uint64), text, times, keys[low:high], None
 
     return make
 
@@ -200,13 +196,16 @@ def _answered(classes):
                 if row["trie"] is not None:
                     shard = Shard(row["trie"])
                     continue
-                value, place, times, keys = read_row(*(row[f] for f in _FIELDS))
+                if row["keys"] is not None:
+                    yield answer(row["block"], row["keys"], [])
+                    continue
+                value, place, times = unpack_sorted(row["hashes"]), unpack(row["places"], np.uint32), unpack(row["times"], np.uint32)
                 asked, back = np.unique(value.astype(np.int64), return_inverse=True)
                 follow, context = asked % WIDTH, asked // WIDTH
                 log = c.log_single[follow]
                 if shard is not None:
                     log = shard.log10(context % WIDTH, context // WIDTH, follow, log)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.bincount(place, log[back] * times, len(keys)))], ["key", "log"])
+                yield answer(row["block"], None, [np.bincount(place, log[back] * times).astype(np.float32)])
 
     return run
 
@@ -230,24 +229,22 @@ def language_scores(documents: DataFrame, held_out: Column) -> DataFrame:
     words, ends = int(learned["words"] or 0), int(learned["texts"] or 0)
     cut = max(2, -(-words // MOST_WORDS))
 
-    schema = "bucket int, hashes binary, places binary, times binary, keys binary"
-    spread = texts.select("key", "held_out", "text").mapInArrow(_posted(_words, lambda v: bucket_of(v, width)), schema).repartition(width, "bucket")
-    found = spread.mapInArrow(_unigrams(cut), "kind int, id long, log double, known long, rare_log double, rare long")
-    found = cut_lineage(found.groupBy("kind", "id").agg(*[F.sum(c).alias(c) for c in ("log", "known", "rare_log", "rare")]))
-    often = found.filter("kind = 1").select("id", "known").toPandas()
-    totals = found.filter("kind = 2").first()
-    rare_mass, distinct = (float(totals["log"]), int(totals["known"]) + (ends > 0)) if totals else (0.0, int(ends > 0))
-    classes = spark.sparkContext.broadcast(Classes(often["id"].to_numpy(np.int64).view(np.uint64), often["known"].to_numpy(np.int64), words, ends, width))
+    spread = texts.select("key", "held_out", "text").sortWithinPartitions("key").mapInArrow(posted(_words, lambda v: bucket_of(v, width), width), BLOCK)
+    found = cut_lineage(spread.repartition(width, "bucket").mapInArrow(_unigrams(cut), "kind int, id long, mass double, count long, " + ANSWER))
+    often = found.filter("kind = 1").select("id", "count").toPandas()
+    totals = found.filter("kind = 2").agg(F.sum("mass").alias("mass"), F.sum("count").alias("count")).first()
+    rare_mass, distinct = float(totals["mass"] or 0), int(totals["count"] or 0) + (ends > 0)
+    classes = spark.sparkContext.broadcast(Classes(often["id"].to_numpy(np.int64).view(np.uint64), often["count"].to_numpy(np.int64), words, ends, width))
 
     counted = texts.filter("NOT held_out").select("text").mapInArrow(_counts(classes), "bucket int, triples binary, triples_n binary, pairs binary, pairs_n binary")
     trie = cut_lineage(counted.repartition(width, "bucket").mapInArrow(_built(classes), "bucket int, trie binary"))
-    asked = texts.select("key", "text").mapInArrow(_posted(_asked(classes), lambda v: classes.value.shard(v.astype(np.int64) // WIDTH)), schema)
-    both = asked.select("bucket", F.lit(None).cast("binary").alias("trie"), *_FIELDS).unionByName(
-        trie.select("bucket", "trie", *[F.lit(None).cast("binary").alias(f) for f in _FIELDS]))
+    asked = texts.select("key", "text").sortWithinPartitions("key").mapInArrow(posted(_asked(classes), lambda v: classes.value.shard(v.astype(np.int64) // WIDTH), width), BLOCK)
+    both = asked.withColumn("trie", F.lit(None).cast("binary")).unionByName(trie, allowMissingColumns=True)
     placed = both.repartition(width, "bucket").sortWithinPartitions("bucket", F.col("trie").isNull())
-    model = placed.mapInArrow(_answered(classes), "key long, log double").groupBy("key").agg(F.sum("log").alias("model"))
+    model = summed(placed.mapInArrow(_answered(classes), ANSWER), width, {"model": "f4"}).groupBy("key").agg(F.sum("model").alias("model"))
 
-    own = found.filter("kind = 0").select(F.col("id").alias("key"), "log", "known", "rare_log", "rare")
+    own = summed(found.filter("kind = 0").select("block", "keys", "sums"), width, {"log": "f4", "rare_log": "f4", "known": "u4", "rare": "u4"})
+    own = own.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("log", "rare_log", "known", "rare")])
     n = F.col("n_words") + 1
     each = lambda c: F.coalesce(F.col(c) / F.col("copies"), F.lit(0.0))
     base = each("log") + float(np.log10(ends + 0.5)) - n * float(np.log10(words + ends + 0.5 * (distinct + 1)))

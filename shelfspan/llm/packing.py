@@ -1,19 +1,23 @@
 """Word postings packed by hash bucket, so that a shuffle moves a few dense blocks.
 
 A task gathers (text, word, times) for some megabytes of texts, sorts them by word and
-writes one row per bucket: sorted hashes as byte-sliced differences, places in a list of
-text keys, and optionally the distinct words themselves.  Texts are named by content keys,
-so a task that runs again after a lost executor may batch them otherwise without harm.
+writes one row per bucket: sorted hashes as byte-sliced differences, places in the block's
+list of texts, and optionally the distinct words themselves.  Answers go back per block, as
+one array over its texts.  A block is named by its texts' content keys; partitions are read
+in order of those keys, so a task that runs again after a lost executor makes equal blocks.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import zstandard
+from pyspark.sql import DataFrame
 
-POSTINGS_AT_ONCE = 2_000_000
+POSTINGS_AT_ONCE = 1_000_000
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -71,3 +75,91 @@ def bucket_rows(value: np.ndarray, text: np.ndarray, times: np.ndarray, keys: np
 
 def read_row(hashes: bytes, places: bytes, times: bytes, keys: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return unpack_sorted(hashes), unpack(places, np.uint32).astype(np.int64), unpack(times, np.uint32).astype(np.int64), np.frombuffer(keys, np.int64)
+
+
+BLOCK_FIELDS = ["hashes", "places", "times", "words", "keys"]
+BLOCK = "bucket int, block long, hashes binary, places binary, times binary, words binary, keys binary"
+
+
+def posted(make, place, buckets: int):
+    """``make`` gives (value, row, times, keys, words) for parts of a batch; they leave in blocks.
+
+    ``words`` tells the bytes of the postings at some places, or is None.  A block has a row
+    per bucket of ``place``, and one with its keys.
+    """
+
+    def block(parts, keys):
+        value, text, times = (np.concatenate(x) for x in zip(*[p[:3] for p in parts]))
+        owner = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
+        inner = np.concatenate([np.arange(len(p[0])) for p in parts])
+        bucket = place(value)
+        order = np.lexsort((text, value, bucket))
+        value, text, times, bucket = value[order], text[order], times[order], bucket[order]
+        keys = np.concatenate(keys).tobytes()
+        name = int.from_bytes(hashlib.blake2b(keys, digest_size=8).digest(), "little", signed=True)
+        rows = [(name % buckets, None, None, None, None, keys)]
+        edges = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1))
+        for low, high in zip(edges[:-1], edges[1:]):
+            held, words = value[low:high], None
+            if parts[0][4] is not None:
+                first = order[low + np.flatnonzero(np.diff(held, prepend=~held[:1]) != 0)]
+                words = zstandard.ZstdCompressor(level=3).compress(b"\n".join([parts[owner[i]][4](inner[i]) for i in first]))
+                held = (np.diff(held, prepend=~held[:1]) != 0).astype(np.uint8)
+                hashes = pack(held)
+            else:
+                hashes = pack_sorted(held)
+            rows.append((int(bucket[low]), hashes, pack(text[low:high].astype(np.uint32)), pack(times[low:high].astype(np.uint32)), words, None))
+        buckets_of, *fields = zip(*rows)
+        return pa.RecordBatch.from_arrays([pa.array(buckets_of, pa.int32()), pa.array([name] * len(rows), pa.int64()), *[pa.array(f, pa.binary()) for f in fields]],
+                                          ["bucket", "block", *BLOCK_FIELDS])
+
+    def run(batches):
+        parts, keys, texts, held = [], [], 0, 0
+        for batch in batches:
+            for value, row, times, key, words in make(batch):
+                parts.append((value, row + texts, times, None, words))
+                keys.append(key)
+                texts, held = texts + len(key), held + len(value)
+                if held >= POSTINGS_AT_ONCE:
+                    yield block(parts, keys)
+                    parts, keys, texts, held = [], [], 0, 0
+        if texts:
+            yield block(parts, keys)
+
+    return run
+
+
+def answer(block: int, keys: bytes | None, sums: list[np.ndarray]) -> pa.RecordBatch:
+    """One row: a block's keys, or arrays with a value for each of its first texts."""
+    kinds = [x.dtype.str for x in sums]
+    assert all(k in ("<f4", "<u4") for k in kinds)
+    return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([keys], pa.binary()), pa.array([[pack(x) for x in sums]], pa.list_(pa.binary()))], ["block", "keys", "sums"])
+
+
+ANSWER = "block long, keys binary, sums array<binary>"
+
+
+def summed(answers: DataFrame, width: int, columns: dict[str, str]) -> DataFrame:
+    """``key`` and the sums over a block's answers, a row per text; ``columns``: name to f4 or u4."""
+    schema = "key long, " + ", ".join(f"{n} {'double' if k == 'f4' else 'long'}" for n, k in columns.items())
+
+    def run(batches):
+        keys: dict[int, np.ndarray] = {}
+        totals: dict[int, list[np.ndarray]] = {}
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["keys"] is not None:
+                    # Equal blocks (repeated rows) have equal keys: the sums of both are there.
+                    keys[row["block"]] = np.frombuffer(row["keys"], np.int64)
+                    continue
+                each = totals.setdefault(row["block"], [np.zeros(0, float if k == "f4" else np.int64) for k in columns.values()])
+                for i, kind in enumerate(columns.values()):
+                    more = unpack(row["sums"][i], np.dtype(kind)).astype(each[i].dtype)
+                    if len(more) > len(each[i]):
+                        each[i], more = more, each[i]
+                    each[i] = each[i] + np.pad(more, (0, len(each[i]) - len(more)))
+        for name, key in keys.items():
+            each = totals.get(name, [np.zeros(0, float if k == "f4" else np.int64) for k in columns.values()])
+            yield pa.RecordBatch.from_arrays([pa.array(key), *[pa.array(np.pad(x, (0, len(key) - len(x)))) for x in each]], ["key", *columns])
+
+    return answers.repartition(width, "block").mapInArrow(run, schema)
