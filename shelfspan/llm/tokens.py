@@ -3,63 +3,32 @@
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfspan.llm.packing import POSTINGS_AT_ONCE, bucket_of, bucket_rows, grouped, read_row
+from shelfspan.llm.packing import ANSWER, BLOCK, answer, bucket_of, posted, summed, unpack
 from shelfspan.llm.words import Words, chunks, row_key, shuffle_width
 
 #: Words of one call of the tokenizer.
 AT_ONCE = 20_000
 
 
-def _postings(buckets: int):
-    """Per bucket: distinct words of some texts and how often each text holds them."""
-
-    def block(parts, keys):
-        value, text, times = (np.concatenate(x) for x in zip(*[p[:3] for p in parts]))
-        source = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
-        spot = np.concatenate([p[3] for p in parts])
-        order = np.lexsort((text, value))
-        value, text, times, source, spot = value[order], text[order], times[order], source[order], spot[order]
-        bucket = bucket_of(value, buckets)
-        new = np.flatnonzero(np.diff(value, prepend=~value[:1]) != 0) if len(value) else []
-        of_bucket = bucket[new]
-        words = [parts[source[i]][4].word(spot[i]) for i in new]
-        keys = np.concatenate(keys)
-        out = {}
-        for b, row in bucket_rows(value, text, times, keys, bucket):
-            low, high = np.searchsorted(of_bucket, [b, b + 1])
-            out[b] = row | {"words": zstandard.ZstdCompressor(level=1).compress(b"\n".join(words[low:high]))}
-        names = ["hashes", "places", "times", "keys", "words"]
-        return pa.RecordBatch.from_arrays([pa.array(list(out), pa.int32()), *[pa.array([r[c] for r in out.values()], pa.binary()) for c in names]], ["bucket", *names])
-
-    def run(batches):
-        parts, keys, texts, held = [], [], 0, 0
-        for batch in batches:
-            key = batch.column("key").to_numpy()
-            for low, high, data, offsets in chunks(batch.column("text")):
-                w = Words(data, offsets)
-                order = np.lexsort((w.text, w.hash))
-                h, t = w.hash[order], w.text[order]
-                first = np.flatnonzero((np.diff(h, prepend=~h[:1]) != 0) | (np.diff(t, prepend=-1) != 0)) if len(h) else np.zeros(0, np.int64)
-                times = np.diff(np.append(first, len(h)))
-                parts.append((h[first], t[first] + texts, times, order[first], w))
-                keys.append(key[low:high])
-                texts, held = texts + high - low, held + len(first)
-                if held >= POSTINGS_AT_ONCE:
-                    yield block(parts, keys)
-                    parts, keys, texts, held = [], [], 0, 0
-        if held:
-            yield block(parts, keys)
-
-    return run
+def _words(batch):
+    """Distinct words of each text and how often it holds them."""
+    key = batch.column("key").to_numpy()
+    for low, high, data, offsets in chunks(batch.column("text")):
+        w = Words(data, offsets)
+        order = np.lexsort((w.hash, w.text))
+        value, text = w.hash[order], w.text[order]
+        first = np.flatnonzero((np.diff(value, prepend=~value[:1]) != 0) | (np.diff(text, prepend=-1) != 0)) if len(w) else np.zeros(0, np.int64)
+        start, length, raw = w.start[order[first]], w.length[order[first]], data.tobytes()
+        times = np.diff(np.append(first, len(value)))
+        yield value[first], text[first], times, key[low:high], lambda i, s=start, n=length, raw=raw: raw[s[i] : s[i] + n[i]]
 
 
 def _counted(tokenizer_json: str):
-    """Tokens that each text gets from the words of this task's buckets."""
+    """Tokens that the texts of a block get from the words of a bucket."""
 
     def run(batches):
         import os
@@ -73,17 +42,19 @@ def _counted(tokenizer_json: str):
         known: dict[bytes, int] = {}
         for batch in batches:
             for row in batch.to_pylist():
+                if row["keys"] is not None:
+                    yield answer(row["block"], row["keys"], [])
+                    continue
                 words = zstandard.ZstdDecompressor().decompress(row["words"]).split(b"\n")
                 fresh = [w for w in words if w not in known]
                 for i in range(0, len(fresh), AT_ONCE):
                     some = fresh[i : i + AT_ONCE]
                     encoded = tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)
                     known.update(zip(some, map(len, encoded)))
-                value, place, times, keys = read_row(row["hashes"], row["places"], row["times"], row["keys"])
                 pieces = np.array([known[w] for w in words], np.int64)
-                which = np.cumsum(np.diff(value, prepend=~value[:1]) != 0) - 1
-                total = np.bincount(place, pieces[which] * times, len(keys)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(total)], ["key", "n"])
+                which = np.cumsum(unpack(row["hashes"], np.uint8), dtype=np.int64) - 1
+                total = np.bincount(unpack(row["places"], np.uint32), pieces[which] * unpack(row["times"], np.uint32))
+                yield answer(row["block"], None, [total.astype(np.uint32)])
 
     return run
 
@@ -100,8 +71,9 @@ def token_counts(documents: DataFrame, tokenizer_json: str, limit: int = 2048) -
     width = shuffle_width(documents.sparkSession)
     keyed = documents.select("doc_id", "text", row_key("doc_id", "text").alias("key"))
     rows = keyed.groupBy("key").agg(F.first("doc_id").alias("doc_id"), F.max(F.coalesce(F.octet_length("text"), F.lit(0))).cast("long").alias("n_bytes"), F.count("*").alias("copies"))
-    packed = keyed.select("key", "text").mapInArrow(_postings(width), "bucket int, hashes binary, places binary, times binary, keys binary, words binary")
-    found = packed.repartition(width, "bucket").mapInArrow(_counted(tokenizer_json), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    packed = keyed.select("key", "text").sortWithinPartitions("key").mapInArrow(posted(_words, lambda v: bucket_of(v, width), width), BLOCK)
+    answers = packed.repartition(width, "bucket").mapInArrow(_counted(tokenizer_json), ANSWER)
+    found = summed(answers, width, {"n": "u4"}).groupBy("key").agg(F.sum("n").alias("n"))
     tokens = F.coalesce(F.expr("n div copies"), F.lit(0))
     return rows.join(found, "key", "left").select("doc_id", "n_bytes", tokens.alias("n_tokens"), (tokens > limit).alias("over_limit"),
                                                   F.explode(F.expr("array_repeat(0, cast(copies AS int))")).alias("_")).drop("_")
