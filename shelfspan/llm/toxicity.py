@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfspan.llm.words import _LOWER, _POW, Words, chunks, mixed
+from shelfspan.session import cut_lineage
 
 BITS = 20
 #: Beginnings of words, in bytes, that are features beside whole words.
@@ -32,13 +33,33 @@ def _features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return (code >> np.uint64(BITS)).astype(np.int64), (code & np.uint64((1 << BITS) - 1)).astype(np.int64)
 
 
-def _listed(batches):
+def _seen(batches):
+    """How many toxic and other texts have each feature."""
     for batch in batches:
+        toxic = batch.column("toxic").to_numpy() == 1
         for low, high, data, offsets in chunks(batch.column("text")):
             text, feature = _features(data, offsets)
-            cut = np.searchsorted(text, np.arange(high - low + 1))
-            lists = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(feature, pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(low, high - low), batch.column("toxic").slice(low, high - low), lists], ["doc_id", "toxic", "features"])
+            number, place = np.unique(feature, return_inverse=True)
+            mine = toxic[low + text]
+            yield pa.RecordBatch.from_arrays([pa.array(number.astype(np.int32)), *[pa.array(np.bincount(place[x], minlength=len(number))) for x in (mine, ~mine)]],
+                                             ["feature", "seen", "around"])
+
+
+def _listed(used: np.ndarray):
+    """The used features of each text, as their places in ``used``."""
+
+    def run(batches):
+        for batch in batches:
+            for low, high, data, offsets in chunks(batch.column("text")):
+                text, feature = _features(data, offsets)
+                place = np.minimum(np.searchsorted(used, feature), max(len(used) - 1, 0))
+                held = used[place] == feature if len(used) else np.zeros(len(text), bool)
+                cut = np.searchsorted(text[held], np.arange(high - low + 1))
+                packed = [place[held][a:b].astype(np.int32).tobytes() for a, b in zip(cut[:-1], cut[1:])]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(low, high - low), batch.column("toxic").slice(low, high - low), pa.array(packed, pa.binary())],
+                                                 ["doc_id", "toxic", "features"])
+
+    return run
 
 
 class Classifier:
@@ -54,20 +75,22 @@ class Classifier:
         self.weight = np.zeros(1 << BITS, np.float32)
         self.bias = float(np.log(self.prior / (1 - self.prior)))
 
+    def choose(self, feature: np.ndarray, seen: np.ndarray, around: np.ndarray, toxic: int, others: int) -> Classifier:
+        """Keep the features that toxic texts have more often, scaled by the log of how much."""
+        lift = np.log((seen + 0.5) / (toxic + 1)) - np.log((around + 0.5) / (others + 1))
+        order = np.argsort(feature)
+        keep = order[(seen >= self.least)[order] & (lift > 0.3)[order]]
+        self.used, self.scale = feature[keep].astype(np.int64), np.clip(lift[keep], 0, 4)
+        return self
+
     def fit(self, toxic: list[np.ndarray], unlabelled: list[np.ndarray]) -> Classifier:
+        """``toxic`` and ``unlabelled``: places of the used features in each text."""
         if not toxic or not unlabelled:
             return self
-        rate = lambda rows: np.bincount(np.concatenate(rows), minlength=1 << BITS)
-        seen, around = rate(toxic), rate(unlabelled)
-        lift = np.log((seen + 0.5) / (len(toxic) + 1)) - np.log((around + 0.5) / (len(unlabelled) + 1))
-        scale = np.where(seen >= self.least, np.clip(lift, 0, 4), 0.0)
-        used = np.flatnonzero(scale > 0.3)
-        number = np.full(1 << BITS, -1)
-        number[used] = np.arange(len(used))
-        rows = [x[x >= 0] for x in (number[r] for r in [*toxic, *unlabelled])]
+        used, scale, rows = self.used, self.scale, [*toxic, *unlabelled]
         sizes = np.array([len(r) for r in rows])
         flat, owner = np.concatenate(rows), np.repeat(np.arange(len(rows)), sizes)
-        x = scale[used][flat]
+        x = scale[flat]
         n_p, n = len(toxic), len(rows)
         w, b = np.zeros(len(used)), self.bias
         m, v = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
@@ -87,7 +110,7 @@ class Classifier:
             m, v = 0.9 * m + 0.1 * whole, 0.999 * v + 0.001 * whole**2
             move = self.rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
             w, b = np.maximum(w - move[:-1], 0), b - move[-1]
-        self.weight[used], self.bias = scale[used] * w, float(b)
+        self.weight[used], self.bias = scale * w, float(b)
         return self
 
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -110,10 +133,15 @@ def toxicity(documents: DataFrame, labels: DataFrame, held_out: Column, threshol
     pick = lambda df, n: df.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     chosen = pick(free.filter("toxic = 1"), MOST_TOXIC).withColumn("toxic", F.lit(1)).unionByName(
         pick(documents.filter(F.col("doc_id").isNotNull() & ~held_out), MOST_UNLABELLED).withColumn("toxic", F.lit(0)))
-    sample = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")
-    rows = sample.mapInArrow(_listed, "doc_id long, toxic int, features array<int>").orderBy("doc_id", "toxic").toPandas()
-    of = lambda kind: [np.asarray(x, np.int64) for x in rows.loc[rows["toxic"] == kind, "features"]]
-    model = Classifier(float(prior)).fit(of(1), of(0))
+    sample = cut_lineage(documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text"))
+    count = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
+    model = Classifier(float(prior))
+    seen = sample.mapInArrow(_seen, "feature int, seen long, around long").groupBy("feature").agg(F.sum("seen").alias("seen"), F.sum("around").alias("around"))
+    seen = seen.filter(F.col("seen") >= model.least).toPandas()
+    model.choose(*(seen[c].to_numpy() for c in ("feature", "seen", "around")), count.get(1, 0), count.get(0, 0))
+    rows = sample.mapInArrow(_listed(model.used), "doc_id long, toxic int, features binary").orderBy("doc_id", "toxic", "features").toPandas()
+    of = lambda kind: [np.frombuffer(x, np.int32) for x in rows.loc[rows["toxic"] == kind, "features"]]
+    model.fit(of(1), of(0))
 
     def run(batches):
         for batch in batches:
