@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfspan.llm.packing import POSTINGS_AT_ONCE, bucket_of, pack, pack_sorted, unpack, unpack_sorted
+from shelfspan.llm.packing import BLOCK, bucket_of, pack, posted, unpack, unpack_sorted
 from shelfspan.llm.words import Words, chunks, row_key, shuffle_width, windows
 
 PERIOD = 31
@@ -18,43 +18,6 @@ PERIOD = 31
 COVER = (1, 5, 11, 24, 25, 27)
 _IN_COVER = np.isin(np.arange(PERIOD), COVER)
 _LAST = np.iinfo(np.int64).max
-_POSTINGS = "bucket int, hashes binary, places binary, spots binary, keys binary, docs binary"
-
-
-def _blocks(parts: list, buckets: int):
-    """Postings (hash, key, doc, place in text) as one packed row per bucket."""
-    value, key, doc, spot = (np.concatenate(x) for x in zip(*parts))
-    order = np.lexsort((key, value))
-    value, key, doc, spot = value[order], key[order], doc[order], spot[order]
-    bucket = bucket_of(value, buckets)
-    edges = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1))
-    rows = []
-    for low, high in zip(edges[:-1], edges[1:]):
-        names, first, place = np.unique(key[low:high], return_index=True, return_inverse=True)
-        rows.append((int(bucket[low]), pack_sorted(value[low:high]), pack(place.astype(np.uint32)), pack(spot[low:high].astype(np.uint32)),
-                     names.tobytes(), doc[low:high][first].tobytes()))
-    names = ["bucket", "hashes", "places", "spots", "keys", "docs"]
-    kinds = [pa.int32()] + [pa.binary()] * 5
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
-
-
-def _gather(emit, buckets: int):
-    """``emit`` gives postings of a batch; they leave in blocks."""
-
-    def run(batches):
-        parts, held = [], 0
-        for batch in batches:
-            for part in emit(batch):
-                if len(part[0]):
-                    parts.append(part)
-                    held += len(part[0])
-                if held >= POSTINGS_AT_ONCE:
-                    yield _blocks(parts, buckets)
-                    parts, held = [], 0
-        if held:
-            yield _blocks(parts, buckets)
-
-    return run
 
 
 def _ids(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -78,7 +41,7 @@ def _anchors(n: int):
             place, left = _inner(w, high - low)
             gram = windows(w.hash, size)
             at = np.flatnonzero((left[: len(gram)] >= size) & _IN_COVER[place[: len(gram)] % PERIOD])
-            yield gram[at], keys[low + w.text[at]], docs[low + w.text[at]], place[at]
+            yield gram[at], w.text[at], place[at], keys[low:high], docs[low:high]
 
     return emit
 
@@ -101,44 +64,70 @@ def _windows(n: int):
                 np.add.at(edge, begin[i] + spots + 1, -1)
             near = np.cumsum(edge[: len(gram)]) > 0
             at = np.flatnonzero(near & (left[: len(gram)] >= n))
-            yield gram[at], keys[low + w.text[at]], docs[low + w.text[at]], place[at]
+            yield gram[at], w.text[at], place[at], keys[low:high], docs[low:high]
 
     return emit
 
 
 def _settle(kept):
-    """Per bucket: postings of values that pass ``kept(doc, least, most)``, gathered per text."""
+    """Postings of values that pass ``kept(doc, least, most)``, as packed places and spots per block."""
 
     def run(batches):
-        value, key, doc, spot = [], [], [], []
+        held, value, doc = [], [], []
         for batch in batches:
             for row in batch.to_pylist():
+                if row["keys"] is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array([row["block"]]), pa.array([row["keys"]]), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary())],
+                                                     ["block", "keys", "places", "spots"])
+                    continue
                 place = unpack(row["places"], np.uint32)
                 value.append(unpack_sorted(row["hashes"]))
-                spot.append(unpack(row["spots"], np.uint32))
-                key.append(np.frombuffer(row["keys"], np.int64)[place])
-                doc.append(np.frombuffer(row["docs"], np.int64)[place])
-        if not value:
+                doc.append(unpack(row["more"], np.int64)[np.unique(place, return_inverse=True)[1]])
+                held.append((row["block"], row["places"], row["times"]))
+        if not held:
             return
-        value, key, doc, spot = (np.concatenate(x) for x in (value, key, doc, spot))
+        size = np.cumsum([len(v) for v in value])
+        value, doc = np.concatenate(value), np.concatenate(doc)
         order = np.argsort(value, kind="stable")
-        value, key, doc, spot = value[order], key[order], doc[order], spot[order]
-        first = np.flatnonzero(np.diff(value, prepend=~value[:1]) != 0)
-        size = np.diff(np.append(first, len(value)))
-        least, most = np.repeat(np.minimum.reduceat(doc, first), size), np.repeat(np.maximum.reduceat(doc, first), size)
+        first = np.flatnonzero(np.diff(value[order], prepend=~value[order][:1]) != 0)
+        times = np.diff(np.append(first, len(value)))
+        least, most = np.empty_like(doc), np.empty_like(doc)
+        least[order], most[order] = np.repeat(np.minimum.reduceat(doc[order], first), times), np.repeat(np.maximum.reduceat(doc[order], first), times)
         good = kept(doc, least, most)
-        key, spot = key[good], spot[good]
-        order = np.lexsort((spot, key))
-        key, spot = key[order], spot[order]
-        edges = np.flatnonzero(np.append(np.diff(key, prepend=~key[:1]) != 0, True)) if len(key) else []
-        for i in range(0, len(edges) - 1, 20_000):
-            some = edges[i : i + 20_001]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(key[some[:-1]]), pa.array([pack(spot[a:b]) for a, b in zip(some[:-1], some[1:])], pa.binary())], ["key", "spots"])
+        for (block, places, spots), mine in zip(held, np.split(good, size[:-1])):
+            if mine.any():
+                packed = [pack(unpack(x, np.uint32)[mine]) for x in (places, spots)]
+                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.nulls(1, pa.binary()), *[pa.array([x]) for x in packed]], ["block", "keys", "places", "spots"])
 
     return run
 
 
+def _per_text(batches):
+    """The spots of each text, from the answers to its block."""
+    keys: dict[int, bytes] = {}
+    found: dict[int, list] = {}
+    for batch in batches:
+        for row in batch.to_pylist():
+            if row["keys"] is not None:
+                keys[row["block"]] = row["keys"]
+            else:
+                found.setdefault(row["block"], []).append((row["places"], row["spots"]))
+    for block, parts in found.items():
+        place, spot = (np.concatenate([unpack(p[i], np.uint32) for p in parts]) for i in range(2))
+        order = np.lexsort((spot, place))
+        place, spot = place[order], spot[order]
+        edges = np.flatnonzero(np.diff(place.astype(np.int64), prepend=-1, append=-1))
+        key = np.frombuffer(keys[block], np.int64)[place[edges[:-1]]]
+        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array([pack(spot[a:b]) for a, b in zip(edges[:-1], edges[1:])], pa.binary())], ["key", "spots"])
+
+
+def _answers(texts: DataFrame, make, kept, width: int) -> DataFrame:
+    blocks = texts.sortWithinPartitions("key").mapInArrow(posted(make, lambda v: bucket_of(v, width), width), BLOCK)
+    settled = blocks.repartition(width, "bucket").mapInArrow(_settle(kept), "block long, keys binary, places binary, spots binary")
+    each = settled.repartition(width, "block").mapInArrow(_per_text, "key long, spots binary")
+    return each.groupBy("key").agg(F.collect_set("spots").alias("found"))
+
+
 def _kept_text(n: int):
     def run(batch):
         removed = batch.column("found").to_pylist()
@@ -165,12 +154,9 @@ def duplicate_windows(documents: DataFrame, n: int = 50) -> DataFrame:
     """``key, found``: per text the packed starts of windows that also start in a document
     with a smaller id.  ``documents`` has ``key``, ``doc_id`` (whole numbers) and ``text``."""
     width = shuffle_width(documents.sparkSession)
-    anchors = documents.mapInArrow(_gather(_anchors(n), width), _POSTINGS).repartition(width, "bucket")
-    shared = anchors.mapInArrow(_settle(lambda doc, least, most: least < most), "key long, spots binary")
-    near = documents.join(shared.groupBy("key").agg(F.collect_list("spots").alias("found")), "key")
-    whole = near.mapInArrow(_gather(_windows(n), width), _POSTINGS).repartition(width, "bucket")
-    later = whole.mapInArrow(_settle(lambda doc, least, most: doc > least), "key long, spots binary")
-    return later.groupBy("key").agg(F.collect_list("spots").alias("found"))
+    shared = _answers(documents.select("key", "doc_id", "text"), _anchors(n), lambda doc, least, most: least < most, width)
+    near = documents.join(shared, "key").select("key", "doc_id", "text", "found")
+    return _answers(near, _windows(n), lambda doc, least, most: doc > least, width)
 
 
 def substring_dedup(documents: DataFrame, n: int = 50) -> DataFrame:
