@@ -3,7 +3,8 @@
 Words at or above a count that bounds their number keep their identity in the trie; the
 others share one class there, and their own probability within the class is added word by
 word.  So a text's score is a sum of two joins: trigrams with trie shards, and words with
-exact corpus counts.
+exact corpus counts.  A shard is built where its trigrams meet, from the training texts'
+postings among them, and answers all of them.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfspan.llm.packing import ANSWER, BLOCK, POSTINGS_AT_ONCE, answer, bucket_of, grouped, pack, pack_sorted, posted, summed, unpack, unpack_sorted
+from shelfspan.llm.packing import ANSWER, BLOCK, answer, bucket_of, grouped, pack, pack_sorted, posted, summed, unpack, unpack_sorted
 from shelfspan.llm.trie import WIDTH, Shard, built
 from shelfspan.llm.words import Words, chunks, mixed, row_key, shuffle_width
 from shelfspan.session import cut_lineage
@@ -23,6 +24,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 MOST_WORDS = 1 << 20
 #: A context word that follows many tokens is spread over at most so many shards.
 MOST_SALTS = 64
+#: Shards that a task builds and answers one after another.
+SHARDS_A_TASK = 4
+#: Texts of unsent answers that a task holds.
+HELD_ANSWERS = 4_000_000
 
 
 def _words(batch):
@@ -81,12 +86,31 @@ def _unigrams(cut: int):
     return run
 
 
+def pack_triples(value: np.ndarray) -> bytes:
+    """Ascending (last, before, next) numbers, word by word: frequent words have small numbers."""
+    value = value.astype(np.int64)
+    last, before, follow = value // WIDTH // WIDTH, value // WIDTH % WIDTH, value % WIDTH
+    parts = [pack(np.diff(last, prepend=0).astype(np.uint32)), pack(before.astype(np.uint32)), pack(follow.astype(np.uint32))]
+    return b"".join(len(p).to_bytes(4, "little") + p for p in parts)
+
+
+def unpack_triples(data: bytes) -> np.ndarray:
+    out, at = [], 0
+    for _ in range(3):
+        size = int.from_bytes(data[at : at + 4], "little")
+        out.append(unpack(data[at + 4 : at + 4 + size], np.uint32).astype(np.int64))
+        at += 4 + size
+    return (np.cumsum(out[0]) * WIDTH + out[1]) * WIDTH + out[2]
+
+
 class Classes:
-    """Word classes: 0 rare, then frequent words by hash, end and begin; and where contexts live."""
+    """Word classes: 0 rare, then frequent words by count, end and begin; and where contexts live."""
 
     def __init__(self, hashes: np.ndarray, counts: np.ndarray, words: int, texts: int, shards: int):
+        often = np.lexsort((hashes, -counts))
+        counts, hashes = counts[often], hashes[often]
         order = np.argsort(hashes)
-        self.hashes, counts = hashes[order], counts[order]
+        self.hashes, self.number = hashes[order], order + 1
         self.end, self.begin, self.shards = len(hashes) + 1, len(hashes) + 2, shards
         each = np.concatenate(([words - counts.sum()], counts, [texts, 0])).astype(float)
         self.single = (each + 0.5) / (words + texts + 0.5 * (len(hashes) + 2))
@@ -103,7 +127,7 @@ class Classes:
         begin = np.cumsum(count) - count + 3 * np.arange(texts)
         line = np.full(len(w) + 3 * texts, self.begin, np.int64)
         owner = np.repeat(np.arange(texts), count + 3)
-        line[np.arange(len(w)) + 3 * w.text + 2] = np.where(held, code + 1, 0)
+        line[np.arange(len(w)) + 3 * w.text + 2] = np.where(held, self.number[np.where(held, code, 0)] if len(self.number) else 0, 0)
         line[begin + count + 2] = self.end
         inner = np.ones(len(line), bool)
         inner[begin] = inner[begin + 1] = False
@@ -118,94 +142,95 @@ class Classes:
         return bucket_of(mixed(last.astype(np.uint64) * np.uint64(MOST_SALTS) + salt), self.shards)
 
 
-def _counts(classes):
-    """Trigram and bigram counts of training texts per shard; bigrams go to every salt of theirs."""
-
-    def block(parts):
-        c = classes.value
-        triple, count = grouped(np.concatenate(parts))
-        pair, pair_count = grouped((triple // WIDTH // WIDTH) * WIDTH + triple % WIDTH, weight=count)
-        salts = c.salts[pair // WIDTH].astype(np.int64)
-        copy = np.repeat(np.arange(len(pair)), salts)
-        salt = np.arange(len(copy)) - np.repeat(np.cumsum(salts) - salts, salts)
-        rows: dict[int, dict] = {}
-        for name, value, number, bucket in (("triples", triple, count, c.shard(triple // WIDTH)), ("pairs", pair[copy], pair_count[copy], c.salted(pair[copy] // WIDTH, salt.astype(np.uint64)))):
-            order = np.lexsort((value, bucket))
-            value, number, bucket = value[order], number[order], bucket[order]
-            edges = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1))
-            for a, b in zip(edges[:-1], edges[1:]):
-                rows.setdefault(int(bucket[a]), {}).update({name: pack_sorted(value[a:b]), f"{name}_n": pack(number[a:b].astype(np.uint32))})
-        names = ["triples", "triples_n", "pairs", "pairs_n"]
-        return pa.RecordBatch.from_arrays([pa.array(list(rows), pa.int32()), *[pa.array([r.get(n) for r in rows.values()], pa.binary()) for n in names]], ["bucket", *names])
-
-    def run(batches):
-        parts, held = [], 0
-        for batch in batches:
-            for low, high, data, offsets in chunks(batch.column("text")):
-                value, count = grouped(classes.value.triples(Words(data, offsets, lower=True), high - low)[1])
-                parts.append(np.repeat(value, count))
-                held += len(parts[-1])
-                if held >= POSTINGS_AT_ONCE:
-                    yield block(parts)
-                    parts, held = [], 0
-        if held:
-            yield block(parts)
-
-    return run
-
-
-def _built(classes):
-    def run(batches):
-        held: dict[int, dict[str, list]] = {}
-        for batch in batches:
-            for row in batch.to_pylist():
-                lists = held.setdefault(row["bucket"], {"triples": [], "triples_n": [], "pairs": [], "pairs_n": []})
-                for name in ("triples", "pairs"):
-                    if row[name] is not None:
-                        lists[name].append(unpack_sorted(row[name]).astype(np.int64))
-                        lists[f"{name}_n"].append(unpack(row[f"{name}_n"], np.uint32).astype(np.int64))
-        for bucket in sorted(held):
-            x = held.pop(bucket)
-            if not x["triples"]:
-                continue
-            pairs, triples = (grouped(np.concatenate(x[n]), weight=np.concatenate(x[f"{n}_n"])) for n in ("pairs", "triples"))
-            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([built(*pairs, *triples, classes.value.single)], pa.binary())], ["bucket", "trie"])
-
-    return run
-
-
 def _asked(classes):
+    """Trigrams of each text; ``times`` is twice the count, plus one in training texts."""
+
     def make(batch):
-        keys = batch.column("key").to_numpy()
+        keys, train = batch.column("key").to_numpy(), ~batch.column("held_out").to_numpy(zero_copy_only=False)
         for low, high, data, offsets in chunks(batch.column("text")):
             text, value, times = grouped(*classes.value.triples(Words(data, offsets, lower=True), high - low))
-            yield value.astype(np.uint64), text, times, keys[low:high], None
+            yield value, text, times * 2 + train[low + text], keys[low:high], None
 
     return make
 
 
+def _pairs(classes):
+    """Bigram counts of a block's training texts, for every salt of the first word."""
+
+    def extra(value, times):
+        c, learned = classes.value, np.flatnonzero(times & 1)
+        value = value[learned]
+        pair, count = grouped((value // WIDTH // WIDTH) * WIDTH + value % WIDTH, weight=times[learned] >> 1)
+        salts = c.salts[pair // WIDTH].astype(np.int64)
+        copy = np.repeat(np.arange(len(pair)), salts)
+        salt = np.arange(len(copy)) - np.repeat(np.cumsum(salts) - salts, salts)
+        bucket = c.salted(pair[copy] // WIDTH, salt.astype(np.uint64))
+        order = np.lexsort((pair[copy], bucket))
+        pair, count, bucket = pair[copy][order], count[copy][order], bucket[order]
+        edges = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1))
+        for a, b in zip(edges[:-1], edges[1:]):
+            data = pack_sorted(pair[a:b])
+            yield int(bucket[a]), len(data).to_bytes(4, "little") + data + pack(count[a:b].astype(np.uint32))
+
+    return extra
+
+
+def _shard(rows, single) -> Shard | None:
+    """The trie of a bucket from its training postings and its bigrams."""
+    triples, counts, pairs, pair_counts = [], [], [], []
+    for row in rows:
+        if row["hashes"] is None:
+            size = int.from_bytes(row["more"][:4], "little")
+            pairs.append(unpack_sorted(row["more"][4 : 4 + size]).astype(np.int64))
+            pair_counts.append(unpack(row["more"][4 + size :], np.uint32).astype(np.int64))
+        else:
+            times = unpack(row["times"], np.uint32).astype(np.int64)
+            learned = (times & 1) == 1
+            value, count = grouped(unpack_triples(row["hashes"])[learned], weight=times[learned] >> 1)
+            triples.append(value)
+            counts.append(count)
+    if not sum(map(len, triples)):
+        return None
+    triples, counts = grouped(np.concatenate(triples), weight=np.concatenate(counts))
+    return Shard(built(*grouped(np.concatenate(pairs), weight=np.concatenate(pair_counts)), triples, counts, single))
+
+
 def _answered(classes):
-    """A partition in order of shard, the shard's trie before the queries."""
+    """A partition in order of bucket: each builds its trie, then answers its postings."""
+
+    def settle(rows, totals):
+        c = classes.value
+        shard = _shard(rows, c.single)
+        for row in rows:
+            if row["hashes"] is None:
+                continue
+            value, place, times = unpack_triples(row["hashes"]), unpack(row["places"], np.uint32), unpack(row["times"], np.uint32) >> 1
+            asked, back = np.unique(value, return_inverse=True)
+            follow, context = asked % WIDTH, asked // WIDTH
+            log = c.log_single[follow]
+            if shard is not None:
+                log = shard.log10(context % WIDTH, context // WIDTH, follow, log)
+            more, old = np.bincount(place, log[back] * times), totals.get(row["block"], np.zeros(0))
+            long, short = (more, old) if len(more) > len(old) else (old, more)
+            long[: len(short)] += short
+            totals[row["block"]] = long
 
     def run(batches):
-        c, at, shard = classes.value, -1, None
+        at, rows, totals = -1, [], {}
         for batch in batches:
             for row in batch.to_pylist():
-                if row["bucket"] != at:
-                    at, shard = row["bucket"], None
-                if row["trie"] is not None:
-                    shard = Shard(row["trie"])
-                    continue
                 if row["keys"] is not None:
                     yield answer(row["block"], row["keys"], [])
                     continue
-                value, place, times = unpack_sorted(row["hashes"]), unpack(row["places"], np.uint32), unpack(row["times"], np.uint32)
-                asked, back = np.unique(value.astype(np.int64), return_inverse=True)
-                follow, context = asked % WIDTH, asked // WIDTH
-                log = c.log_single[follow]
-                if shard is not None:
-                    log = shard.log10(context % WIDTH, context // WIDTH, follow, log)
-                yield answer(row["block"], None, [np.bincount(place, log[back] * times).astype(np.float32)])
+                if row["bucket"] != at:
+                    settle(rows, totals)
+                    at, rows = row["bucket"], []
+                    if sum(map(len, totals.values())) > HELD_ANSWERS:
+                        yield from (answer(k, None, [v.astype(np.float32)]) for k, v in totals.items())
+                        totals = {}
+                rows.append(row)
+        settle(rows, totals)
+        yield from (answer(k, None, [v.astype(np.float32)]) for k, v in totals.items())
 
     return run
 
@@ -234,13 +259,11 @@ def language_scores(documents: DataFrame, held_out: Column) -> DataFrame:
     often = found.filter("kind = 1").select("id", "count").toPandas()
     totals = found.filter("kind = 2").agg(F.sum("mass").alias("mass"), F.sum("count").alias("count")).first()
     rare_mass, distinct = float(totals["mass"] or 0), int(totals["count"] or 0) + (ends > 0)
-    classes = spark.sparkContext.broadcast(Classes(often["id"].to_numpy(np.int64).view(np.uint64), often["count"].to_numpy(np.int64), words, ends, width))
+    classes = spark.sparkContext.broadcast(Classes(often["id"].to_numpy(np.int64).view(np.uint64), often["count"].to_numpy(np.int64), words, ends, width * SHARDS_A_TASK))
 
-    counted = texts.filter("NOT held_out").select("text").mapInArrow(_counts(classes), "bucket int, triples binary, triples_n binary, pairs binary, pairs_n binary")
-    trie = cut_lineage(counted.repartition(width, "bucket").mapInArrow(_built(classes), "bucket int, trie binary"))
-    asked = texts.select("key", "text").sortWithinPartitions("key").mapInArrow(posted(_asked(classes), lambda v: classes.value.shard(v.astype(np.int64) // WIDTH), width), BLOCK)
-    both = asked.withColumn("trie", F.lit(None).cast("binary")).unionByName(trie, allowMissingColumns=True)
-    placed = both.repartition(width, "bucket").sortWithinPartitions("bucket", F.col("trie").isNull())
+    asked = texts.select("key", "held_out", "text").sortWithinPartitions("key").mapInArrow(
+        posted(_asked(classes), lambda v: classes.value.shard(v // WIDTH), width * SHARDS_A_TASK, pack_triples, _pairs(classes)), BLOCK)
+    placed = asked.repartition(width, "bucket").sortWithinPartitions("bucket")
     model = summed(placed.mapInArrow(_answered(classes), ANSWER), width, {"model": "f4"}).groupBy("key").agg(F.sum("model").alias("model"))
 
     own = summed(found.filter("kind = 0").select("block", "keys", "sums"), width, {"log": "f4", "rare_log": "f4", "known": "u4", "rare": "u4"})

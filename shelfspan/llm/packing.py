@@ -77,38 +77,48 @@ def read_row(hashes: bytes, places: bytes, times: bytes, keys: bytes) -> tuple[n
     return unpack_sorted(hashes), unpack(places, np.uint32).astype(np.int64), unpack(times, np.uint32).astype(np.int64), np.frombuffer(keys, np.int64)
 
 
-BLOCK_FIELDS = ["hashes", "places", "times", "words", "keys"]
-BLOCK = "bucket int, block long, hashes binary, places binary, times binary, words binary, keys binary"
+BLOCK_FIELDS = ["hashes", "places", "times", "more", "keys"]
+BLOCK = "bucket int, block long, hashes binary, places binary, times binary, more binary, keys binary"
 
 
-def posted(make, place, buckets: int):
-    """``make`` gives (value, row, times, keys, words) for parts of a batch; they leave in blocks.
+def posted(make, place, buckets: int, encode=pack_sorted, extra=None):
+    """``make`` gives (value, row, times, keys, with_it) for parts of a batch; they leave in blocks.
 
-    ``words`` tells the bytes of the postings at some places, or is None.  A block has a row
-    per bucket of ``place``, and one with its keys.
+    A block has a row per bucket of ``place`` and one with its keys.  ``with_it`` is None, the
+    function that tells the bytes of a posting's word (the row then has the distinct words,
+    and where a new one begins in place of values), or an array with an id per text (the row
+    then has the ids of its texts).  ``extra`` makes more rows from (value, times): (bucket, bytes).
     """
 
     def block(parts, keys):
         value, text, times = (np.concatenate(x) for x in zip(*[p[:3] for p in parts]))
-        owner = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
-        inner = np.concatenate([np.arange(len(p[0])) for p in parts])
         bucket = place(value)
         order = np.lexsort((text, value, bucket))
-        value, text, times, bucket = value[order], text[order], times[order], bucket[order]
-        keys = np.concatenate(keys).tobytes()
+        keys, own = np.concatenate(keys).tobytes(), [p[3] for p in parts]
         name = int.from_bytes(hashlib.blake2b(keys, digest_size=8).digest(), "little", signed=True)
         rows = [(name % buckets, None, None, None, None, keys)]
+        if extra is not None:
+            rows += [(b, None, None, None, data, None) for b, data in extra(value, times)]
+        worded = callable(own[0])
+        if worded:
+            owner = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
+            inner = np.concatenate([np.arange(len(p[0])) for p in parts])
+        elif own[0] is not None:
+            ids = np.concatenate(own)
+        value, text, times, bucket = value[order], text[order], times[order], bucket[order]
         edges = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1))
         for low, high in zip(edges[:-1], edges[1:]):
-            held, words = value[low:high], None
-            if parts[0][4] is not None:
-                first = order[low + np.flatnonzero(np.diff(held, prepend=~held[:1]) != 0)]
-                words = zstandard.ZstdCompressor(level=3).compress(b"\n".join([parts[owner[i]][4](inner[i]) for i in first]))
-                held = (np.diff(held, prepend=~held[:1]) != 0).astype(np.uint8)
-                hashes = pack(held)
+            held, more = value[low:high], None
+            if worded:
+                new = np.diff(held, prepend=~held[:1]) != 0
+                first = order[low + np.flatnonzero(new)]
+                more = zstandard.ZstdCompressor(level=3).compress(b"\n".join([own[owner[i]](inner[i]) for i in first]))
+                packed = pack(new.astype(np.uint8))
             else:
-                hashes = pack_sorted(held)
-            rows.append((int(bucket[low]), hashes, pack(text[low:high].astype(np.uint32)), pack(times[low:high].astype(np.uint32)), words, None))
+                packed = encode(held)
+                if own[0] is not None:
+                    more = pack(ids[np.unique(text[low:high])])
+            rows.append((int(bucket[low]), packed, pack(text[low:high].astype(np.uint32)), pack(times[low:high].astype(np.uint32)), more, None))
         buckets_of, *fields = zip(*rows)
         return pa.RecordBatch.from_arrays([pa.array(buckets_of, pa.int32()), pa.array([name] * len(rows), pa.int64()), *[pa.array(f, pa.binary()) for f in fields]],
                                           ["bucket", "block", *BLOCK_FIELDS])
@@ -116,8 +126,8 @@ def posted(make, place, buckets: int):
     def run(batches):
         parts, keys, texts, held = [], [], 0, 0
         for batch in batches:
-            for value, row, times, key, words in make(batch):
-                parts.append((value, row + texts, times, None, words))
+            for value, row, times, key, with_it in make(batch):
+                parts.append((value, row + texts, times, with_it))
                 keys.append(key)
                 texts, held = texts + len(key), held + len(value)
                 if held >= POSTINGS_AT_ONCE:

@@ -22,7 +22,12 @@ from shelfspan.llm.toxicity import toxicity
 TOKENIZER = "word_bpe_49k.json"
 
 
+#: Rows of an Arrow batch: a row holds a whole text, so batches have fewer rows than usual.
+BATCH_ROWS = "1000"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

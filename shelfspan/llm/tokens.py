@@ -45,7 +45,7 @@ def _counted(tokenizer_json: str):
                 if row["keys"] is not None:
                     yield answer(row["block"], row["keys"], [])
                     continue
-                words = zstandard.ZstdDecompressor().decompress(row["words"]).split(b"\n")
+                words = zstandard.ZstdDecompressor().decompress(row["more"]).split(b"\n")
                 fresh = [w for w in words if w not in known]
                 for i in range(0, len(fresh), AT_ONCE):
                     some = fresh[i : i + AT_ONCE]

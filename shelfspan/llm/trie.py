@@ -30,11 +30,14 @@ def quantised(logs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class EliasFano:
-    """A non-decreasing sequence: low bits packed, high bits in unary."""
+    """A non-decreasing sequence: low bits packed, high bits in unary; spread out once when mapped."""
 
     def __init__(self, bits: int, size: int, low: np.ndarray, high: np.ndarray):
-        self.bits, self.size, self.low = bits, size, low
-        self.place = np.flatnonzero(np.unpackbits(high)) - np.arange(size)
+        self.size = size
+        self.value = (np.flatnonzero(np.unpackbits(high)) - np.arange(size)) << bits
+        row = (size + 7) // 8
+        for b in range(bits):
+            self.value |= np.unpackbits(low[b * row : (b + 1) * row], count=size).astype(np.int64) << b
 
     @staticmethod
     def packed(values: np.ndarray) -> tuple[dict, list[np.ndarray]]:
@@ -42,34 +45,24 @@ class EliasFano:
         top = int(values[-1]) + 1 if n else 1
         bits = max(int(np.log2(top / n)), 0) if n else 0
         low = values & ((1 << bits) - 1)
-        planes = np.packbits(np.stack([(low >> b) & 1 for b in range(bits)]).astype(np.uint8), axis=1) if bits else np.zeros((0, 0), np.uint8)
+        planes = np.concatenate([np.zeros(0, np.uint8), *[np.packbits(((low >> b) & 1).astype(np.uint8)) for b in range(bits)]])
         unary = np.zeros(n + (top >> bits) + 1, np.uint8)
         unary[(values >> bits) + np.arange(n)] = 1
-        return {"bits": bits, "size": n}, [planes.reshape(-1), np.packbits(unary)]
+        return {"bits": bits, "size": n}, [planes, np.packbits(unary)]
 
     def at(self, i: np.ndarray) -> np.ndarray:
-        value = self.place[i] << self.bits
-        row = (self.size + 7) // 8
-        for b in range(self.bits):
-            value |= ((self.low[b * row + (i >> 3)].astype(np.int64) >> (7 - (i & 7))) & 1) << b
-        return value
+        return self.value[i]
 
     def find(self, low: np.ndarray, high: np.ndarray, value: np.ndarray) -> np.ndarray:
-        """Place of ``value`` in ``[low, high)`` for each query, -1 where it is missing."""
-        low, high, end = low.copy(), high.copy(), high
-        while True:
-            open_ = np.flatnonzero(low < high)
-            if not len(open_):
-                break
-            middle = (low[open_] + high[open_]) >> 1
-            less = self.at(middle) < value[open_]
-            low[open_[less]] = middle[less] + 1
-            high[open_[~less]] = middle[~less]
-        inside = np.flatnonzero(low < end)
-        out = np.full(len(value), -1, np.int64)
-        hit = inside[self.at(low[inside]) == value[inside]]
-        out[hit] = low[hit]
-        return out
+        """Place of ``value`` in ``[low, high)`` for each query, -1 where it is missing.
+
+        Entries of earlier parents are smaller and of later ones larger, so the successor in
+        the whole level is the successor within the parent's range, if that has one.
+        """
+        spot = np.searchsorted(self.value, value)
+        hit = (spot >= low) & (spot < high)
+        hit[hit] = self.value[spot[hit]] == value[hit]
+        return np.where(hit, spot, -1)
 
 
 def _ranges(parent: np.ndarray) -> np.ndarray:
