@@ -12,6 +12,7 @@ from shelfspan.llm.jaccard import linked_texts
 from shelfspan.llm.lines import line_dedup
 from shelfspan.llm.mixing import mix_sources
 from shelfspan.llm.quality import quality_rules
+from shelfspan.llm.queries import table
 from shelfspan.llm.words import row_key
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -24,7 +25,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules."""
     keyed = _keyed(docs)
-    judged = quality_rules(keyed, spark.read.parquet(f"{sf_dir}/labels.parquet"), carry=("doc_id", "_key"))
+    judged = quality_rules(keyed, table(spark, sf_dir, "labels"), carry=("doc_id", "_key"))
     return keyed.join(judged.filter("kept").select("_key").distinct(), "_key", "left_semi").select(*docs.columns)
 
 
@@ -50,7 +51,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
     keyed = _keyed(docs)
-    leaked = decontaminate(keyed.withColumnRenamed("_key", "key"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    leaked = decontaminate(keyed.withColumnRenamed("_key", "key"), table(spark, sf_dir, "benchmark"))
     return keyed.join(leaked.select(F.col("key").alias("_key")).distinct(), "_key", "left_anti").select(*docs.columns)
 
 
@@ -67,7 +68,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
     return docs
