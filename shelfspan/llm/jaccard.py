@@ -29,7 +29,9 @@ PERCENT = 80
 LOWEST = 6
 #: At most so many tokens are frequent, whatever the corpus: 8 bytes each go to every task.
 MOST_FREQUENT = 1 << 21
-LEAST_FREQUENT = 16
+LEAST_FREQUENT = 256
+#: Pairs that a task counts at a time.
+PAIRS_AT_ONCE = 2_000_000
 #: Bits of the key filter that is broadcast; more than an eighth as many keys are joined instead.
 FILTER_BITS = 1 << 25
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -215,20 +217,61 @@ def _sized(a: str, b: str):
     return (100 * F.col(a) >= PERCENT * F.col(b)) & (100 * F.col(b) >= PERCENT * F.col(a))
 
 
-def _pairs(rows: DataFrame, name: str, apart: str) -> DataFrame:
-    """Pairs ``a < b`` of ``name`` that share a signature and differ in ``apart``."""
-    side = lambda s: rows.select("signature", *[F.col(c).alias(f"{c}_{s}") for c in rows.columns if c != "signature"])
-    return side("a").join(side("b"), "signature").filter((F.col(f"{name}_a") < F.col(f"{name}_b")) & (F.col(f"{apart}_a") != F.col(f"{apart}_b")))
-
-
-def _hopeful(pairs: DataFrame) -> DataFrame:
+def _counted_pairs(batches):
+    """Pairs ``a < b`` with a common signature, and with how many, summed over this task's signatures."""
+    held = [batch for batch in batches if len(batch)]
+    if not held:
+        return
+    table = pa.Table.from_batches(held)
+    signature, name = table.column("signature").to_numpy(), table.column("name").to_numpy()
+    order = np.lexsort((name, signature))
+    signature, name = signature[order], name[order]
+    names, code = np.unique(name, return_inverse=True)
+    first = np.flatnonzero(np.diff(signature, prepend=~signature[:1]) != 0)
+    size = np.diff(np.append(first, len(signature)))
+    later = np.repeat(first + size, size) - np.arange(len(signature)) - 1
+    end, low = np.cumsum(later), 0
+    held, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    while low < len(signature):
+        high = max(int(np.searchsorted(end, (end[low - 1] if low else 0) + PAIRS_AT_ONCE, "right")), low + 1)
+        some = later[low:high]
+        one = np.repeat(np.arange(low, high), some)
+        other = one + 1 + np.arange(len(one)) - np.repeat(np.cumsum(some) - some, some)
+        pair, count = grouped(np.concatenate((held, code[one] * len(names) + code[other])), weight=np.concatenate((counts, np.ones(len(one), np.int64))))
+        held, counts, low = pair, count, high
+    for i in range(0, len(held), 100_000):
+        pair = held[i : i + 100_000]
+        yield pa.RecordBatch.from_arrays([pa.array(names[pair // len(names)]), pa.array(names[pair % len(names)]), pa.array(counts[i : i + 100_000])], ["a", "b", "shared"])
+
+
+def _pairs(rows: DataFrame, name: str, width: int) -> DataFrame:
+    """``a, b, shared``: pairs of ``name`` that share signatures.  Only texts of the same few
+    signatures meet in a task, and its pairs leave summed."""
+    named = rows.select("signature", F.col(name).alias("name")).distinct()
+    counted = named.repartition(width, "signature").mapInArrow(_counted_pairs, "a long, b long, shared long")
+    return counted.groupBy("a", "b").agg(F.sum("shared").alias("shared"))
+
+
+def _hopeful(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
     """Pairs whose common prefix tokens and the tokens behind the prefixes can reach the
     threshold.  A pair signature of k frequent tokens counts as up to k + 1 tokens."""
-    shared = pairs.groupBy("key_a", "key_b").agg(F.count("*").alias("shared"), *[F.first(c).alias(c) for c in ("n_a", "n_b", "prefix_a", "prefix_b")])
+    side = lambda s: sizes.select(F.col("key").alias(s), F.col("n").alias(f"n_{s}"), F.col("prefix").alias(f"prefix_{s}"))
+    shared = pairs.join(side("a"), "a").join(side("b"), "b")
     behind = F.greatest(F.col("n_a") - F.col("prefix_a"), F.col("n_b") - F.col("prefix_b"))
     reach = F.least(F.col("shared") + 1 + behind, "n_a", "n_b")
     needed = F.lit(PERCENT) * (F.col("n_a") + F.col("n_b"))
-    return shared.filter(_sized("n_a", "n_b") & ((100 + PERCENT) * reach >= needed)).select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
+    return shared.filter(_sized("n_a", "n_b") & ((100 + PERCENT) * reach >= needed)).select("a", "b")
+
+
+def _reachable(low: str, high: str):
+    return 100 * F.col(high) >= PERCENT * F.col(low)
+
+
+def _lacking(low: str, high: str):
+    """100 times the prefix tokens that sets of at least ``low`` and at most ``high`` tokens must
+    have in common: their share of both sizes, less what lies behind the larger one's prefix."""
+    share = PERCENT * 100 / (100 + PERCENT)
+    return share * (F.col(low) + F.col(high)) - PERCENT * F.greatest(low, high)
 
 
 def linked_texts(documents: DataFrame, n: int = 5) -> tuple[DataFrame, DataFrame]:
@@ -263,33 +306,35 @@ def linked_texts(documents: DataFrame, n: int = 5) -> tuple[DataFrame, DataFrame
 
     blocks = among(texts, placed).mapInArrow(_signature_blocks(n, frequent, width), "bucket int, hashes binary, places binary, times binary, keys binary")
     shared = blocks.repartition(width, "bucket").mapInArrow(_shared, "signature long, key long, prefix long")
-    rows = cut_lineage(shared.join(placed, "key").select("signature", "key", "prefix", "n", "centre"))
+    rows = cut_lineage(shared.join(placed, "key").select("signature", "key", "prefix", "n", "centre", "distance"))
+    sizes = rows.groupBy("key").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
 
     # Centres against centres, at the threshold itself.
-    first = compared(_hopeful(_pairs(rows.filter("key = centre"), "key", "key")), texts, n)
-    edges = copies.select("a", "b").unionByName(first.filter("linked").select("a", "b"))
-    labels = components(edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))), edges)
+    first = compared(_hopeful(_pairs(rows.filter("key = centre"), "key", width), sizes), texts, n)
 
     # Members of different centres: only where the centres are near enough for it.
-    radius = placed.groupBy("centre").agg(F.max("distance").alias("radius"))
-    apart = rows.join(labels, rows["key"] == labels["node"], "left").select("signature", "key", "prefix", "n", "centre", F.coalesce("label", "key").alias("label"))
-    apart = apart.join(radius, "centre")
-    between = apart.groupBy("signature").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max("radius").alias("wide")).filter("low != high AND wide > 0").select("signature")
-    apart = cut_lineage(apart.join(between, "signature", "left_semi"))
-    near = _pairs(apart.select("signature", "centre", "label", "radius").distinct(), "centre", "label").filter("radius_a > 0 OR radius_b > 0")
-    near = near.groupBy("centre_a", "centre_b").agg(F.first("radius_a").alias("radius_a"), F.first("radius_b").alias("radius_b"))
-    measured = compared(near.select(F.col("centre_a").alias("a"), F.col("centre_b").alias("b")), texts, n)
-    reach = F.lit(1 - PERCENT / 100 + 1e-9) + F.col("radius_a") + F.col("radius_b")
-    close = measured.join(near, (F.col("a") == F.col("centre_a")) & (F.col("b") == F.col("centre_b"))).filter(F.col("distance") <= reach).select("centre_a", "centre_b")
-    close = close.unionByName(close.select(F.col("centre_b").alias("centre_a"), F.col("centre_a").alias("centre_b")))
-    left = apart.join(close, apart["centre"] == close["centre_a"]).drop("centre")
-    right = apart.select("signature", F.col("centre").alias("centre_b"), *[F.col(c).alias(f"{c}_b") for c in ("key", "prefix", "n", "label")])
-    left = left.select("signature", "centre_b", *[F.col(c).alias(f"{c}_a") for c in ("key", "prefix", "n", "label")])
-    members = left.join(right, ["signature", "centre_b"]).filter("key_a < key_b AND label_a != label_b")
-    late = compared(_hopeful(members), texts, n).filter("linked").select("a", "b")
-    if not late.isEmpty():
-        edges = edges.unionByName(late)
-        labels = components(edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))), edges)
+    spans = placed.groupBy("centre").agg(F.max("distance").alias("radius"), F.min("n").alias("low"), F.max("n").alias("high"))
+    reached = rows.groupBy("signature").agg(F.min("centre").alias("low"), F.max("centre").alias("high"), F.max("distance").alias("wide")).filter("low != high AND wide > 0")
+    apart = cut_lineage(rows.join(reached.select("signature"), "signature", "left_semi"))
+    side = lambda s: spans.select(F.col("centre").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("radius", "low", "high")])
+    near = cut_lineage(_pairs(apart, "centre", width).join(side("a"), "a").join(side("b"), "b").filter("radius_a + radius_b > 0").filter(
+        _reachable("low_a", "high_b") & _reachable("low_b", "high_a")).filter(
+        F.least(_lacking("low_a", "high_b"), _lacking("low_b", "high_a")) <= 100 * (F.col("shared") + 1)).select("a", "b", (F.col("radius_a") + F.col("radius_b")).alias("slack")))
+    known = first.select("a", "b", "linked", "distance")
+    measured = compared(near.join(known, ["a", "b"], "left_anti"), texts, n).select("a", "b", "linked", "distance").unionByName(known)
+    close = near.join(measured, ["a", "b"]).filter(~F.col("linked") & (F.col("distance") <= F.lit(1 - PERCENT / 100 + 1e-9) + F.col("slack"))).select("a", "b")
+    left = apart.join(close, apart["centre"] == close["a"]).select("signature", F.col("key").alias("key_a"), F.col("b").alias("centre"))
+    members = left.join(apart.select("signature", "centre", F.col("key").alias("key_b")), ["signature", "centre"]).groupBy(
+        F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b")).agg(F.count("*").alias("shared"))
+    late = compared(_hopeful(members, sizes), texts, n)
+
+    # What hangs together, among centres: members hang on theirs.
+    edges = copies.select("a", "b").unionByName(first.filter("linked").select("a", "b")).unionByName(late.filter("linked").select("a", "b"))
+    of = lambda s: placed.select(F.col("key").alias(s), F.col("centre").alias(f"centre_{s}"))
+    edges = cut_lineage(edges.join(of("a"), "a").join(of("b"), "b").filter("centre_a != centre_b").select(
+        F.least("centre_a", "centre_b").alias("a"), F.greatest("centre_a", "centre_b").alias("b")).distinct())
+    labels = components(edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))), edges)
+    labels = placed.join(labels, placed["centre"] == labels["node"], "left").select(F.col("key").alias("node"), F.coalesce("label", "centre").alias("label"))
     member = facts.filter("n > 0").join(sets.select(F.col("key").alias("one"), *same), same)
     return facts, member.join(labels, member["one"] == labels["node"], "left").select("key", F.coalesce("label", "one").alias("label"))
 
