@@ -11,9 +11,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfspan.llm.words import Words, per_text
+from shelfspan.session import cut_lineage
 
 #: Pages of one host are taken together up to so many bytes of markup; a larger host is split.
 GROUP_BYTES = 4 << 20
+#: Up to so many split hosts are sent to every task; more are joined by a shuffle.
+MOST_SPLIT_HOSTS = 100_000
 PLAIN, CHROME, MAIN = 0, 1, 2
 _PIECE = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|select|svg|iframe|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][\w:-]*)([^>]*)>",
@@ -196,6 +199,9 @@ def main_texts(pages: DataFrame, span: int = 8, share: float = 0.1, group_bytes:
     host = F.coalesce(F.regexp_extract("url", r"^[A-Za-z][\w+.-]*://([^/?#]*)", 1), F.lit(""))
     named = pages.select("page_id", "url", "html", host.alias("host"))
     parts = named.groupBy("host").agg(F.ceil(F.sum(F.coalesce(F.octet_length("html"), F.lit(0))) / group_bytes).alias("parts"))
-    placed = named.join(parts, "host").select("page_id", "url", "html", "host", F.pmod(F.xxhash64("page_id", "url"), F.greatest("parts", F.lit(1))).alias("part"))
+    split = cut_lineage(parts.filter("parts > 1"))
+    split = F.broadcast(split) if split.count() <= MOST_SPLIT_HOSTS else split
+    part = F.pmod(F.xxhash64("page_id", "url"), F.coalesce("parts", F.lit(1)))
+    placed = named.join(split, "host", "left").select("page_id", "url", "html", "host", part.alias("part"))
     parsed = per_text(placed, _parsed, "page_id long, url string, host string, part long, texts array<string>, kinds array<int>")
     return parsed.groupBy("host", "part").applyInArrow(_main_text(span, share), "page_id long, url string, text string, n_chars long")
