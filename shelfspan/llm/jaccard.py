@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfspan.llm.packing import POSTINGS_AT_ONCE, bucket_of, bucket_rows, grouped, pack, pack_sorted, read_row, unpack, unpack_sorted
+from shelfspan.llm.packing import ANSWER, BLOCK, POSTINGS_AT_ONCE, answer, bucket_of, bucket_rows, grouped, pack, pack_sorted, posted, read_row, summed, unpack, unpack_sorted
 from shelfspan.llm.words import Words, chunks, mixed, row_key, shingle_sets, shuffle_width
 from shelfspan.operators.graph import components
 from shelfspan.session import cut_lineage
@@ -174,6 +174,65 @@ def _shared(batches):
         yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 100_000]) for x in (value, key, prefix)], ["signature", "key", "prefix"])
 
 
+def _tokens(n: int):
+    """All tokens of each text, by their first 40 bits."""
+
+    def make(batch):
+        keys = batch.column("key").to_numpy()
+        for low, high, begin, value in _sets(batch.column("text"), n):
+            text, token, _ = grouped(np.repeat(np.arange(high - low), np.diff(begin)), value & np.uint64(0xFFFFFFFFFF000000))
+            yield token, text, np.ones(len(text), np.int64), keys[low:high], None
+
+    return make
+
+
+def _met(batches):
+    """Of this task's tokens: how many of each text another text has too, and how often others have them."""
+    held, values = [], []
+    for batch in batches:
+        for row in batch.to_pylist():
+            if row["keys"] is not None:
+                yield answer(row["block"], row["keys"], [])
+            else:
+                held.append((row["block"], row["places"]))
+                values.append(unpack_sorted(row["hashes"]))
+    if not held:
+        return
+    ends = np.cumsum([len(v) for v in values])
+    value, index, count = np.unique(np.concatenate(values), return_inverse=True, return_counts=True)
+    for (block, places), more in zip(held, np.split(count[index], ends[:-1])):
+        place, many = unpack(places, np.uint32)[more > 1], more[more > 1]
+        yield answer(block, None, [np.bincount(place).astype(np.uint32), np.bincount(place, many).astype(np.float32)])
+
+
+def linkable(texts: DataFrame, sizes: DataFrame, n: int, width: int) -> DataFrame:
+    """``key, usual``: of ``sizes``, the texts with enough tokens in common with any others of
+    them, and how common their tokens are; the middle of a group of copies has the most."""
+    blocks = among(texts.select("key", "text"), sizes).sortWithinPartitions("key").mapInArrow(posted(_tokens(n), lambda v: bucket_of(v, width), width), BLOCK)
+    met = summed(blocks.repartition(width, "bucket").mapInArrow(_met, ANSWER), width, {"met": "u4", "usual": "f4"}).groupBy("key").agg(F.max("met").alias("met"), F.max("usual").alias("usual"))
+    return sizes.join(met, "key").filter(100 * F.col("met") >= PERCENT * F.col("n")).select("key", (F.col("usual") / F.col("n")).alias("usual"))
+
+
+def _led(low: DataFrame, texts: DataFrame, n: int) -> DataFrame:
+    """Checked pairs of a text and its leader: of the texts that share a low hash, the most
+    usual one, and of several such the one with the most in common.
+
+    ``low`` has ``key, n, token, usual``.
+    """
+    held = low.groupBy("token").agg(F.count("*").alias("held")).filter("held > 1").select("token")
+    known = cut_lineage(low.join(held, "token"))
+    leaders = known.groupBy("token").agg(F.max(F.struct("usual", "key")).alias("lead")).select("token", F.col("lead.key").alias("leader"))
+    choice = known.join(leaders, "token").filter("key != leader").groupBy("key", "leader").agg(F.count("*").alias("shared"), F.first("n").alias("n"))
+    choice = choice.join(low.select(F.col("key").alias("leader"), F.col("n").alias("n_leader")).distinct(), "leader").filter(_sized("n", "n_leader"))
+    chosen = choice.groupBy("key").agg(F.max_by("leader", F.struct("shared", "leader")).alias("leader"))
+    return compared(chosen.select(F.col("leader").alias("a"), F.col("key").alias("b")), texts, n).filter("linked")
+
+
+def _roots(copies: DataFrame) -> DataFrame:
+    """``key, root, step``: copies whose leader has no leader itself."""
+    return copies.join(copies.select(F.col("b").alias("a")), "a", "left_anti").select(F.col("b").alias("key"), F.col("a").alias("root"), F.col("distance").alias("step"))
+
+
 def _common(n: int):
     def run(batches):
         for batch in batches:
@@ -286,15 +345,10 @@ def linked_texts(documents: DataFrame, n: int = 5) -> tuple[DataFrame, DataFrame
     same = ["n", "sum_a", "sum_b"]
     sets = cut_lineage(facts.filter("n > 0").groupBy(*same).agg(F.min(F.struct("key", "lowest")).alias("one")).select(F.col("one.key").alias("key"), *same, F.col("one.lowest").alias("lowest")))
 
-    # Near copies of a leader: of all that share a low hash, the one of the smallest key.
-    low = sets.select("key", "n", F.explode("lowest").alias("token"))
-    leaders = low.groupBy("token").agg(F.min("key").alias("leader"), F.count("*").alias("held")).filter("held > 1").select("token", "leader")
-    choice = low.join(leaders, "token").filter("key != leader").groupBy("key", "leader").agg(F.count("*").alias("shared"), F.first("n").alias("n"))
-    choice = choice.join(sets.select(F.col("key").alias("leader"), F.col("n").alias("n_leader")), "leader").filter(_sized("n", "n_leader"))
-    chosen = choice.groupBy("key").agg(F.max_by("leader", F.struct("shared", -F.col("leader"))).alias("leader"))
-    copies = compared(chosen.select(F.col("leader").alias("a"), F.col("key").alias("b")), texts, n).filter("linked")
-    roots = copies.join(copies.select(F.col("b").alias("a")), "a", "left_anti").select(F.col("b").alias("key"), F.col("a").alias("centre"), "distance")
-    placed = cut_lineage(sets.select("key", "n").join(roots, "key", "left").select("key", "n", F.coalesce("centre", "key").alias("centre"), F.coalesce("distance", F.lit(0.0)).alias("distance")))
+    # Near copies belong to a leader that the exact check confirms.
+    low = cut_lineage(sets.select("key", "n", F.explode("lowest").alias("token")))
+    copies = _led(low.withColumn("usual", F.lit(0.0)), texts, n)
+    placed = cut_lineage(sets.select("key", "n").join(_roots(copies), "key", "left").select("key", "n", F.coalesce("root", "key").alias("centre"), F.coalesce("step", F.lit(0.0)).alias("distance")))
 
     # Frequent tokens among centres; the threshold bounds their number.
     centres = placed.filter("key = centre")
@@ -306,8 +360,16 @@ def linked_texts(documents: DataFrame, n: int = 5) -> tuple[DataFrame, DataFrame
 
     blocks = among(texts, placed).mapInArrow(_signature_blocks(n, frequent, width), "bucket int, hashes binary, places binary, times binary, keys binary")
     shared = blocks.repartition(width, "bucket").mapInArrow(_shared, "signature long, key long, prefix long")
-    rows = cut_lineage(shared.join(placed, "key").select("signature", "key", "prefix", "n", "centre", "distance"))
-    sizes = rows.groupBy("key").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    shared = cut_lineage(shared)
+    sizes = cut_lineage(shared.groupBy("key").agg(F.first("prefix").alias("prefix")).join(placed.select("key", "n"), "key"))
+
+    # Texts with too many tokens of their own link with nothing; the others get leaders again.
+    able = cut_lineage(linkable(texts, sizes, n, width))
+    again = _led(low.join(able.join(placed.filter("key = centre").select("key"), "key"), "key"), texts, n)
+    roots = _roots(again).withColumnRenamed("key", "centre")
+    placed = cut_lineage(placed.join(roots, "centre", "left").select(
+        "key", "n", F.coalesce("root", "centre").alias("centre"), (F.col("distance") + F.coalesce("step", F.lit(0.0))).alias("distance")))
+    rows = cut_lineage(shared.join(able.select("key"), "key").join(placed, "key").select("signature", "key", "prefix", "n", "centre", "distance"))
 
     # Centres against centres, at the threshold itself.
     first = compared(_hopeful(_pairs(rows.filter("key = centre"), "key", width), sizes), texts, n)
@@ -329,7 +391,7 @@ def linked_texts(documents: DataFrame, n: int = 5) -> tuple[DataFrame, DataFrame
     late = compared(_hopeful(members, sizes), texts, n)
 
     # What hangs together, among centres: members hang on theirs.
-    edges = copies.select("a", "b").unionByName(first.filter("linked").select("a", "b")).unionByName(late.filter("linked").select("a", "b"))
+    edges = copies.select("a", "b").unionByName(again.select("a", "b")).unionByName(first.filter("linked").select("a", "b")).unionByName(late.filter("linked").select("a", "b"))
     of = lambda s: placed.select(F.col("key").alias(s), F.col("centre").alias(f"centre_{s}"))
     edges = cut_lineage(edges.join(of("a"), "a").join(of("b"), "b").filter("centre_a != centre_b").select(
         F.least("centre_a", "centre_b").alias("a"), F.greatest("centre_a", "centre_b").alias("b")).distinct())
