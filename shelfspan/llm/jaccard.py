@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfspan.llm.packing import ANSWER, BLOCK, POSTINGS_AT_ONCE, answer, bucket_of, bucket_rows, grouped, pack, pack_sorted, posted, read_row, summed, unpack, unpack_sorted
+from shelfspan.llm.packing import ANSWER, BLOCK, answer, bucket_of, bucket_rows, grouped, pack, pack_sorted, posted, read_row, summed, unpack, unpack_sorted
 from shelfspan.llm.words import Words, chunks, mixed, row_key, shingle_sets, shuffle_width
 from shelfspan.operators.graph import components
 from shelfspan.session import cut_lineage
@@ -31,7 +31,9 @@ LOWEST = 6
 MOST_FREQUENT = 1 << 21
 LEAST_FREQUENT = 256
 #: Pairs that a task counts at a time.
-PAIRS_AT_ONCE = 2_000_000
+PAIRS_AT_ONCE = 1_000_000
+#: Postings and bytes of text that a task holds at a time.
+POSTINGS_AT_ONCE, TEXT_AT_ONCE = 400_000, 1 << 19
 #: Bits of the key filter that is broadcast; more than an eighth as many keys are joined instead.
 FILTER_BITS = 1 << 25
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -39,7 +41,7 @@ _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 def _sets(texts: pa.Array, n: int):
     """(rows low..high, begin of each row's set, sorted hashes) for some texts at a time."""
-    for low, high, data, offsets in chunks(texts):
+    for low, high, data, offsets in chunks(texts, TEXT_AT_ONCE):
         owner, value = shingle_sets(Words(data, offsets, lower=True), high - low, n)
         yield low, high, np.searchsorted(owner, np.arange(high - low + 1)), value
 
@@ -208,7 +210,7 @@ def _met(batches):
 def linkable(texts: DataFrame, sizes: DataFrame, n: int, width: int) -> DataFrame:
     """``key, usual``: of ``sizes``, the texts with enough tokens in common with any others of
     them, and how common their tokens are; the middle of a group of copies has the most."""
-    blocks = among(texts.select("key", "text"), sizes).sortWithinPartitions("key").mapInArrow(posted(_tokens(n), lambda v: bucket_of(v, width), width), BLOCK)
+    blocks = among(texts.select("key", "text"), sizes).sortWithinPartitions("key").mapInArrow(posted(_tokens(n), lambda v: bucket_of(v, width), width, at_once=POSTINGS_AT_ONCE), BLOCK)
     met = summed(blocks.repartition(width, "bucket").mapInArrow(_met, ANSWER), width, {"met": "u4", "usual": "f4"}).groupBy("key").agg(F.max("met").alias("met"), F.max("usual").alias("usual"))
     return sizes.join(met, "key").filter(100 * F.col("met") >= PERCENT * F.col("n")).select("key", (F.col("usual") / F.col("n")).alias("usual"))
 
@@ -369,7 +371,7 @@ def linked_texts(documents: DataFrame, n: int = 5) -> tuple[DataFrame, DataFrame
     roots = _roots(again).withColumnRenamed("key", "centre")
     placed = cut_lineage(placed.join(roots, "centre", "left").select(
         "key", "n", F.coalesce("root", "centre").alias("centre"), (F.col("distance") + F.coalesce("step", F.lit(0.0))).alias("distance")))
-    rows = cut_lineage(shared.join(able.select("key"), "key").join(placed, "key").select("signature", "key", "prefix", "n", "centre", "distance"))
+    rows = cut_lineage(shared.join(placed.join(able.select("key"), "key"), "key").select("signature", "key", "prefix", "n", "centre", "distance"))
 
     # Centres against centres, at the threshold itself.
     first = compared(_hopeful(_pairs(rows.filter("key = centre"), "key", width), sizes), texts, n)

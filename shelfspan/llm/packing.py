@@ -81,7 +81,7 @@ BLOCK_FIELDS = ["hashes", "places", "times", "more", "keys"]
 BLOCK = "bucket int, block long, hashes binary, places binary, times binary, more binary, keys binary"
 
 
-def posted(make, place, buckets: int, encode=pack_sorted, extra=None):
+def posted(make, place, buckets: int, encode=pack_sorted, extra=None, at_once: int = POSTINGS_AT_ONCE):
     """``make`` gives (value, row, times, keys, with_it) for parts of a batch; they leave in blocks.
 
     A block has a row per bucket of ``place`` and one with its keys.  ``with_it`` is None, the
@@ -130,7 +130,7 @@ def posted(make, place, buckets: int, encode=pack_sorted, extra=None):
                 parts.append((value, row + texts, times, with_it))
                 keys.append(key)
                 texts, held = texts + len(key), held + len(value)
-                if held >= POSTINGS_AT_ONCE:
+                if held >= at_once:
                     yield block(parts, keys)
                     parts, keys, texts, held = [], [], 0, 0
         if texts:
