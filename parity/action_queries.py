@@ -333,14 +333,17 @@ SELECT p.sku_uid, p.store_id AS donor_store, store_stock - coalesce(rate, usual)
 FROM (SELECT * FROM panel WHERE date = (SELECT max(date) FROM panel)) p LEFT JOIN (SELECT store_id AS s, sku_uid AS k, max(trailing_demand_rate) AS rate FROM banded GROUP BY 1, 2) r ON r.s = p.store_id AND r.k = p.sku_uid
 CROSS JOIN (SELECT median(trailing_demand_rate) AS usual FROM banded) JOIN store_dim s ON s.store_id = p.store_id WHERE store_stock - coalesce(rate, usual) * 5 >= 1
 """)
-cte("imbalanced", """
+cte("all_imbalances", """
 SELECT b.store_id, b.sku_uid, donor_store, surplus, expected_lost_revenue FROM banded b JOIN store_dim s ON s.store_id = b.store_id JOIN today_donors d ON d.sku_uid = b.sku_uid AND d.z = s.zone_norm
-WHERE risk_band IN ('Critical', 'High') AND donor_store <> b.store_id ORDER BY expected_lost_revenue DESC, b.store_id, b.sku_uid, surplus DESC, donor_store LIMIT 40
+WHERE risk_band IN ('Critical', 'High') AND donor_store <> b.store_id
+""")
+cte("imbalanced", """
+SELECT * FROM all_imbalances ORDER BY expected_lost_revenue DESC, store_id, sku_uid, surplus DESC, donor_store LIMIT 40
 """)
 
 
-def imbalanced(feed, scored):
-    return X.imbalance(scored, donors_of(feed, scored, as_of(feed)), feed.store_dim)
+def imbalanced(feed, scored, top=40):
+    return X.imbalance(scored, donors_of(feed, scored, as_of(feed)), feed.store_dim, top=top)
 
 
 @query("imbalance", "store_id:s sku_uid:s donor_store:s surplus:f expected_lost_revenue:f4", "SELECT * FROM imbalanced")
@@ -358,11 +361,11 @@ ALERTS = " UNION ALL ".join(
 UNION ALL SELECT 'warning', 'inbound_shortfall', count(*), sum(expected_lost_revenue) FROM shelf_today
   WHERE risk_band IN ('Critical', 'High') AND trailing_demand_rate * 14 - stock_on_hand > 0 AND intransit_units < trailing_demand_rate * 14 - stock_on_hand HAVING count(*) > 0
 UNION ALL (SELECT 'warning', 'late_vendor', 1, receipts FROM vendor_perf WHERE on_time_rate < 0.9 ORDER BY on_time_rate, vendor LIMIT 1)
-UNION ALL SELECT 'warning', 'imbalance', count(*), sum(surplus) FROM imbalanced HAVING count(*) > 0
+UNION ALL SELECT 'warning', 'imbalance', count(*), sum(surplus) FROM all_imbalances HAVING count(*) > 0
 UNION ALL SELECT 'info', 'lead_time_spread', n, s / m FROM (SELECT count(*) AS n, avg(lead_days) AS m, stddev_samp(lead_days) AS s FROM lead_times) WHERE s / m > 0.3
 """)
 def _alerts(feed):
     from shelfspan.operators.score import coverage_short
     scored = cut_lineage(shelf(feed))
     vendors = R.supplier_performance(lead_columns(feed.goods_receipts))
-    return X.alerts(scored, coverage_short(scored), vendors, imbalanced(feed, scored), R.lead_time_summary(leads(feed)))
+    return X.alerts(scored, coverage_short(scored), vendors, imbalanced(feed, scored, None), R.lead_time_summary(leads(feed)))

@@ -416,7 +416,7 @@ cte("latest_rows", "SELECT * FROM mf QUALIFY row_number() OVER (PARTITION BY sto
 MODEL_POLICY = f"""
 SELECT *, ceil(cover * rate) AS recommended_reorder_point, ceil(rate * l + 1.645 * sqrt(rate * l)) AS textbook_reorder_point, round(rate * l, 2) AS expected_demand_over_lead,
        cover AS recommended_cover_days, l AS protection_days
-FROM (SELECT *, greatest(trailing_demand_rate, 0.01) AS rate, least(greatest(exp(least((ln(l) - ({MODEL.sigma} * {normal.quantile(0.05)!r}) - (mu - {MODEL.coefficients[0]} * log_days_of_cover)) / {MODEL.coefficients[0]}, ln(401.0))) - 1, 0.1), 400.0) AS cover
+FROM (SELECT * EXCLUDE (rate), greatest(trailing_demand_rate, 0.01) AS rate, least(greatest(exp(least((ln(l) - ({MODEL.sigma} * {normal.quantile(0.05)!r}) - (mu - {MODEL.coefficients[0]} * log_days_of_cover)) / {MODEL.coefficients[0]}, ln(401.0))) - 1, 0.1), 400.0) AS cover
       FROM latest_rows, (SELECT avg(lead_days) AS l FROM lead_times))
 """
 

@@ -123,32 +123,41 @@ def aft_sums(frame: DataFrame, features: list[str], mean, std, theta: np.ndarray
 
 
 def _newton(evaluate, start: np.ndarray, penalty: np.ndarray, n: int, steps: int, tolerance: float):
-    """Maximise mean log-likelihood minus half the ridge; halve a step that loses ground."""
+    """Maximise mean log-likelihood minus half the ridge; halve a step that loses ground.
+
+    A step that never gains leaves the point as it is.
+    """
     theta, trace = start, []
     value, gradient, hessian = evaluate(theta)
     objective = value / n - 0.5 * np.sum(penalty * theta**2)
+    if not np.isfinite(objective):
+        raise ValueError("the likelihood is not a number at the start")
     for _ in range(steps):
         slope = gradient / n - penalty * theta
         curve = hessian / n - np.diag(penalty)
+        if not (np.isfinite(slope).all() and np.isfinite(curve).all()):
+            raise ValueError("the likelihood has derivatives that are not numbers")
         trace.append(objective)
-        ridge = 0.0
-        while True:
-            move = np.linalg.solve(curve - ridge * np.eye(len(theta)), -slope)
-            if slope @ move > 0:
+        move = slope
+        for ridge in (0.0, *(10.0**k for k in range(-3, 9))):
+            newton = np.linalg.solve(curve - ridge * np.eye(len(theta)), -slope)
+            if slope @ newton > 0:
+                move = newton
                 break
-            ridge = max(2 * ridge, 1e-3)
-        size = 1.0
+        gain, size = 0.0, 1.0
         while size > 1e-6:
             trial = theta + size * move
             tried = evaluate(trial)
             reached = tried[0] / n - 0.5 * np.sum(penalty * trial**2)
             if np.isfinite(reached) and reached >= objective - 1e-12:
+                gain = reached - objective
+                theta, (value, gradient, hessian), objective = trial, tried, reached
                 break
             size /= 2
-        gain = reached - objective
-        theta, (value, gradient, hessian), objective = trial, tried, reached
         if gain <= tolerance * (1 + abs(objective)):
             break
+    else:
+        raise RuntimeError(f"the fit still gains after {steps} steps; allow more")
     slope = gradient / n - penalty * theta
     return theta, value, float(np.max(np.abs(slope))), trace
 

@@ -11,7 +11,6 @@ from shelfspan.functions import keys as K
 # Letters read as digits in hand-keyed codes.
 LETTERS, DIGITS = "OQIL", "0011"
 RUN = "^(.*[A-HJKMNPR-Z])([0-9OQIL]+)$"
-MOST_LETTERS = 6  # two choices per letter, at most 64 candidates
 
 
 def _split_run(column: str) -> tuple:
@@ -35,7 +34,7 @@ def repair_store_ids(ids: DataFrame, column: str, master: DataFrame) -> DataFram
     outside = raw.select("id").distinct().join(known, F.col("id") == F.col("known"), "left_anti")
     head, run = _split_run("id")
     suspects = outside.select("id", head.alias("head"), run.alias("run")).filter(
-        (F.length("run") > 0) & (F.length(F.regexp_replace("run", "[0-9]", "")).between(1, MOST_LETTERS))
+        F.length(F.regexp_replace("run", "[0-9]", "")) > 0
     ).withColumn("folded", F.translate("run", LETTERS, DIGITS))
     known_head, known_run = _split_run("known")
     targets = known.select("known", known_head.alias("head"), known_run.alias("known_run")).withColumn(

@@ -148,13 +148,14 @@ def decision_backtest(recommendations: DataFrame, truth: DataFrame) -> DataFrame
     ).withColumn("stockout_rate_when_acted", F.col("precision"))
 
 
-def imbalance(banded: DataFrame, donors: DataFrame, stores: DataFrame, scope: str = "same_zone", top: int = 40) -> DataFrame:
-    """High-risk positions with a donor of the same SKU in scope, the dearest first."""
+def imbalance(banded: DataFrame, donors: DataFrame, stores: DataFrame, scope: str = "same_zone", top: int | None = 40) -> DataFrame:
+    """High-risk positions with a donor of the same SKU in scope, the dearest first; all without ``top``."""
     at_risk = scope_of(banded.filter(F.col("risk_band").isin("Critical", "High")), stores, scope)
     pairs = at_risk.join(donors, ["sku_uid", "scope_key"]).filter("donor_store <> store_id")
-    return pairs.select(*PAIR, "donor_store", F.col("donor_surplus").alias("surplus"), "expected_lost_revenue").orderBy(
-        F.desc("expected_lost_revenue"), *PAIR, F.desc("surplus"), "donor_store"
-    ).limit(top)
+    found = pairs.select(*PAIR, "donor_store", F.col("donor_surplus").alias("surplus"), "expected_lost_revenue")
+    if top is None:
+        return found
+    return found.orderBy(F.desc("expected_lost_revenue"), *PAIR, F.desc("surplus"), "donor_store").limit(top)
 
 
 def alerts(banded: DataFrame, short: DataFrame, vendors: DataFrame, imbalanced: DataFrame, lead: DataFrame) -> DataFrame:

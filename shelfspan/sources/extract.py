@@ -44,7 +44,7 @@ def _distinct_names(header: list[str]) -> list[str]:
 
 def read_table(spark: SparkSession, path: str, header: list[str]) -> DataFrame:
     schema = T.StructType([T.StructField(n, T.StringType()) for n in _distinct_names(header)])
-    rows = spark.read.schema(schema).csv(path, header=True, enforceSchema=True, encoding="UTF-8")
+    rows = spark.read.schema(schema).csv(path, header=True, enforceSchema=True, encoding="UTF-8", escape='"', multiLine=True)
     filled = [F.nullif(F.trim(F.col(f"`{c}`")), F.lit("")) for c in rows.columns]
     return rows.filter(F.coalesce(*filled).isNotNull())
 

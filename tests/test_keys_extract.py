@@ -61,3 +61,11 @@ def test_extract_keeps_text_and_lists_what_is_missing(spark, tmp_path):
     assert got == {"14_1033_ROSE-GOLD_40": ("GUS03", True, "None"), "14_1033_TAN_41": ("GUS03", False, "2024-01-05")}
     counts = {r.table: (r.present, r.n_rows) for r in provenance(extract.canon, extract.missing, spark).collect()}
     assert counts["store_dim"] == (True, 1) and counts["forecast"] == (False, 0)
+
+
+def test_quoted_cells_and_line_breaks(spark, tmp_path):
+    from shelfspan.sources.extract import read_table
+
+    path = tmp_path / "cells.csv"
+    path.write_text('a,b\n"say ""hi"", now",1\n"two\nlines",2\n')
+    assert sorted(map(tuple, read_table(spark, str(path), ["a", "b"]).collect())) == [('say "hi", now', "1"), ("two\nlines", "2")]

@@ -100,3 +100,25 @@ def test_pools_against_brute_force(spark):
             low, high = sorted((label[a], label[b]))
             label = {s: low if v == high else v for s, v in label.items()}
     assert {r.store_id: r.pool for r in store_groups(df).collect()} == label
+
+
+def test_newton_keeps_its_point_when_no_step_gains():
+    import numpy as np
+
+    from shelfspan.operators.fit import _newton
+
+    flat = lambda t: (-abs(float(t[0])) if t[0] else 0.0, np.array([1.0]), np.array([[-1.0]]))
+    theta, value, _, _ = _newton(flat, np.zeros(1), np.zeros(1), 1, 5, 1e-10)
+    assert theta[0] == 0 and value == 0
+
+
+def test_newton_refuses_what_is_not_a_number():
+    import numpy as np
+    import pytest
+
+    from shelfspan.operators.fit import _newton
+
+    with pytest.raises(ValueError):
+        _newton(lambda t: (float("nan"), np.array([1.0]), np.array([[-1.0]])), np.zeros(1), np.zeros(1), 1, 5, 1e-10)
+    late = lambda t: (0.0 if t[0] == 0 else float("nan"), np.array([1.0]), np.array([[-1.0]]))
+    assert _newton(late, np.zeros(1), np.zeros(1), 1, 5, 1e-10)[0][0] == 0
