@@ -1,4 +1,4 @@
-"""The daily panel: stock joined to sales and orders, receipts inferred from the movement."""
+"""The daily panel: stock with the day's sales and orders, receipts inferred from the movement."""
 
 from __future__ import annotations
 
@@ -10,16 +10,6 @@ PAIR = ["store_id", "sku_uid"]
 GRAIN = [*PAIR, "date"]
 
 
-def _daily(facts: DataFrame, measure: str, alias: str) -> DataFrame:
-    """Fact rows summed to the panel grain, laid out by pair like the panel itself."""
-    return (
-        facts.filter(F.col("date").isNotNull())
-        .groupBy(*GRAIN)
-        .agg(F.sum(F.coalesce(F.col(measure), F.lit(0.0))).alias(alias))
-        .repartition(*PAIR)
-    )
-
-
 def assemble_panel(
     inventory: DataFrame,
     sales: DataFrame | None = None,
@@ -29,30 +19,25 @@ def assemble_panel(
 ) -> DataFrame:
     """One row per store x SKU x day with ``units_sold``, ``received`` and ``ordered``.
 
-    Everything is laid out by pair once; the joins, the window and any later per-pair
-    window reuse that layout.  A receipt is a rise that sales do not explain and is only
-    read across exactly one day.
+    Stock, sales and orders are stacked and meet in one shuffle by pair; sums per day and
+    the movement between days are windows over that layout, which later windows per pair
+    reuse.  A receipt is a rise that sales do not explain and is only read across exactly
+    one day.
     """
     carry = carry or []
-    panel = (
-        inventory.select(*GRAIN, F.col("store_stock").try_cast("double").alias("store_stock"), *carry)
-        .filter(F.col("date").isNotNull())
-        .repartition(*PAIR)
-    )
-    if sales is not None:
-        panel = panel.join(_daily(sales, "units_sold", "units_sold"), GRAIN, "left")
-    else:
-        panel = panel.withColumn("units_sold", F.lit(None).cast("double"))
-    if orders is not None:
-        panel = panel.join(_daily(orders, order_measure, "ordered"), GRAIN, "left")
-    else:
-        panel = panel.withColumn("ordered", F.lit(None).cast("double"))
-
-    filled = panel.withColumns({
-        "units_sold": F.coalesce("units_sold", F.lit(0.0)),
-        "ordered": F.coalesce("ordered", F.lit(0.0)),
+    stacked = inventory.filter(F.col("date").isNotNull()).select(
+        *GRAIN, F.col("store_stock").try_cast("double").alias("store_stock"), *carry, F.lit(True).alias("_on_shelf"))
+    for facts, measure, name in ((sales, "units_sold", "units_sold"), (orders, order_measure, "ordered")):
+        if facts is not None:
+            day_of_pair = facts.dropna(subset=GRAIN).select(*GRAIN, F.col(measure).cast("double").alias(name))
+            stacked = stacked.unionByName(day_of_pair, allowMissingColumns=True)
+        else:
+            stacked = stacked.withColumn(name, F.lit(None).cast("double"))
+    same_day = Window.partitionBy(*GRAIN)
+    summed = stacked.repartition(*PAIR).withColumns({
+        c: F.coalesce(F.sum(c).over(same_day), F.lit(0.0)) for c in ("units_sold", "ordered")
     })
-    return infer_receipts(filled).select(*GRAIN, "store_stock", "units_sold", "received", "ordered", *carry)
+    return infer_receipts(summed.filter("_on_shelf")).select(*GRAIN, "store_stock", "units_sold", "received", "ordered", *carry)
 
 
 def infer_receipts(ledger: DataFrame) -> DataFrame:
