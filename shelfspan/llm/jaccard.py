@@ -1,10 +1,11 @@
 """N-gram Jaccard join: prefixes of rare tokens and of combinations of frequent ones, then exact checks.
 
-A document's tokens are hashes of its distinct word shingles.  All documents order tokens
-alike: rare ones by hash, then frequent ones by hash.  A set of ``n`` tokens may miss
-``t = n - ceil(0.8 n)`` of them in a partner, so its prefix holds enough rare tokens, each a
-signature, and, where those run out, enough frequent ones, each *pair* of them a signature,
-that a partner with no common signature would miss more than ``t``.
+A document's tokens are hashes of its distinct word shingles, in an order that all documents
+share: rare ones first, then frequent ones.  A set of ``n`` tokens may miss ``t = n - ceil(0.8 n)``
+of them in a partner, so its prefix holds enough rare tokens, each a signature, and, where
+those run out, enough frequent ones, each *pair* of them a signature, that a partner with no
+common signature would miss more than ``t``.  A first round orders by hash and finds who
+shares a signature at all; among those a second round orders by exact frequency.
 
 Copies are taken together first.  Equal sets have one representative; near copies that share
 low hashes with a leader and pass the exact check belong to its *centre*.  Only centres are
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfspan.llm.packing import ANSWER, BLOCK, answer, bucket_of, bucket_rows, grouped, pack, pack_sorted, posted, read_row, summed, unpack, unpack_sorted
+from shelfspan.llm.packing import BLOCK, bucket_of, bucket_rows, grouped, pack, pack_sorted, posted, read_row, unpack, unpack_sorted
 from shelfspan.llm.words import Words, chunks, mixed, row_key, shingle_sets, shuffle_width
 from shelfspan.operators.graph import components
 from shelfspan.session import cut_lineage
@@ -113,22 +114,48 @@ def signatures(value: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, int
     if len(rare) > misses:
         return rare, len(rare)
     hot = value[often][: misses + 2 - len(rare)]
+    return np.concatenate((rare, _combined(hot))), len(rare) + len(hot)
+
+
+def _combined(hot: np.ndarray) -> np.ndarray:
+    """A signature for each pair of tokens that come in the common order."""
     i, j = np.triu_indices(len(hot), 1)
-    return np.concatenate((rare, mixed(hot[i] * np.uint64(0xD6E8FEB86659FD93) + hot[j]))), len(rare) + len(hot)
+    return mixed(hot[i] * np.uint64(0xD6E8FEB86659FD93) + hot[j])
+
+
+def ranked_signatures(own: int, n: int, value: np.ndarray, count: np.ndarray, least: int) -> tuple[np.ndarray, int]:
+    """Signatures and prefix length of one set of ``n`` tokens, ``own`` of them in no other set;
+    the others ascend by ``count`` and value, and are frequent from ``least`` on."""
+    need = n - -(-n * PERCENT // 100) + 1 - own
+    if need <= 0:
+        return value[:0], 0
+    split = int(np.searchsorted(count, least))
+    rare = value[: min(split, need)]
+    if len(rare) == need:
+        return rare, own + need
+    hot = value[split : split + need + 1 - len(rare)]
+    return np.concatenate((rare, _combined(hot))), own + len(rare) + len(hot)
+
+
+SIGNED = "bucket int, hashes binary, places binary, times binary, keys binary"
+
+
+def _signed(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int32(), *[pa.binary()] * 4]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["bucket", "hashes", "places", "times", "keys"])
+
+
+def _signature_block(value, key, prefix, buckets: int) -> pa.RecordBatch:
+    value, key, prefix = np.concatenate(value), np.concatenate(key), np.concatenate(prefix)
+    names, text = np.unique(key, return_inverse=True)
+    order = np.lexsort((text, value))
+    value, text, prefix = value[order], text[order], prefix[order]
+    return _signed([(b, *[r[c] for c in ("hashes", "places", "times", "keys")]) for b, r in bucket_rows(value, text, prefix, names, bucket_of(value, buckets))])
 
 
 def _signature_blocks(n: int, frequent, buckets: int):
     """Signatures of texts with their keys; ``times`` carries the length of the prefix."""
 
-    def block(value, key, prefix):
-        value, key, prefix = np.concatenate(value), np.concatenate(key), np.concatenate(prefix)
-        names, text = np.unique(key, return_inverse=True)
-        order = np.lexsort((text, value))
-        value, text, prefix = value[order], text[order], prefix[order]
-        rows = list(bucket_rows(value, text, prefix, names, bucket_of(value, buckets)))
-        fields = ["hashes", "places", "times", "keys"]
-        return pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), *[pa.array([r[c] for _, r in rows], pa.binary()) for c in fields]], ["bucket", *fields])
-
     def run(batches):
         hot = frequent.value
         value, key, prefix, held = [], [], [], 0
@@ -144,10 +171,10 @@ def _signature_blocks(n: int, frequent, buckets: int):
                     prefix.append(np.full(len(found), length))
                     held += len(found)
                     if held >= POSTINGS_AT_ONCE:
-                        yield block(value, key, prefix)
+                        yield _signature_block(value, key, prefix, buckets)
                         value, key, prefix, held = [], [], [], 0
         if held:
-            yield block(value, key, prefix)
+            yield _signature_block(value, key, prefix, buckets)
 
     return run
 
@@ -177,42 +204,125 @@ def _shared(batches):
 
 
 def _tokens(n: int):
-    """All tokens of each text, by their first 40 bits."""
+    """All tokens of each text, by their first 40 bits; ``times`` tells the tokens of centres,
+    and beside its key stands the size of a text."""
 
     def make(batch):
-        keys = batch.column("key").to_numpy()
+        keys, centre = batch.column("key").to_numpy(), batch.column("is_centre").to_numpy(zero_copy_only=False).astype(np.int64)
         for low, high, begin, value in _sets(batch.column("text"), n):
-            text, token, _ = grouped(np.repeat(np.arange(high - low), np.diff(begin)), value & np.uint64(0xFFFFFFFFFF000000))
-            yield token, text, np.ones(len(text), np.int64), keys[low:high], None
+            size = np.diff(begin)
+            text, token, _ = grouped(np.repeat(np.arange(high - low), size), value & np.uint64(0xFFFFFFFFFF000000))
+            yield token, text, centre[low:high][text], np.column_stack((keys[low:high], size)).astype(np.int64), None
 
     return make
 
 
+MET = "block long, keys binary, hashes binary, places binary, counts binary, own binary"
+
+
 def _met(batches):
-    """Of this task's tokens: how many of each text another text has too, and how often others have them."""
-    held, values = [], []
+    """To each block its tokens of this task that any other text has, with the number of centres
+    that have them, and for each text how many of its tokens no other text has."""
+
+    def told(*row):
+        return pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int64()), *[pa.array([c], pa.binary()) for c in row[1:]]], ["block", "keys", "hashes", "places", "counts", "own"])
+
+    held, values, times = [], [], []
     for batch in batches:
         for row in batch.to_pylist():
             if row["keys"] is not None:
-                yield answer(row["block"], row["keys"], [])
+                yield told(row["block"], row["keys"], None, None, None, None)
             else:
                 held.append((row["block"], row["places"]))
                 values.append(unpack_sorted(row["hashes"]))
+                times.append(unpack(row["times"], np.uint32))
     if not held:
         return
-    ends = np.cumsum([len(v) for v in values])
-    value, index, count = np.unique(np.concatenate(values), return_inverse=True, return_counts=True)
-    for (block, places), more in zip(held, np.split(count[index], ends[:-1])):
-        place, many = unpack(places, np.uint32)[more > 1], more[more > 1]
-        yield answer(block, None, [np.bincount(place).astype(np.uint32), np.bincount(place, many).astype(np.float32)])
+    ends = np.cumsum([len(v) for v in values])[:-1]
+    _, index, count = np.unique(np.concatenate(values), return_inverse=True, return_counts=True)
+    centres = np.minimum(np.bincount(index, np.concatenate(times)), 65535).astype(np.uint16)
+    for (block, places), value, at in zip(held, values, np.split(index, ends)):
+        met, place = count[at] > 1, unpack(places, np.uint32)
+        yield told(block, None, pack_sorted(value[met]), pack(place[met]), pack(centres[at[met]]), pack(np.bincount(place[~met]).astype(np.uint32)))
+
+
+def _ranked(buckets: int, least: int):
+    """Signatures of the texts of a block whose tokens are in order of how many centres have
+    them, and a row with bucket -1 that holds keys, prefixes and how common the tokens are."""
+
+    def finish(keys, parts):
+        known = np.frombuffer(keys, np.int64).reshape(-1, 2)
+        own = np.zeros(len(known), np.int64)
+        for row in parts:
+            more = unpack(row["own"], np.uint32)
+            own[: len(more)] += more
+        value = np.concatenate([unpack_sorted(row["hashes"]) for row in parts]) if parts else np.zeros(0, np.uint64)
+        place, count = (np.concatenate([unpack(row[c], k) for row in parts]) if parts else np.zeros(0, k) for c, k in (("places", np.uint32), ("counts", np.uint16)))
+        order = np.lexsort((value, count, place))
+        value, place, count = value[order], place[order], count[order]
+        # equal blocks (repeated rows) tell everything twice
+        new = np.append(True, (value[1:] != value[:-1]) | (place[1:] != place[:-1]))[: len(value)]
+        value, place, count = value[new], place[new], count[new]
+        begin = np.searchsorted(place, np.arange(len(known) + 1))
+        usual = np.bincount(place, count, minlength=len(known)) / np.maximum(known[:, 1], 1)
+        prefixes = np.zeros(len(known), np.uint32)
+        signature, key, prefix, held = [], [], [], 0
+        for i, (name, n) in enumerate(known):
+            found, prefixes[i] = ranked_signatures(int(own[i]), int(n), value[begin[i] : begin[i + 1]], count[begin[i] : begin[i + 1]], least)
+            signature.append(found)
+            key.append(np.full(len(found), name))
+            prefix.append(np.full(len(found), prefixes[i]))
+            held += len(found)
+            if held >= POSTINGS_AT_ONCE:
+                yield _signature_block(signature, key, prefix, buckets)
+                signature, key, prefix, held = [], [], [], 0
+        if held:
+            yield _signature_block(signature, key, prefix, buckets)
+        yield _signed([(-1, usual.tobytes(), None, prefixes.tobytes(), known[:, 0].tobytes())])
 
+    def run(batches):
+        block, keys, parts = None, None, []
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["block"] != block:
+                    if keys is not None:
+                        yield from finish(keys, parts)
+                    block, keys, parts = row["block"], None, []
+                if row["keys"] is not None:
+                    keys = row["keys"]
+                else:
+                    parts.append(row)
+        if keys is not None:
+            yield from finish(keys, parts)
 
-def linkable(texts: DataFrame, sizes: DataFrame, n: int, width: int) -> DataFrame:
-    """``key, usual``: of ``sizes``, the texts with enough tokens in common with any others of
-    them, and how common their tokens are; the middle of a group of copies has the most."""
-    blocks = among(texts.select("key", "text"), sizes).sortWithinPartitions("key").mapInArrow(posted(_tokens(n), lambda v: bucket_of(v, width), width, at_once=POSTINGS_AT_ONCE), BLOCK)
-    met = summed(blocks.repartition(width, "bucket").mapInArrow(_met, ANSWER), width, {"met": "u4", "usual": "f4"}).groupBy("key").agg(F.max("met").alias("met"), F.max("usual").alias("usual"))
-    return sizes.join(met, "key").filter(100 * F.col("met") >= PERCENT * F.col("n")).select("key", (F.col("usual") / F.col("n")).alias("usual"))
+    return run
+
+
+def _able(batches):
+    for batch in batches:
+        for row in batch.to_pylist():
+            prefix = np.frombuffer(row["times"], np.uint32).astype(np.int64)
+            usual, key = np.frombuffer(row["hashes"], np.float64), np.frombuffer(row["keys"], np.int64)
+            held = prefix > 0
+            yield pa.RecordBatch.from_arrays([pa.array(x[held]) for x in (key, prefix, usual)], ["key", "prefix", "usual"])
+
+
+def ranked(texts: DataFrame, sizes: DataFrame, n: int, width: int) -> tuple[DataFrame, DataFrame]:
+    """Of ``sizes`` (``key, is_centre``): signatures by exact frequency (``signature, key, prefix``,
+    where two texts have them), and the texts with enough tokens in common with any others of
+    them (``key, prefix, usual``; the middle of a group of copies has the most usual tokens).
+
+    A token's order is the number of centres that have it, so what sets a text apart from its
+    group comes first and what the whole group has last, in pairs.
+    """
+    held = among(texts.select("key", "text"), sizes).join(sizes.filter("is_centre").select("key", F.lit(True).alias("is_centre")), "key", "left")
+    held = held.select("key", "text", F.coalesce("is_centre", F.lit(False)).alias("is_centre")).sortWithinPartitions("key")
+    blocks = held.mapInArrow(posted(_tokens(n), lambda v: bucket_of(v, width), width, at_once=POSTINGS_AT_ONCE), BLOCK)
+    told = blocks.repartition(width, "bucket").mapInArrow(_met, MET).repartition(width, "block").sortWithinPartitions("block")
+    signed = cut_lineage(told.mapInArrow(_ranked(width, LEAST_FREQUENT), SIGNED))
+    shared = signed.filter("bucket >= 0").repartition(width, "bucket").mapInArrow(_shared, "signature long, key long, prefix long")
+    able = signed.filter("bucket < 0").mapInArrow(_able, "key long, prefix long, usual double").groupBy("key").agg(F.max("prefix").alias("prefix"), F.max("usual").alias("usual"))
+    return shared, able
 
 
 def _led(low: DataFrame, texts: DataFrame, n: int) -> DataFrame:
@@ -360,14 +470,17 @@ def linked_texts(documents: DataFrame, n: int = 5) -> tuple[DataFrame, DataFrame
     tokens = counted.mapInArrow(_frequent(least), "token long").toPandas()["token"].to_numpy(np.int64).view(np.uint64)
     frequent = spark.sparkContext.broadcast(np.sort(tokens))
 
-    blocks = among(texts, placed).mapInArrow(_signature_blocks(n, frequent, width), "bucket int, hashes binary, places binary, times binary, keys binary")
-    shared = blocks.repartition(width, "bucket").mapInArrow(_shared, "signature long, key long, prefix long")
-    shared = cut_lineage(shared)
-    sizes = cut_lineage(shared.groupBy("key").agg(F.first("prefix").alias("prefix")).join(placed.select("key", "n"), "key"))
-
-    # Texts with too many tokens of their own link with nothing; the others get leaders again.
-    able = cut_lineage(linkable(texts, sizes, n, width))
-    again = _led(low.join(able.join(placed.filter("key = centre").select("key"), "key"), "key"), texts, n)
+    # Which texts share a signature at all, in an order by hash.
+    blocks = among(texts, placed).mapInArrow(_signature_blocks(n, frequent, width), SIGNED)
+    met = blocks.repartition(width, "bucket").mapInArrow(_shared, "signature long, key long, prefix long").select("key").distinct()
+    met = cut_lineage(placed.join(met, "key").select("key", "n", (F.col("key") == F.col("centre")).alias("is_centre")))
+
+    # Texts with too many tokens of their own link with nothing; the others get signatures by
+    # frequency, and leaders again.
+    shared, able = ranked(texts, met, n, width)
+    able = cut_lineage(able.join(met.select("key", "n"), "key"))
+    sizes = able.select("key", "n", "prefix")
+    again = _led(low.join(able.select("key", "usual").join(placed.filter("key = centre").select("key"), "key"), "key"), texts, n)
     roots = _roots(again).withColumnRenamed("key", "centre")
     placed = cut_lineage(placed.join(roots, "centre", "left").select(
         "key", "n", F.coalesce("root", "centre").alias("centre"), (F.col("distance") + F.coalesce("step", F.lit(0.0))).alias("distance")))
