@@ -208,11 +208,16 @@ def _met(batches):
 
 
 def linkable(texts: DataFrame, sizes: DataFrame, n: int, width: int) -> DataFrame:
-    """``key, usual``: of ``sizes``, the texts with enough tokens in common with any others of
-    them, and how common their tokens are; the middle of a group of copies has the most."""
+    """``key, usual, strong``: of ``sizes``, the texts with enough tokens in common with any
+    others of them, and how common their tokens are; the middle of a group of copies has the most.
+
+    A link needs 180 * common >= 80 * (both sizes), so of its two texts the one that is not
+    the larger is ``strong``: 180 * met >= 160 * n.
+    """
     blocks = among(texts.select("key", "text"), sizes).sortWithinPartitions("key").mapInArrow(posted(_tokens(n), lambda v: bucket_of(v, width), width, at_once=POSTINGS_AT_ONCE), BLOCK)
     met = summed(blocks.repartition(width, "bucket").mapInArrow(_met, ANSWER), width, {"met": "u4", "usual": "f4"}).groupBy("key").agg(F.max("met").alias("met"), F.max("usual").alias("usual"))
-    return sizes.join(met, "key").filter(100 * F.col("met") >= PERCENT * F.col("n")).select("key", (F.col("usual") / F.col("n")).alias("usual"))
+    return sizes.join(met, "key").filter(100 * F.col("met") >= PERCENT * F.col("n")).select(
+        "key", (F.col("usual") / F.col("n")).alias("usual"), (F.col("met") * (100 + PERCENT) >= F.col("n") * 2 * PERCENT).alias("strong"))
 
 
 def _led(low: DataFrame, texts: DataFrame, n: int) -> DataFrame:
@@ -279,18 +284,19 @@ def _sized(a: str, b: str):
 
 
 def _counted_pairs(batches):
-    """Pairs ``a < b`` with a common signature, and with how many, summed over this task's signatures."""
+    """Pairs ``a < b`` with a common signature, one of them strong, and with how many, summed over
+    this task's signatures."""
     held = [batch for batch in batches if len(batch)]
     if not held:
         return
     table = pa.Table.from_batches(held)
-    signature, name = table.column("signature").to_numpy(), table.column("name").to_numpy()
-    order = np.lexsort((name, signature))
-    signature, name = signature[order], name[order]
+    signature, name, strong = (table.column(c).to_numpy() for c in ("signature", "name", "strong"))
+    order = np.lexsort((name, ~strong, signature))
+    signature, name, strong = signature[order], name[order], strong[order]
     names, code = np.unique(name, return_inverse=True)
     first = np.flatnonzero(np.diff(signature, prepend=~signature[:1]) != 0)
     size = np.diff(np.append(first, len(signature)))
-    later = np.repeat(first + size, size) - np.arange(len(signature)) - 1
+    later = np.where(strong, np.repeat(first + size, size) - np.arange(len(signature)) - 1, 0)
     end, low = np.cumsum(later), 0
     held, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
     while low < len(signature):
@@ -298,7 +304,7 @@ def _counted_pairs(batches):
         some = later[low:high]
         one = np.repeat(np.arange(low, high), some)
         other = one + 1 + np.arange(len(one)) - np.repeat(np.cumsum(some) - some, some)
-        pair, count = grouped(np.concatenate((held, code[one] * len(names) + code[other])), weight=np.concatenate((counts, np.ones(len(one), np.int64))))
+        pair, count = grouped(np.concatenate((held, np.minimum(code[one], code[other]) * len(names) + np.maximum(code[one], code[other]))), weight=np.concatenate((counts, np.ones(len(one), np.int64))))
         held, counts, low = pair, count, high
     for i in range(0, len(held), 100_000):
         pair = held[i : i + 100_000]
@@ -306,9 +312,9 @@ def _counted_pairs(batches):
 
 
 def _pairs(rows: DataFrame, name: str, width: int) -> DataFrame:
-    """``a, b, shared``: pairs of ``name`` that share signatures.  Only texts of the same few
+    """``a, b, shared``: pairs of ``name`` that share signatures, one of them by a strong text.  Only texts of the same few
     signatures meet in a task, and its pairs leave summed."""
-    named = rows.select("signature", F.col(name).alias("name")).distinct()
+    named = rows.groupBy("signature", F.col(name).alias("name")).agg(F.max("strong").alias("strong"))
     counted = named.repartition(width, "signature").mapInArrow(_counted_pairs, "a long, b long, shared long")
     return counted.groupBy("a", "b").agg(F.sum("shared").alias("shared"))
 
@@ -367,11 +373,13 @@ def linked_texts(documents: DataFrame, n: int = 5) -> tuple[DataFrame, DataFrame
 
     # Texts with too many tokens of their own link with nothing; the others get leaders again.
     able = cut_lineage(linkable(texts, sizes, n, width))
-    again = _led(low.join(able.join(placed.filter("key = centre").select("key"), "key"), "key"), texts, n)
+    again = _led(low.join(able.select("key", "usual").join(placed.filter("key = centre").select("key"), "key"), "key"), texts, n)
     roots = _roots(again).withColumnRenamed("key", "centre")
     placed = cut_lineage(placed.join(roots, "centre", "left").select(
         "key", "n", F.coalesce("root", "centre").alias("centre"), (F.col("distance") + F.coalesce("step", F.lit(0.0))).alias("distance")))
-    rows = cut_lineage(shared.join(placed.join(able.select("key"), "key"), "key").select("signature", "key", "prefix", "n", "centre", "distance"))
+    strong = shared.join(able.filter("strong").select("key"), "key", "left_semi").select("signature").distinct()
+    held = shared.join(strong, "signature", "left_semi").join(placed.join(able.select("key", "strong"), "key"), "key")
+    rows = cut_lineage(held.select("signature", "key", "prefix", "n", "centre", "distance", "strong"))
 
     # Centres against centres, at the threshold itself.
     first = compared(_hopeful(_pairs(rows.filter("key = centre"), "key", width), sizes), texts, n)
@@ -387,8 +395,8 @@ def linked_texts(documents: DataFrame, n: int = 5) -> tuple[DataFrame, DataFrame
     known = first.select("a", "b", "linked", "distance")
     measured = compared(near.join(known, ["a", "b"], "left_anti"), texts, n).select("a", "b", "linked", "distance").unionByName(known)
     close = near.join(measured, ["a", "b"]).filter(~F.col("linked") & (F.col("distance") <= F.lit(1 - PERCENT / 100 + 1e-9) + F.col("slack"))).select("a", "b")
-    left = apart.join(close, apart["centre"] == close["a"]).select("signature", F.col("key").alias("key_a"), F.col("b").alias("centre"))
-    members = left.join(apart.select("signature", "centre", F.col("key").alias("key_b")), ["signature", "centre"]).groupBy(
+    left = apart.join(close, apart["centre"] == close["a"]).select("signature", F.col("key").alias("key_a"), F.col("strong").alias("strong_a"), F.col("b").alias("centre"))
+    members = left.join(apart.select("signature", "centre", F.col("key").alias("key_b"), "strong"), ["signature", "centre"]).filter("strong OR strong_a").groupBy(
         F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b")).agg(F.count("*").alias("shared"))
     late = compared(_hopeful(members, sizes), texts, n)
 
