@@ -34,6 +34,8 @@ LEAST_FREQUENT = 256
 PAIRS_AT_ONCE = 1_000_000
 #: Postings and bytes of text that a task holds at a time.
 POSTINGS_AT_ONCE, TEXT_AT_ONCE = 400_000, 1 << 19
+#: Members of a ball that a task holds at a time.
+BALL_BLOCK = 2_000
 #: Bits of the key filter that is broadcast; more than an eighth as many keys are joined instead.
 FILTER_BITS = 1 << 25
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -221,18 +223,24 @@ def linkable(texts: DataFrame, sizes: DataFrame, n: int, width: int) -> DataFram
 
 
 def _led(low: DataFrame, texts: DataFrame, n: int) -> DataFrame:
-    """Checked pairs of a text and its leader: of the texts that share a low hash, the most
-    usual one, and of several such the one with the most in common.
+    """Checked pairs of a text and its leader: the most usual of the texts that share a low hash
+    with it and have a possible size, itself included.
 
-    ``low`` has ``key, n, token, usual``.
+    ``low`` has ``key, n, token`` and maybe ``usual``, else how often its low hashes are held
+    stands for it.
     """
-    held = low.groupBy("token").agg(F.count("*").alias("held")).filter("held > 1").select("token")
-    known = cut_lineage(low.join(held, "token"))
-    leaders = known.groupBy("token").agg(F.max(F.struct("usual", "key")).alias("lead")).select("token", F.col("lead.key").alias("leader"))
-    choice = known.join(leaders, "token").filter("key != leader").groupBy("key", "leader").agg(F.count("*").alias("shared"), F.first("n").alias("n"))
-    choice = choice.join(low.select(F.col("key").alias("leader"), F.col("n").alias("n_leader")).distinct(), "leader").filter(_sized("n", "n_leader"))
-    chosen = choice.groupBy("key").agg(F.max_by("leader", F.struct("shared", "leader")).alias("leader"))
-    return compared(chosen.select(F.col("leader").alias("a"), F.col("key").alias("b")), texts, n).filter("linked")
+    counted = low.groupBy("token").agg(F.count("*").alias("held")).filter("held > 1")
+    known = low.join(counted, "token")
+    if "usual" not in low.columns:
+        known = known.join(known.groupBy("key").agg(F.sum("held").cast("double").alias("usual")), "key")
+    known = cut_lineage(known.select("key", "n", "token", "usual"))
+    # Sizes that can link are within a quarter: the most usual text per token and span of sizes.
+    span = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25)))
+    spans = known.withColumn("span", F.explode(F.array(span - 1, span, span + 1)))
+    leaders = spans.groupBy("token", "span").agg(F.max(F.struct("usual", "key", "n")).alias("lead"))
+    choice = known.withColumn("span", span).join(leaders, ["token", "span"]).select("key", "n", "usual", "lead").filter(_sized("n", "lead.n"))
+    chosen = choice.groupBy("key", "usual").agg(F.max("lead").alias("lead")).filter(F.struct("usual", "key") < F.struct("lead.usual", "lead.key"))
+    return compared(chosen.select(F.col("lead.key").alias("a"), F.col("key").alias("b")), texts, n).filter("linked")
 
 
 def _roots(copies: DataFrame) -> DataFrame:
@@ -330,6 +338,88 @@ def _hopeful(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
     return shared.filter(_sized("n_a", "n_b") & ((100 + PERCENT) * reach >= needed)).select("a", "b")
 
 
+def parity(value: np.ndarray) -> bytes:
+    """For each residue of a set's hashes whether an odd number of them has it, as bits; at least
+    two residues per hash.  Sets whose parities differ in ``d`` bits differ in ``d`` hashes or more."""
+    bits = 1 << max(6, int(2 * len(value) - 1).bit_length())
+    odd = np.bincount((value & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _parities(n: int):
+    def run(batches):
+        for batch in batches:
+            for low, high, begin, value in _sets(batch.column("text"), n):
+                made = [parity(value[begin[i] : begin[i + 1]]) for i in range(high - low)]
+                yield pa.RecordBatch.from_arrays([batch.column("key").slice(low, high - low), pa.array(made, pa.binary())], ["key", "parity"])
+
+    return run
+
+
+def _folded(bits: np.ndarray, words: int) -> np.ndarray:
+    while bits.shape[-1] > words:
+        half = bits.shape[-1] // 2
+        bits = bits[..., :half] ^ bits[..., half:]
+    return bits
+
+
+def _in_reach(batches):
+    """Pairs of a ball's member and a probe that sizes, distances to the ball's centre and
+    parities allow to link.  Per block of a ball come its members, then the probes."""
+    place, members, sized = None, [], None
+    out_a, out_b = [], []
+    for batch in batches:
+        for row in batch.to_pylist():
+            if (row["ball"], row["block"]) != place:
+                place, members, sized = (row["ball"], row["block"]), [], None
+            if not row["probe"]:
+                members.append(row)
+                continue
+            if sized is None:
+                sized = {}
+                for m in members:
+                    sized.setdefault(len(m["parity"]) // 8, []).append(m)
+                sized = {w: (np.array([m["key"] for m in ms], np.int64), np.array([m["n"] for m in ms]), np.array([m["distance"] for m in ms]), np.array([m["strong"] for m in ms], bool),
+                             np.frombuffer(b"".join(m["parity"] for m in ms), np.uint64).reshape(len(ms), w)) for w, ms in sized.items()}
+            mine = np.frombuffer(row["parity"], np.uint64)
+            for words, (key, n, distance, strong, bits) in sized.items():
+                may = np.flatnonzero((100 * n >= PERCENT * row["n"]) & (100 * row["n"] >= PERCENT * n) & (distance + (1 - PERCENT / 100 + 1e-9) >= row["distance"]) & (strong | row["strong"]))
+                if len(may):
+                    least = min(words, len(mine))
+                    apart = np.bitwise_count(_folded(bits[may], least) ^ _folded(mine, least)).sum(axis=1, dtype=np.int64)
+                    found = key[may[(100 + PERCENT) * apart <= (100 - PERCENT) * (n[may] + row["n"])]]
+                    out_a.append(np.minimum(found, row["key"]))
+                    out_b.append(np.maximum(found, row["key"]))
+        if out_a:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], ["a", "b"])
+            out_a, out_b = [], []
+
+
+def across(close: DataFrame, members: DataFrame, texts: DataFrame, n: int, width: int) -> DataFrame:
+    """``a, b``: pairs of members of two balls that may link.
+
+    ``close`` has centres ``a, b`` and their ``distance``; ``members`` has ``key, centre, n,
+    distance, strong``.  The larger ball of a pair lies in blocks of its members, the smaller
+    one's members visit all of them; only pairs that pass leave a task.
+    """
+    ends = close.select(F.col("a").alias("centre")).unionByName(close.select(F.col("b").alias("centre"))).distinct()
+    held = members.join(ends, "centre")
+    made = among(texts.select("key", "text"), held.select("key")).mapInArrow(_parities(n), "key long, parity binary").dropDuplicates(["key"])
+    held = cut_lineage(held.join(made, "key"))
+    count = held.groupBy("centre").agg(F.count("*").alias("held"))
+    side = lambda s: count.select(F.col("centre").alias(s), F.col("held").alias(f"held_{s}"))
+    larger = F.col("held_a") >= F.col("held_b")
+    visits = close.select("a", "b", F.col("distance").alias("gap")).join(side("a"), "a").join(side("b"), "b").select(
+        F.when(larger, F.col("a")).otherwise(F.col("b")).alias("ball"), F.when(larger, F.col("b")).otherwise(F.col("a")).alias("centre"), "gap", F.greatest("held_a", "held_b").alias("held"))
+    blocks = F.ceil(F.col("held") / BALL_BLOCK)
+    balls = held.join(count, "centre").join(visits.select(F.col("ball").alias("centre")).distinct(), "centre").select(
+        F.col("centre").alias("ball"), F.pmod(F.xxhash64("key"), blocks).alias("block"), F.lit(False).alias("probe"), "key", "n", "distance", "strong", "parity")
+    probes = visits.join(held, "centre").select(
+        "ball", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"), F.lit(True).alias("probe"), "key", "n", (F.col("gap") - F.col("distance")).alias("distance"), "strong", "parity")
+    met = balls.unionByName(probes).repartition(width, "ball", "block").sortWithinPartitions("ball", "block", "probe")
+    return met.mapInArrow(_in_reach, "a long, b long")
+
+
 def _reachable(low: str, high: str):
     return 100 * F.col(high) >= PERCENT * F.col(low)
 
@@ -355,7 +445,7 @@ def linked_texts(documents: DataFrame, n: int = 5) -> tuple[DataFrame, DataFrame
 
     # Near copies belong to a leader that the exact check confirms.
     low = cut_lineage(sets.select("key", "n", F.explode("lowest").alias("token")))
-    copies = _led(low.withColumn("usual", F.lit(0.0)), texts, n)
+    copies = _led(low, texts, n)
     placed = cut_lineage(sets.select("key", "n").join(_roots(copies), "key", "left").select("key", "n", F.coalesce("root", "key").alias("centre"), F.coalesce("step", F.lit(0.0)).alias("distance")))
 
     # Frequent tokens among centres; the threshold bounds their number.
@@ -394,11 +484,9 @@ def linked_texts(documents: DataFrame, n: int = 5) -> tuple[DataFrame, DataFrame
         F.least(_lacking("low_a", "high_b"), _lacking("low_b", "high_a")) <= 100 * (F.col("shared") + 1)).select("a", "b", (F.col("radius_a") + F.col("radius_b")).alias("slack")))
     known = first.select("a", "b", "linked", "distance")
     measured = compared(near.join(known, ["a", "b"], "left_anti"), texts, n).select("a", "b", "linked", "distance").unionByName(known)
-    close = near.join(measured, ["a", "b"]).filter(~F.col("linked") & (F.col("distance") <= F.lit(1 - PERCENT / 100 + 1e-9) + F.col("slack"))).select("a", "b")
-    left = apart.join(close, apart["centre"] == close["a"]).select("signature", F.col("key").alias("key_a"), F.col("strong").alias("strong_a"), F.col("b").alias("centre"))
-    members = left.join(apart.select("signature", "centre", F.col("key").alias("key_b"), "strong"), ["signature", "centre"]).filter("strong OR strong_a").groupBy(
-        F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b")).agg(F.count("*").alias("shared"))
-    late = compared(_hopeful(members, sizes), texts, n)
+    close = cut_lineage(near.join(measured, ["a", "b"]).filter(~F.col("linked") & (F.col("distance") <= F.lit(1 - PERCENT / 100 + 1e-9) + F.col("slack"))).select("a", "b", "distance"))
+    members = rows.select("key", "centre", "n", "distance", "strong").distinct()
+    late = compared(across(close, members, texts, n, width), texts, n)
 
     # What hangs together, among centres: members hang on theirs.
     edges = copies.select("a", "b").unionByName(again.select("a", "b")).unionByName(first.filter("linked").select("a", "b")).unionByName(late.filter("linked").select("a", "b"))
