@@ -48,6 +48,14 @@ def _sets(texts: pa.Array, n: int):
         yield low, high, np.searchsorted(owner, np.arange(high - low + 1)), value
 
 
+def parity(value: np.ndarray) -> bytes:
+    """For each residue of a set's hashes whether an odd number of them has it, as bits; at least
+    two residues per hash.  Sets whose parities differ in ``d`` bits differ in ``d`` hashes or more."""
+    bits = 1 << max(6, int(2 * len(value) - 1).bit_length())
+    odd = np.bincount((value & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
 def _facts(n: int):
     def run(batches):
         for batch in batches:
@@ -59,8 +67,9 @@ def _facts(n: int):
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(first)), pa.int32()), pa.array(value[spot].view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
                     [*[batch.column(c).slice(low, high - low) for c in ("key", "doc_id")], pa.array(size.astype(np.int64)),
-                     pa.array(total(value).view(np.int64)), pa.array(total(mixed(value ^ _ALL)).view(np.int64)), lists],
-                    ["key", "doc_id", "n", "sum_a", "sum_b", "lowest"])
+                     pa.array(total(value).view(np.int64)), pa.array(total(mixed(value ^ _ALL)).view(np.int64)), lists,
+                     pa.array([parity(value[begin[i] : begin[i + 1]]) for i in range(high - low)], pa.binary())],
+                    ["key", "doc_id", "n", "sum_a", "sum_b", "lowest", "parity"])
 
     return run
 
@@ -222,7 +231,7 @@ def linkable(texts: DataFrame, sizes: DataFrame, n: int, width: int) -> DataFram
         "key", (F.col("usual") / F.col("n")).alias("usual"), (F.col("met") * (100 + PERCENT) >= F.col("n") * 2 * PERCENT).alias("strong"))
 
 
-def _led(low: DataFrame, texts: DataFrame, n: int) -> DataFrame:
+def _led(low: DataFrame, parities: DataFrame, texts: DataFrame, n: int) -> DataFrame:
     """Checked pairs of a text and its leader: the most usual of the texts that share a low hash
     with it and have a possible size, itself included.
 
@@ -240,7 +249,7 @@ def _led(low: DataFrame, texts: DataFrame, n: int) -> DataFrame:
     leaders = spans.groupBy("token", "span").agg(F.max(F.struct("usual", "key", "n")).alias("lead"))
     choice = known.withColumn("span", span).join(leaders, ["token", "span"]).select("key", "n", "usual", "lead").filter(_sized("n", "lead.n"))
     chosen = choice.groupBy("key", "usual").agg(F.max("lead").alias("lead")).filter(F.struct("usual", "key") < F.struct("lead.usual", "lead.key"))
-    return compared(chosen.select(F.col("lead.key").alias("a"), F.col("key").alias("b")), texts, n).filter("linked")
+    return compared(linkable_pairs(chosen.select(F.col("lead.key").alias("a"), F.col("key").alias("b")), parities), texts, n).filter("linked")
 
 
 def _roots(copies: DataFrame) -> DataFrame:
@@ -338,24 +347,6 @@ def _hopeful(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
     return shared.filter(_sized("n_a", "n_b") & ((100 + PERCENT) * reach >= needed)).select("a", "b")
 
 
-def parity(value: np.ndarray) -> bytes:
-    """For each residue of a set's hashes whether an odd number of them has it, as bits; at least
-    two residues per hash.  Sets whose parities differ in ``d`` bits differ in ``d`` hashes or more."""
-    bits = 1 << max(6, int(2 * len(value) - 1).bit_length())
-    odd = np.bincount((value & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
-
-
-def _parities(n: int):
-    def run(batches):
-        for batch in batches:
-            for low, high, begin, value in _sets(batch.column("text"), n):
-                made = [parity(value[begin[i] : begin[i + 1]]) for i in range(high - low)]
-                yield pa.RecordBatch.from_arrays([batch.column("key").slice(low, high - low), pa.array(made, pa.binary())], ["key", "parity"])
-
-    return run
-
-
 def _folded(bits: np.ndarray, words: int) -> np.ndarray:
     while bits.shape[-1] > words:
         half = bits.shape[-1] // 2
@@ -395,7 +386,7 @@ def _in_reach(batches):
             out_a, out_b = [], []
 
 
-def across(close: DataFrame, members: DataFrame, texts: DataFrame, n: int, width: int) -> DataFrame:
+def across(close: DataFrame, members: DataFrame, parities: DataFrame, width: int) -> DataFrame:
     """``a, b``: pairs of members of two balls that may link.
 
     ``close`` has centres ``a, b`` and their ``distance``; ``members`` has ``key, centre, n,
@@ -404,8 +395,7 @@ def across(close: DataFrame, members: DataFrame, texts: DataFrame, n: int, width
     """
     ends = close.select(F.col("a").alias("centre")).unionByName(close.select(F.col("b").alias("centre"))).distinct()
     held = members.join(ends, "centre")
-    made = among(texts.select("key", "text"), held.select("key")).mapInArrow(_parities(n), "key long, parity binary").dropDuplicates(["key"])
-    held = cut_lineage(held.join(made, "key"))
+    held = cut_lineage(held.join(among(parities.select("key", "parity"), held.select("key")).dropDuplicates(["key"]), "key"))
     count = held.groupBy("centre").agg(F.count("*").alias("held"))
     side = lambda s: count.select(F.col("centre").alias(s), F.col("held").alias(f"held_{s}"))
     larger = F.col("held_a") >= F.col("held_b")
@@ -420,6 +410,25 @@ def across(close: DataFrame, members: DataFrame, texts: DataFrame, n: int, width
     return met.mapInArrow(_in_reach, "a long, b long")
 
 
+def _alike(batches):
+    """Pairs whose parities allow a link."""
+    for batch in batches:
+        sides = [[np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(c)] for c in ("parity_a", "parity_b")]
+        apart = [int(np.bitwise_count(_folded(x, min(len(x), len(y))) ^ _folded(y, min(len(x), len(y)))).sum()) for x, y in zip(*sides)]
+        both = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
+        may = pa.array((100 + PERCENT) * np.array(apart, np.int64) <= (100 - PERCENT) * both)
+        yield batch.select(["a", "b"]).filter(may)
+
+
+def linkable_pairs(pairs: DataFrame, parities: DataFrame) -> DataFrame:
+    """``a, b``: the pairs that parities do not rule out."""
+    pairs = cut_lineage(pairs.select("a", "b").distinct())
+    keys = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
+    held = among(parities, keys).dropDuplicates(["key"])
+    side = lambda s: held.select(*[F.col(c).alias(f"{c}_{s}" if c != "key" else s) for c in ("key", "n", "parity")])
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_alike, "a long, b long")
+
+
 def _reachable(low: str, high: str):
     return 100 * F.col(high) >= PERCENT * F.col(low)
 
@@ -439,13 +448,14 @@ def linked_texts(documents: DataFrame, n: int = 5) -> tuple[DataFrame, DataFrame
     spark = documents.sparkSession
     width = shuffle_width(spark)
     texts = documents.select("key", "doc_id", "text")
-    facts = cut_lineage(texts.mapInArrow(_facts(n), "key long, doc_id long, n long, sum_a long, sum_b long, lowest array<long>"))
+    whole = cut_lineage(texts.mapInArrow(_facts(n), "key long, doc_id long, n long, sum_a long, sum_b long, lowest array<long>, parity binary"))
+    facts, parities = whole.drop("parity"), whole.filter("n > 0").select("key", "n", "parity")
     same = ["n", "sum_a", "sum_b"]
     sets = cut_lineage(facts.filter("n > 0").groupBy(*same).agg(F.min(F.struct("key", "lowest")).alias("one")).select(F.col("one.key").alias("key"), *same, F.col("one.lowest").alias("lowest")))
 
     # Near copies belong to a leader that the exact check confirms.
     low = cut_lineage(sets.select("key", "n", F.explode("lowest").alias("token")))
-    copies = _led(low, texts, n)
+    copies = _led(low, parities, texts, n)
     placed = cut_lineage(sets.select("key", "n").join(_roots(copies), "key", "left").select("key", "n", F.coalesce("root", "key").alias("centre"), F.coalesce("step", F.lit(0.0)).alias("distance")))
 
     # Frequent tokens among centres; the threshold bounds their number.
@@ -463,7 +473,7 @@ def linked_texts(documents: DataFrame, n: int = 5) -> tuple[DataFrame, DataFrame
 
     # Texts with too many tokens of their own link with nothing; the others get leaders again.
     able = cut_lineage(linkable(texts, sizes, n, width))
-    again = _led(low.join(able.select("key", "usual").join(placed.filter("key = centre").select("key"), "key"), "key"), texts, n)
+    again = _led(low.join(able.select("key", "usual").join(placed.filter("key = centre").select("key"), "key"), "key"), parities, texts, n)
     roots = _roots(again).withColumnRenamed("key", "centre")
     placed = cut_lineage(placed.join(roots, "centre", "left").select(
         "key", "n", F.coalesce("root", "centre").alias("centre"), (F.col("distance") + F.coalesce("step", F.lit(0.0))).alias("distance")))
@@ -472,7 +482,7 @@ def linked_texts(documents: DataFrame, n: int = 5) -> tuple[DataFrame, DataFrame
     rows = cut_lineage(held.select("signature", "key", "prefix", "n", "centre", "distance", "strong"))
 
     # Centres against centres, at the threshold itself.
-    first = compared(_hopeful(_pairs(rows.filter("key = centre"), "key", width), sizes), texts, n)
+    first = compared(linkable_pairs(_hopeful(_pairs(rows.filter("key = centre"), "key", width), sizes), parities), texts, n)
 
     # Members of different centres: only where the centres are near enough for it.
     spans = placed.groupBy("centre").agg(F.max("distance").alias("radius"), F.min("n").alias("low"), F.max("n").alias("high"))
@@ -486,7 +496,7 @@ def linked_texts(documents: DataFrame, n: int = 5) -> tuple[DataFrame, DataFrame
     measured = compared(near.join(known, ["a", "b"], "left_anti"), texts, n).select("a", "b", "linked", "distance").unionByName(known)
     close = cut_lineage(near.join(measured, ["a", "b"]).filter(~F.col("linked") & (F.col("distance") <= F.lit(1 - PERCENT / 100 + 1e-9) + F.col("slack"))).select("a", "b", "distance"))
     members = rows.select("key", "centre", "n", "distance", "strong").distinct()
-    late = compared(across(close, members, texts, n, width), texts, n)
+    late = compared(across(close, members, parities, width), texts, n)
 
     # What hangs together, among centres: members hang on theirs.
     edges = copies.select("a", "b").unionByName(again.select("a", "b")).unionByName(first.filter("linked").select("a", "b")).unionByName(late.filter("linked").select("a", "b"))
