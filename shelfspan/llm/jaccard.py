@@ -34,6 +34,8 @@ LEAST_FREQUENT = 256
 PAIRS_AT_ONCE = 1_000_000
 #: Postings and bytes of text that a task holds at a time.
 POSTINGS_AT_ONCE, TEXT_AT_ONCE = 400_000, 1 << 19
+#: Bits of the parity that goes with each signature of a centre.
+SKETCH_BITS = 512
 #: Members of a ball that a task holds at a time.
 BALL_BLOCK = 2_000
 #: Bits of the key filter that is broadcast; more than an eighth as many keys are joined instead.
@@ -48,10 +50,10 @@ def _sets(texts: pa.Array, n: int):
         yield low, high, np.searchsorted(owner, np.arange(high - low + 1)), value
 
 
-def parity(value: np.ndarray) -> bytes:
-    """For each residue of a set's hashes whether an odd number of them has it, as bits; at least
-    two residues per hash.  Sets whose parities differ in ``d`` bits differ in ``d`` hashes or more."""
-    bits = 1 << max(6, int(2 * len(value) - 1).bit_length())
+def parity(value: np.ndarray, bits: int | None = None) -> bytes:
+    """For each residue of a set's hashes whether an odd number of them has it, as bits; unless
+    ``bits`` are given, at least two per hash.  Sets whose parities differ in ``d`` bits differ in ``d`` hashes or more."""
+    bits = bits or 1 << max(6, int(2 * len(value) - 1).bit_length())
     odd = np.bincount((value & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -68,8 +70,9 @@ def _facts(n: int):
                 yield pa.RecordBatch.from_arrays(
                     [*[batch.column(c).slice(low, high - low) for c in ("key", "doc_id")], pa.array(size.astype(np.int64)),
                      pa.array(total(value).view(np.int64)), pa.array(total(mixed(value ^ _ALL)).view(np.int64)), lists,
-                     pa.array([parity(value[begin[i] : begin[i + 1]]) for i in range(high - low)], pa.binary())],
-                    ["key", "doc_id", "n", "sum_a", "sum_b", "lowest", "parity"])
+                     pa.array([parity(value[begin[i] : begin[i + 1]]) for i in range(high - low)], pa.binary()),
+                     pa.array([parity(value[begin[i] : begin[i + 1]], SKETCH_BITS) for i in range(high - low)], pa.binary())],
+                    ["key", "doc_id", "n", "sum_a", "sum_b", "lowest", "parity", "sketch"])
 
     return run
 
@@ -301,19 +304,23 @@ def _sized(a: str, b: str):
 
 
 def _counted_pairs(batches):
-    """Pairs ``a < b`` with a common signature, one of them strong, and with how many, summed over
-    this task's signatures."""
+    """Pairs ``a < b`` with a common signature, one of them marked, one of them strong, and with how many,
+    summed over this task's signatures.  Where names have sketches, pairs that those rule out go."""
     held = [batch for batch in batches if len(batch)]
     if not held:
         return
     table = pa.Table.from_batches(held)
-    signature, name, strong = (table.column(c).to_numpy() for c in ("signature", "name", "strong"))
-    order = np.lexsort((name, ~strong, signature))
-    signature, name, strong = signature[order], name[order], strong[order]
-    names, code = np.unique(name, return_inverse=True)
+    signature, name, strong, marked = (table.column(c).to_numpy() for c in ("signature", "name", "strong", "marked"))
+    order = np.lexsort((name, ~marked, signature))
+    names, at, code = np.unique(name, return_index=True, return_inverse=True)
+    sketch = None
+    if table.column("sketch").null_count == 0:
+        size = table.column("n").to_numpy()[at]
+        sketch = np.frombuffer(b"".join(table.column("sketch").take(pa.array(at)).to_pylist()), np.uint64).reshape(len(at), -1)
+    signature, code, strong, marked = signature[order], code[order], strong[order], marked[order]
     first = np.flatnonzero(np.diff(signature, prepend=~signature[:1]) != 0)
-    size = np.diff(np.append(first, len(signature)))
-    later = np.where(strong, np.repeat(first + size, size) - np.arange(len(signature)) - 1, 0)
+    many = np.diff(np.append(first, len(signature)))
+    later = np.where(marked, np.repeat(first + many, many) - np.arange(len(signature)) - 1, 0)
     end, low = np.cumsum(later), 0
     held, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
     while low < len(signature):
@@ -321,17 +328,28 @@ def _counted_pairs(batches):
         some = later[low:high]
         one = np.repeat(np.arange(low, high), some)
         other = one + 1 + np.arange(len(one)) - np.repeat(np.cumsum(some) - some, some)
-        pair, count = grouped(np.concatenate((held, np.minimum(code[one], code[other]) * len(names) + np.maximum(code[one], code[other]))), weight=np.concatenate((counts, np.ones(len(one), np.int64))))
-        held, counts, low = pair, count, high
+        one, other = (x[strong[one] | strong[other]] for x in (one, other))
+        pair, count = grouped(np.minimum(code[one], code[other]) * len(names) + np.maximum(code[one], code[other]))
+        if sketch is not None:
+            x, y = pair // len(names), pair % len(names)
+            # A slice at a time: 128 bytes of sketches per pair.
+            apart = np.concatenate([np.zeros(0, np.int64), *[np.bitwise_count(sketch[x[i : i + 100_000]] ^ sketch[y[i : i + 100_000]]).sum(axis=1, dtype=np.int64) for i in range(0, len(x), 100_000)]])
+            may = (100 + PERCENT) * apart <= (100 - PERCENT) * (size[x] + size[y])
+            pair, count = pair[may], count[may]
+        held, counts = grouped(np.concatenate((held, pair)), weight=np.concatenate((counts, count)))
+        low = high
     for i in range(0, len(held), 100_000):
         pair = held[i : i + 100_000]
         yield pa.RecordBatch.from_arrays([pa.array(names[pair // len(names)]), pa.array(names[pair % len(names)]), pa.array(counts[i : i + 100_000])], ["a", "b", "shared"])
 
 
-def _pairs(rows: DataFrame, name: str, width: int) -> DataFrame:
-    """``a, b, shared``: pairs of ``name`` that share signatures, one of them by a strong text.  Only texts of the same few
-    signatures meet in a task, and its pairs leave summed."""
-    named = rows.groupBy("signature", F.col(name).alias("name")).agg(F.max("strong").alias("strong"))
+def _pairs(named: DataFrame, width: int) -> DataFrame:
+    """``a, b, shared``: pairs of names that share signatures.  Only names of the same few
+    signatures meet in a task, and its pairs leave summed.
+
+    ``named`` has ``signature, name, strong, marked, n, sketch`` once per signature and name;
+    a pair needs a marked and a strong side.
+    """
     counted = named.repartition(width, "signature").mapInArrow(_counted_pairs, "a long, b long, shared long")
     return counted.groupBy("a", "b").agg(F.sum("shared").alias("shared"))
 
@@ -448,8 +466,8 @@ def linked_texts(documents: DataFrame, n: int = 5) -> tuple[DataFrame, DataFrame
     spark = documents.sparkSession
     width = shuffle_width(spark)
     texts = documents.select("key", "doc_id", "text")
-    whole = cut_lineage(texts.mapInArrow(_facts(n), "key long, doc_id long, n long, sum_a long, sum_b long, lowest array<long>, parity binary"))
-    facts, parities = whole.drop("parity"), whole.filter("n > 0").select("key", "n", "parity")
+    whole = cut_lineage(texts.mapInArrow(_facts(n), "key long, doc_id long, n long, sum_a long, sum_b long, lowest array<long>, parity binary, sketch binary"))
+    facts, parities = whole.drop("parity", "sketch"), whole.filter("n > 0").select("key", "n", "parity")
     same = ["n", "sum_a", "sum_b"]
     sets = cut_lineage(facts.filter("n > 0").groupBy(*same).agg(F.min(F.struct("key", "lowest")).alias("one")).select(F.col("one.key").alias("key"), *same, F.col("one.lowest").alias("lowest")))
 
@@ -482,14 +500,20 @@ def linked_texts(documents: DataFrame, n: int = 5) -> tuple[DataFrame, DataFrame
     rows = cut_lineage(held.select("signature", "key", "prefix", "n", "centre", "distance", "strong"))
 
     # Centres against centres, at the threshold itself.
-    first = compared(linkable_pairs(_hopeful(_pairs(rows.filter("key = centre"), "key", width), sizes), parities), texts, n)
+    own = rows.filter("key = centre").select("signature", F.col("key").alias("name"), "strong", F.col("strong").alias("marked"), "n")
+    sketches = among(whole.select("key", "sketch"), own.select(F.col("name").alias("key")).distinct()).dropDuplicates(["key"])
+    own = own.join(sketches.withColumnRenamed("key", "name"), "name")
+    first = compared(linkable_pairs(_hopeful(_pairs(own, width), sizes), parities), texts, n)
 
     # Members of different centres: only where the centres are near enough for it.
     spans = placed.groupBy("centre").agg(F.max("distance").alias("radius"), F.min("n").alias("low"), F.max("n").alias("high"))
     reached = rows.groupBy("signature").agg(F.min("centre").alias("low"), F.max("centre").alias("high"), F.max("distance").alias("wide")).filter("low != high AND wide > 0")
     apart = cut_lineage(rows.join(reached.select("signature"), "signature", "left_semi"))
     side = lambda s: spans.select(F.col("centre").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("radius", "low", "high")])
-    near = cut_lineage(_pairs(apart, "centre", width).join(side("a"), "a").join(side("b"), "b").filter("radius_a + radius_b > 0").filter(
+    wide = spans.filter("radius > 0").select("centre", F.lit(True).alias("wide"))
+    balls = apart.groupBy("signature", "centre").agg(F.max("strong").alias("strong")).join(wide, "centre", "left").select(
+        "signature", F.col("centre").alias("name"), "strong", F.coalesce("wide", F.lit(False)).alias("marked"), F.lit(0).cast("long").alias("n"), F.lit(None).cast("binary").alias("sketch"))
+    near = cut_lineage(_pairs(balls, width).join(side("a"), "a").join(side("b"), "b").filter("radius_a + radius_b > 0").filter(
         _reachable("low_a", "high_b") & _reachable("low_b", "high_a")).filter(
         F.least(_lacking("low_a", "high_b"), _lacking("low_b", "high_a")) <= 100 * (F.col("shared") + 1)).select("a", "b", (F.col("radius_a") + F.col("radius_b")).alias("slack")))
     known = first.select("a", "b", "linked", "distance")
