@@ -107,6 +107,25 @@ def test_jaccard_join_beyond_the_filter(docs, rows, monkeypatch):
     assert Counter(map(tuple, jaccard.jaccard_components(docs).collect())) == components_of(rows)
 
 
+def test_jaccard_balls_in_many_blocks(docs, rows, monkeypatch):
+    monkeypatch.setattr(jaccard, "BALL_BLOCK", 2)
+    assert Counter(map(tuple, jaccard.jaccard_components(docs).collect())) == components_of(rows)
+
+
+@pytest.mark.parametrize("bits", [None, jaccard.SKETCH_BITS])
+def test_parity_never_exceeds_the_difference(bits):
+    draw = np.random.default_rng(7)
+    for size in (1, 40, 128, 129, 700):
+        one = draw.integers(0, 2**63, size, dtype=np.uint64)
+        for changed in (0, 1, size // 5, size):
+            other = np.concatenate((one[changed:], draw.integers(0, 2**63, changed + size // 9, dtype=np.uint64)))
+            x, y = (np.frombuffer(jaccard.parity(v, bits), np.uint64) for v in (one, other))
+            words = min(len(x), len(y))
+            apart = int(np.bitwise_count(jaccard._folded(x, words) ^ jaccard._folded(y, words)).sum())
+            assert apart <= len(np.setxor1d(one, other))
+            assert apart > 0 or not changed + size // 9
+
+
 def test_quality(spark, docs, rows):
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)] + [(None, 1, 1), (3, None, None)], LABELS)
     got = quality_rules(docs, labels).collect()
