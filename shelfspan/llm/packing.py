@@ -84,6 +84,7 @@ BLOCK = "bucket int, block long, hashes binary, places binary, times binary, mor
 def posted(make, place, buckets: int, encode=pack_sorted, extra=None, at_once: int = POSTINGS_AT_ONCE):
     """``make`` gives (value, row, times, keys, with_it) for parts of a batch; they leave in blocks.
 
+    A value is a number, or a row of numbers where ``encode`` takes such.
     A block has a row per bucket of ``place`` and one with its keys.  ``with_it`` is None, the
     function that tells the bytes of a posting's word (the row then has the distinct words,
     and where a new one begins in place of values), or an array with an id per text (the row
@@ -93,7 +94,7 @@ def posted(make, place, buckets: int, encode=pack_sorted, extra=None, at_once: i
     def block(parts, keys):
         value, text, times = (np.concatenate(x) for x in zip(*[p[:3] for p in parts]))
         bucket = place(value)
-        order = np.lexsort((text, value, bucket))
+        order = np.lexsort((text, *(value.T[::-1] if value.ndim == 2 else [value]), bucket))
         keys, own = np.concatenate(keys).tobytes(), [p[3] for p in parts]
         name = int.from_bytes(hashlib.blake2b(keys, digest_size=8).digest(), "little", signed=True)
         rows = [(name % buckets, None, None, None, None, keys)]

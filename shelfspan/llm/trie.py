@@ -5,7 +5,7 @@ Levels of a shard (contexts read from the last word back):
     last word  ->  successors (bigrams)
                ->  word before it  ->  successors (trigrams)
 
-Every level is one monotone sequence: an entry is ``rank of its parent * WIDTH + word``, so
+Every level is one monotone sequence: an entry is ``rank of its parent * width + word``, so
 a range of children starts at an Elias-Fano pointer and is searched relative to its parent.
 """
 
@@ -16,8 +16,6 @@ import tempfile
 
 import numpy as np
 
-WIDTH = 1 << 21
-
 
 def quantised(logs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """One byte per value and the 256 means that the bytes stand for."""
@@ -70,31 +68,30 @@ def _ranges(parent: np.ndarray) -> np.ndarray:
     return np.append(np.flatnonzero(np.diff(parent, prepend=-1) != 0), len(parent))
 
 
-def built(pairs: np.ndarray, pair_counts: np.ndarray, triples: np.ndarray, triple_counts: np.ndarray, single: np.ndarray) -> bytes:
-    """A shard from ascending ``last * WIDTH + next`` and ``(last * WIDTH + before) * WIDTH + next``.
+def built(last: np.ndarray, follow: np.ndarray, pair_counts: np.ndarray, context: np.ndarray, follow3: np.ndarray, triple_counts: np.ndarray, single: np.ndarray, width: int) -> bytes:
+    """A shard from ascending pairs (last, next) and trigrams (context ``last * width + before``, next).
 
-    Interpolated Witten-Bell smoothing; ``single`` has the probabilities of words alone.
+    Interpolated Witten-Bell smoothing; ``single`` has the probability of each pair's next
+    word alone.  Words are numbers below ``width``.
     """
-    last, follow = pairs // WIDTH, pairs % WIDTH
     edge = _ranges(last)
     total, kinds = np.add.reduceat(pair_counts, edge[:-1]), np.diff(edge)
     rank = np.repeat(np.arange(len(kinds)), kinds)
-    p2 = (pair_counts + kinds[rank] * single[follow]) / (total + kinds)[rank]
-    context, follow3 = triples // WIDTH, triples % WIDTH
+    p2 = (pair_counts + kinds[rank] * single) / (total + kinds)[rank]
     edge3 = _ranges(context)
     total3, kinds3 = np.add.reduceat(triple_counts, edge3[:-1]), np.diff(edge3)
     rank3 = np.repeat(np.arange(len(kinds3)), kinds3)
-    lower = p2[np.searchsorted(pairs, (context // WIDTH) * WIDTH + follow3)]
+    lower = p2[np.searchsorted(last * width + follow, (context // width) * width + follow3)]
     p3 = (triple_counts + kinds3[rank3] * lower) / (total3 + kinds3)[rank3]
     names = context[edge3[:-1]]
-    rank_of = np.searchsorted(last[edge[:-1]], names // WIDTH)
+    rank_of = np.searchsorted(last[edge[:-1]], names // width)
     levels = {
-        "last": last[edge[:-1]], "pairs_at": edge, "pairs": rank * WIDTH + follow,
-        "before_at": np.searchsorted(rank_of, np.arange(len(kinds) + 1)), "before": rank_of * WIDTH + names % WIDTH,
-        "triples_at": edge3, "triples": rank3 * WIDTH + follow3,
+        "last": last[edge[:-1]], "pairs_at": edge, "pairs": rank * width + follow,
+        "before_at": np.searchsorted(rank_of, np.arange(len(kinds) + 1)), "before": rank_of * width + names % width,
+        "triples_at": edge3, "triples": rank3 * width + follow3,
     }
     logs = {"pairs": np.log10(p2), "last": np.log10(kinds / (total + kinds)), "triples": np.log10(p3), "before": np.log10(kinds3 / (total3 + kinds3))}
-    head, body, at = {}, [], 0
+    head, body, at = {"width": width}, [], 0
 
     def put(array: np.ndarray) -> list[int]:
         nonlocal at
@@ -122,6 +119,7 @@ class Shard:
         raw = np.memmap(self.file, np.uint8, "r")
         start = int.from_bytes(raw[:8].tobytes(), "little")
         head = json.loads(raw[8 : 8 + start].tobytes())
+        self.width = head.pop("width")
         span = lambda s: raw[8 + start + s[0] : 8 + start + s[1]]
         self.level = {k: EliasFano(v["bits"], v["size"], *map(span, v["spans"])) for k, v in head.items() if "bits" in v}
         self.code = {k[4:]: (span(v["spans"][0]), np.frombuffer(span(v["spans"][1]).tobytes(), np.float32)) for k, v in head.items() if "bits" not in v}
@@ -137,13 +135,13 @@ class Shard:
         rank = v["last"].find(np.zeros(n, np.int64), np.full(n, v["last"].size), last)
         at = np.flatnonzero(rank >= 0)
         rank = rank[at]
-        spot = v["pairs"].find(v["pairs_at"].at(rank), v["pairs_at"].at(rank + 1), rank * WIDTH + follow[at])
+        spot = v["pairs"].find(v["pairs_at"].at(rank), v["pairs_at"].at(rank + 1), rank * self.width + follow[at])
         seen = spot >= 0
         out[at[seen]] = self._log("pairs", spot[seen])
         out[at[~seen]] += self._log("last", rank[~seen])
-        context = v["before"].find(v["before_at"].at(rank), v["before_at"].at(rank + 1), rank * WIDTH + before[at])
+        context = v["before"].find(v["before_at"].at(rank), v["before_at"].at(rank + 1), rank * self.width + before[at])
         at, context = at[context >= 0], context[context >= 0]
-        spot = v["triples"].find(v["triples_at"].at(context), v["triples_at"].at(context + 1), context * WIDTH + follow[at])
+        spot = v["triples"].find(v["triples_at"].at(context), v["triples_at"].at(context + 1), context * self.width + follow[at])
         seen = spot >= 0
         out[at[seen]] = self._log("triples", spot[seen])
         out[at[~seen]] += self._log("before", context[~seen])

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from parity.check import connect, difference
-from shelfspan.llm import jaccard, queries
+from shelfspan.llm import jaccard, language_model, queries
 from shelfspan.llm.contamination import decontaminate
 from shelfspan.llm.language_model import language_scores
 from shelfspan.llm.lines import line_dedup
@@ -210,6 +210,35 @@ def test_language_model(docs, rows):
     assert sum(r.score for r in learned) > sum(r.base_score for r in learned)
 
 
+@pytest.mark.parametrize("numbered", [1 << 20, 4])
+def test_language_model_keeps_rare_words(docs, rows, monkeypatch, numbered):
+    monkeypatch.setattr(language_model, "MOST_WORDS", numbered)
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1
+    one, two, three = Counter(), Counter(), Counter()
+    for i, t, *_ in rows:
+        if not held(i):
+            line = ["^", "^", *words(lower(t)), ""]
+            one.update(line[2:])
+            two.update(zip(line[1:], line[2:]))
+            three.update(zip(line, line[1:], line[2:]))
+    total, total2, kinds2, total3, kinds3 = sum(one.values()), Counter(), Counter(), Counter(), Counter()
+    for (a, _), n in two.items():
+        total2[a] += n
+        kinds2[a] += 1
+    for (a, b, _), n in three.items():
+        total3[a, b] += n
+        kinds3[a, b] += 1
+    texts = {i: t for i, t, *_ in rows}
+    for r in language_scores(docs, queries.fold(5, 1)).collect():
+        line, want = ["^", "^", *words(lower(texts[r.doc_id])), ""], 0
+        for a, b, c in zip(line, line[1:], line[2:]):
+            p = (one[c] + 0.5) / (total + 0.5 * (len(one) + 1))
+            p = (two[b, c] + kinds2[b] * p) / (total2[b] + kinds2[b]) if b in total2 else p
+            p = (three[a, b, c] + kinds3[a, b] * p) / (total3[a, b] + kinds3[a, b]) if (a, b) in total3 else p
+            want += math.log10(p)
+        assert r.score == pytest.approx(want, rel=0.01)
+
+
 def test_elias_fano():
     values = np.sort(np.random.default_rng(3).integers(0, 10**9, 500))
     shape, arrays = EliasFano.packed(values)
