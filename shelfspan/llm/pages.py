@@ -18,6 +18,8 @@ GROUP_BYTES = 4 << 20
 #: Up to so many split hosts are sent to every task; more are joined by a shuffle.
 MOST_SPLIT_HOSTS = 100_000
 PLAIN, CHROME, MAIN = 0, 1, 2
+#: While a page is read: inside an element named like chrome, and an article that is in one.
+_NAMED, _HELD = 3, 4
 _PIECE = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|select|svg|iframe|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][\w:-]*)([^>]*)>",
     re.S | re.I)
@@ -36,11 +38,20 @@ _VOID = {"hr"}
 
 
 def _named_chrome(attributes: str) -> bool:
-    for found in _NAMES.finditer(attributes):
-        names = re.split(r"[\s_-]+", next(x for x in found.groups() if x is not None).lower())
-        if not _CHROME_NAMES.isdisjoint(names):
-            return True
-    return False
+    """Whether a whole name, or each piece of it, is one of chrome."""
+    return any(_CHROME_NAMES.issuperset(re.split("[_-]+", name)) for found in _NAMES.finditer(attributes) for name in next(x for x in found.groups() if x is not None).lower().split())
+
+
+def _inside(name: str, attributes: str, outer: int) -> int:
+    """State of an element's text from its name and the state around it."""
+    if name in _CHROME_TAGS or outer == CHROME:
+        return CHROME
+    named = name not in ("html", "body") and _named_chrome(attributes)
+    if name in _MAIN_TAGS and outer not in (MAIN, _HELD):
+        return _HELD if named or outer == _NAMED else MAIN
+    if named:
+        return CHROME if outer in (MAIN, _HELD) else _NAMED
+    return outer
 
 
 def blocks(page: str) -> list[tuple[str, int]]:
@@ -48,7 +59,9 @@ def blocks(page: str) -> list[tuple[str, int]]:
 
     Inline markup leaves no gap and ``br`` a space.  ``article`` and ``main`` make blocks main;
     menus, headers, footers, forms and elements named like chrome or reader comments make
-    them chrome, inside an article too.  Unclosed elements end with what holds them.
+    them chrome, inside an article too.  ``html`` and ``body`` are never chrome, and an
+    article named like chrome or in an element so named is main if the page has no other.
+    Unclosed elements end with what holds them.
     """
     out: list[tuple[str, int]] = []
     stack: list[tuple[str, int]] = []
@@ -95,8 +108,7 @@ def blocks(page: str) -> list[tuple[str, int]]:
                 flush()
                 stack.pop()
             continue
-        chrome = name in _CHROME_TAGS or _named_chrome(piece.group(4))
-        if not block and not (chrome and name in ("span", "a", "label", "button")):
+        if not block and not (name in ("span", "a", "label", "button") and (name in _CHROME_TAGS or _named_chrome(piece.group(4)))):
             continue
         flush()
         if name in _ENDS_P:
@@ -104,11 +116,11 @@ def blocks(page: str) -> list[tuple[str, int]]:
         if name == "li":
             close("li", {"ul", "ol", "menu"})
         if name not in _VOID:
-            inside = state()
-            stack.append((name, CHROME if chrome or inside == CHROME else MAIN if name in _MAIN_TAGS or inside == MAIN else PLAIN))
+            stack.append((name, _inside(name, piece.group(4), state())))
     parts.append(page[at:])
     flush()
-    return out
+    held = CHROME if any(kind == MAIN for _, kind in out) else MAIN
+    return [(text, {_NAMED: CHROME, _HELD: held}.get(kind, kind)) for text, kind in out]
 
 
 def _parsed(batch: pa.RecordBatch):

@@ -18,7 +18,7 @@ from shelfspan.llm.contamination import decontaminate
 from shelfspan.llm.language_model import language_scores
 from shelfspan.llm.lines import line_dedup
 from shelfspan.llm.mixing import mix_sources
-from shelfspan.llm.pages import blocks, main_texts
+from shelfspan.llm.pages import CHROME, MAIN, blocks, main_texts
 from shelfspan.llm.quality import FEATURES, Trees, matrix, quality_rules
 from shelfspan.llm.substrings import COVER, PERIOD, substring_dedup
 from shelfspan.llm.tokens import token_counts
@@ -174,6 +174,17 @@ def test_pages(spark):
     assert blocks("a < b > c") and main_texts(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+@pytest.mark.parametrize("page", [
+    "<body class='single has-sidebar'><p>a b</p></body>", "<body class='menu'><p>a b</p></body>", "<main class='content-with-sidebar'><p>a b</p></main>",
+    "<article class='post has-comments'><p>a b</p><div class='comments'>c</div></article>", "<div class='page header-fixed'><p>a b</p></div>",
+    "<div class='header'>x<article>a b</article></div>", "<article class='comment'>a b</article>", "<div class='sidebar'><article>x</article></div><main>a b</main>",
+    "<div class='cookie-banner'>x</div><p>a b</p>"])
+def test_pages_keep_what_names_only_resemble_chrome(page):
+    found = blocks(page)
+    best = max((k for _, k in found if k != CHROME), key=lambda k: k == MAIN)
+    assert [t for t, k in found if k == best] == ["a b"]
+
+
 def test_substrings(docs, rows):
     assert {(a - b) % PERIOD for a in COVER for b in COVER} == set(range(PERIOD))
     least, order = {}, lambda i: math.inf if i is None else i
