@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 
@@ -10,13 +11,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfspan.llm.words import Words, per_text
+from shelfspan.llm.packing import grouped, pack, pack_sorted, unpack, unpack_sorted
+from shelfspan.llm.words import Words, per_text, shuffle_width, windows
 from shelfspan.session import cut_lineage
 
 #: Pages of one host are taken together up to so many bytes of markup; a larger host is split.
 GROUP_BYTES = 4 << 20
 #: Up to so many split hosts are sent to every task; more are joined by a shuffle.
 MOST_SPLIT_HOSTS = 100_000
+#: Runs of a split host are first counted by so many values of their hash.
+SLOTS = 1 << 16
 PLAIN, CHROME, MAIN = 0, 1, 2
 #: While a page is read: inside an element named like chrome, and an article that is in one.
 _NAMED, _HELD = 3, 4
@@ -128,13 +132,87 @@ def _parsed(batch: pa.RecordBatch):
     for low in range(0, len(pages), 256):
         found = [blocks(p or "") for p in pages[low : low + 256]]
         yield pa.RecordBatch.from_arrays(
-            [*[batch.column(c).slice(low, len(found)) for c in ("page_id", "url", "host", "part")], pa.array([[t for t, _ in p] for p in found], pa.list_(pa.string())),
-             pa.array([[k for _, k in p] for p in found], pa.list_(pa.int32()))], ["page_id", "url", "host", "part", "texts", "kinds"])
+            [*[batch.column(c).slice(low, len(found)) for c in ("page_id", "url", "host", "parts")], pa.array([[t for t, _ in p] for p in found], pa.list_(pa.string())),
+             pa.array([[k for _, k in p] for p in found], pa.list_(pa.int32())), pa.array(_contents(found))], ["page_id", "url", "host", "parts", "texts", "kinds", "content"])
 
 
-def covered(tokens: np.ndarray, page: np.ndarray, span: int, least_pages: int) -> np.ndarray:
+def _open(page: list[tuple[str, int]]) -> list[str]:
+    """Texts of a page's blocks that the host's runs are taken from; others are empty."""
+    free = all(kind != MAIN for _, kind in page)
+    return [text if free and kind == PLAIN else "" for text, kind in page]
+
+
+def _contents(pages: list[list[tuple[str, int]]]) -> list[int]:
+    """Equal for pages with the same open text, whatever their url and markup."""
+    return [int.from_bytes(hashlib.blake2b(" ".join(filter(None, _open(p))).encode(), digest_size=8).digest(), "little", signed=True) for p in pages]
+
+
+def _worded(pages: list[list[str]]) -> tuple[Words, np.ndarray]:
+    """Words of the blocks of some pages, and the page of each word."""
+    lines = [t.encode() for page in pages for t in page]
+    w = Words(np.frombuffer(b"".join(lines), np.uint8), np.cumsum([0, *map(len, lines)]), lower=True)
+    return w, np.repeat(np.arange(len(pages)), [len(p) for p in pages])[w.text]
+
+
+def _starts(w: Words, page: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, hash) of every run of ``span`` words within a page."""
+    run = windows(w.hash, span)
+    at = np.flatnonzero(page[: len(run)] == page[span - 1 :]) if len(run) else np.zeros(0, np.int64)
+    return at, run[at]
+
+
+def _least(share: float, contents: int) -> int:
+    return max(2, int(np.ceil(share * contents)))
+
+
+def _host_runs(span: int, wanted: bool):
+    """Of a batch's pages by host: pages by slot of their runs, or (run, content) in a wanted slot."""
+
+    def run(batch):
+        hosts, html = np.array(batch.column("host").to_pylist(), object), batch.column("html").to_pylist()
+        for host in dict.fromkeys(hosts):
+            rows = np.flatnonzero(hosts == host)
+            pages = [blocks(html[i] or "") for i in rows]
+            content = np.array(_contents(pages), np.int64)
+            kept, first = np.unique(content, return_index=True)
+            w, page = _worded([_open(pages[i]) for i in first])
+            at, value = _starts(w, page, span)
+            slot = (value % np.uint64(SLOTS)).astype(np.int64)
+            if wanted:
+                mask = np.zeros(SLOTS, bool)
+                mask[unpack_sorted(batch.column("slots")[int(rows[0])].as_py()).astype(np.int64)] = True
+                value, owner, _ = grouped(value[mask[slot]], kept[page[at][mask[slot]]])
+                yield pa.RecordBatch.from_arrays([pa.array([host] * len(value), pa.string()), pa.array(value.view(np.int64)), pa.array(owner, pa.int64())], ["host", "run", "content"])
+            else:
+                slot, _, _ = grouped(slot, page[at])
+                times = np.bincount(slot, minlength=SLOTS).astype(np.uint32)
+                yield pa.RecordBatch.from_arrays([pa.array([host], pa.string()), pa.array([pack(times)], pa.binary()), pa.array([pack(kept)], pa.binary())], ["host", "times", "contents"])
+
+    return run
+
+
+def _slots(share: float):
+    """Slots of each host that may hold a run in enough of its pages, and how many are enough."""
+
+    def run(batches):
+        times, contents = {}, {}
+        for batch in batches:
+            for row in batch.to_pylist():
+                times[row["host"]] = times.get(row["host"], 0) + unpack(row["times"], np.uint32).astype(np.int64)
+                contents[row["host"]] = np.union1d(contents.get(row["host"], np.zeros(0, np.int64)), unpack(row["contents"], np.int64))
+        for host, total in times.items():
+            least = _least(share, len(contents[host]))
+            slots = np.flatnonzero(total >= least).astype(np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array([host], pa.string()), pa.array([pack_sorted(slots)], pa.binary()), pa.array([least], pa.int64())], ["host", "slots", "least"])
+
+    return run
+
+
+def covered(tokens: np.ndarray, page: np.ndarray, span: int, least_pages: int, content: np.ndarray | None = None) -> np.ndarray:
     """Tokens inside a run of ``span`` (a power of two) that starts in ``least_pages`` pages.
 
+    Pages of equal ``content`` count once.
+
     Suffixes are ranked by prefix doubling until ``span`` tokens decide; suffixes of equal
     rank are neighbours in the suffix array and share that many tokens.
     """
@@ -153,6 +231,7 @@ def covered(tokens: np.ndarray, page: np.ndarray, span: int, least_pages: int) -
         whole &= shifted | (step == 1)
         rank = np.unique(rank * (n + 2) + np.where(inside, following, 0), return_inverse=True)[1].astype(np.int64) + 1
         step *= 2
+    page = page if content is None else content[page]
     array = np.lexsort((page, rank))
     array = array[whole[array]]
     edge = np.zeros(n + 1, np.int64)
@@ -168,15 +247,20 @@ def covered(tokens: np.ndarray, page: np.ndarray, span: int, least_pages: int) -
 
 
 def _main_text(span: int, share: float):
-    def run(table: pa.Table) -> pa.Table:
+    def run(table: pa.Table, often: pa.Table) -> pa.Table:
         kinds, texts = table.column("kinds").to_pylist(), table.column("texts").to_pylist()
         flat = [t for page in texts for t in page]
-        lines = [t.encode() for t in flat]
-        offsets = np.cumsum([0, *map(len, lines)])
-        w = Words(np.frombuffer(b"".join(lines), np.uint8), offsets, lower=True)
-        owner = np.repeat(np.arange(len(texts)), [len(p) for p in texts])
-        many = max(2, int(np.ceil(share * len(texts))))
-        gone = covered(w.hash, owner[w.text], span, many) if len(w) else np.zeros(0, bool)
+        w, page = _worded([_open(list(zip(t, k))) for t, k in zip(texts, kinds)])
+        if not len(w):
+            gone = np.zeros(0, bool)
+        elif table.column("parts")[0].as_py() is None:
+            content = np.unique(table.column("content").to_numpy(), return_inverse=True)[1]
+            gone = covered(w.hash, page, span, _least(share, int(content.max()) + 1), content)
+        else:
+            at, value = _starts(w, page, span)
+            at = at[np.isin(value, often.column("run").to_numpy().view(np.uint64))]
+            edge = np.bincount(at, minlength=len(w) + span) - np.bincount(at + span, minlength=len(w) + span)
+            gone = np.cumsum(edge)[: len(w)] > 0
         begin = np.searchsorted(w.text, np.arange(len(flat) + 1))
         out, k = [], 0
         for page, kind in zip(texts, kinds):
@@ -202,18 +286,26 @@ def main_texts(pages: DataFrame, span: int = 8, share: float = 0.1, group_bytes:
     """``page_id, url, text, n_chars``: the article of each page, one row per page.
 
     Markup gives blocks; those of an article are its text.  Pages without one keep their
-    plain blocks, less what the suffix array of their host covers: runs of ``span`` tokens
-    found in at least two pages and ``share`` of the pages taken together.  A host beyond
-    ``group_bytes`` of markup is split by a hash of the page, and pages are looked at in
-    every part alike.  Null or empty markup gives an empty text; null urls are one host;
-    repeated rows each give a row; an empty table an empty result.
+    plain blocks, less runs of ``span`` tokens found in at least two and ``share`` of the
+    different texts of their host.  A host up to ``group_bytes`` of markup has a suffix array;
+    in a larger one, split by a hash of the page, the runs are counted over all of it by
+    hash: first in slots, then exactly where a slot has enough.  Null or empty markup gives
+    an empty text; null urls are one host; repeated rows each give a row; an empty table an
+    empty result.
     """
+    width = shuffle_width(pages.sparkSession)
     host = F.coalesce(F.regexp_extract("url", r"^[A-Za-z][\w+.-]*://([^/?#]*)", 1), F.lit(""))
     named = pages.select("page_id", "url", "html", host.alias("host"))
     parts = named.groupBy("host").agg(F.ceil(F.sum(F.coalesce(F.octet_length("html"), F.lit(0))) / group_bytes).alias("parts"))
     split = cut_lineage(parts.filter("parts > 1"))
-    split = F.broadcast(split) if split.count() <= MOST_SPLIT_HOSTS else split
-    part = F.pmod(F.xxhash64("page_id", "url"), F.coalesce("parts", F.lit(1)))
-    placed = named.join(split, "host", "left").select("page_id", "url", "html", "host", part.alias("part"))
-    parsed = per_text(placed, _parsed, "page_id long, url string, host string, part long, texts array<string>, kinds array<int>")
-    return parsed.groupBy("host", "part").applyInArrow(_main_text(span, share), "page_id long, url string, text string, n_chars long")
+    sent = F.broadcast if split.count() <= MOST_SPLIT_HOSTS else lambda df: df
+    large = named.select("host", "html").join(sent(split.select("host")), "host", "left_semi")
+    slots = cut_lineage(per_text(large, _host_runs(span, False), "host string, times binary, contents binary").repartition(width, "host").mapInArrow(
+        _slots(share), "host string, slots binary, least long"))
+    runs = per_text(large.join(sent(slots.select("host", "slots")), "host"), _host_runs(span, True), "host string, run long, content long")
+    counted = runs.distinct().groupBy("host", "run").agg(F.count("*").alias("pages"))
+    often = counted.join(slots.select("host", "least"), "host").filter("pages >= least").select("host", "run")
+    often = often.join(sent(split), "host").select("host", F.explode(F.expr("sequence(0L, parts - 1)")).alias("part"), "run")
+    parsed = per_text(named.join(sent(split), "host", "left"), _parsed, "page_id long, url string, host string, parts long, texts array<string>, kinds array<int>, content long")
+    placed = parsed.withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.coalesce("parts", F.lit(1))))
+    return placed.groupBy("host", "part").cogroup(often.groupBy("host", "part")).applyInArrow(_main_text(span, share), "page_id long, url string, text string, n_chars long")

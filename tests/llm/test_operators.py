@@ -185,6 +185,19 @@ def test_pages_keep_what_names_only_resemble_chrome(page):
     assert [t for t, k in found if k == best] == ["a b"]
 
 
+@pytest.mark.parametrize("group_bytes", [4 << 20, 300])
+def test_pages_count_texts_of_the_whole_host(spark, group_bytes):
+    copy, shared = "the same plain article under two urls of one host", "a notice of ten words on two pages of host"
+    html = [(f"http://a.x/{i}", f"<p>{copy}</p>") for i in (1, 1, 2)]
+    html += [(f"http://b.x/{i}", f"<p>{shared if i in (3, 17) else f'x{i} ' * 9}</p><p>only{i} here</p>") for i in range(20)]
+    html += [(f"http://c.x/{i}", f"<p>{shared if i in (3, 17) else f'x{i} ' * 9}</p><p>only{i} here</p>") for i in range(40)]
+    data = [(i, u, h) for i, (u, h) in enumerate(html)]
+    got = main_texts(spark.createDataFrame(data, "page_id long, url string, html string"), group_bytes=group_bytes).collect()
+    texts = {r.url: r.text for r in got}
+    assert len(got) == len(data) and texts["http://a.x/1"] == texts["http://a.x/2"] == copy
+    assert all(shared not in texts[f"http://b.x/{i}"] and texts[f"http://c.x/{i}"].startswith(shared) for i in (3, 17))
+
+
 def test_substrings(docs, rows):
     assert {(a - b) % PERIOD for a in COVER for b in COVER} == set(range(PERIOD))
     least, order = {}, lambda i: math.inf if i is None else i
