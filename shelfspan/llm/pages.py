@@ -138,8 +138,8 @@ def _parsed(batch: pa.RecordBatch):
 
 def _open(page: list[tuple[str, int]]) -> list[str]:
     """Texts of a page's blocks that the host's runs are taken from; others are empty."""
-    free = all(kind != MAIN for _, kind in page)
-    return [text if free and kind == PLAIN else "" for text, kind in page]
+    best = MAIN if any(kind == MAIN for _, kind in page) else PLAIN
+    return [text if kind == best else "" for text, kind in page]
 
 
 def _contents(pages: list[list[tuple[str, int]]]) -> list[int]:
@@ -218,17 +218,14 @@ def covered(tokens: np.ndarray, page: np.ndarray, span: int, least_pages: int, c
     """
     n = len(tokens)
     rank = np.unique(tokens, return_inverse=True)[1].astype(np.int64) + 1
-    whole = np.ones(n, bool)
+    whole = np.zeros(n, bool)
+    whole[: max(n - span + 1, 0)] = page[: max(n - span + 1, 0)] == page[span - 1 :]
     step = 1
     while step < span and n:
         inside = np.zeros(n, bool)
         inside[: n - step] = page[: max(n - step, 0)] == page[step:] if step < n else False
         following = np.zeros(n, np.int64)
         following[: max(n - step, 0)] = rank[step:]
-        whole &= inside
-        shifted = np.zeros(n, bool)
-        shifted[: max(n - step, 0)] = whole[step:]
-        whole &= shifted | (step == 1)
         rank = np.unique(rank * (n + 2) + np.where(inside, following, 0), return_inverse=True)[1].astype(np.int64) + 1
         step *= 2
     page = page if content is None else content[page]
@@ -264,10 +261,15 @@ def _main_text(span: int, share: float):
         begin = np.searchsorted(w.text, np.arange(len(flat) + 1))
         out, k = [], 0
         for page, kind in zip(texts, kinds):
-            kept = []
+            kept, whole, words, lost = [], [], 0, 0
             for text, what in zip(page, kind):
                 if what == MAIN:
-                    kept.append(text)
+                    hidden = gone[begin[k] : begin[k + 1]]
+                    often = len(hidden) > 0 and hidden.all()
+                    words, lost = words + len(hidden), lost + len(hidden) * often
+                    whole.append(text)
+                    if not often:
+                        kept.append(text)
                 elif what == PLAIN and MAIN not in kind:
                     hidden = gone[begin[k] : begin[k + 1]]
                     if hidden.any():
@@ -275,7 +277,8 @@ def _main_text(span: int, share: float):
                     if text:
                         kept.append(text)
                 k += 1
-            out.append(" ".join(kept))
+            # An article that is mostly found again is a copy, not boilerplate.
+            out.append(" ".join(whole if 2 * lost > words else kept))
         return pa.table([table.column("page_id").combine_chunks(), table.column("url").combine_chunks(), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())],
                         ["page_id", "url", "text", "n_chars"])
 
@@ -285,9 +288,10 @@ def _main_text(span: int, share: float):
 def main_texts(pages: DataFrame, span: int = 8, share: float = 0.1, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """``page_id, url, text, n_chars``: the article of each page, one row per page.
 
-    Markup gives blocks; those of an article are its text.  Pages without one keep their
-    plain blocks, less runs of ``span`` tokens found in at least two and ``share`` of the
-    different texts of their host.  A host up to ``group_bytes`` of markup has a suffix array;
+    Markup gives blocks.  Runs of ``span`` tokens found in at least two and ``share`` of the
+    different texts of a host recur.  The blocks of an article are its text, less those that
+    recurring runs cover wholly, unless these are most of it; pages without an article keep
+    their plain blocks less all recurring runs.  A host up to ``group_bytes`` of markup has a suffix array;
     in a larger one, split by a hash of the page, the runs are counted over all of it by
     hash: first in slots, then exactly where a slot has enough.  Null or empty markup gives
     an empty text; null urls are one host; repeated rows each give a row; an empty table an

@@ -198,6 +198,16 @@ def test_pages_count_texts_of_the_whole_host(spark, group_bytes):
     assert all(shared not in texts[f"http://b.x/{i}"] and texts[f"http://c.x/{i}"].startswith(shared) for i in (3, 17))
 
 
+@pytest.mark.parametrize("group_bytes", [4 << 20, 600])
+def test_pages_cut_what_recurs_in_articles(spark, group_bytes):
+    notice, copy = "please join our weekly list of many readers for free", " ".join(f"y{i}" for i in range(30))
+    own = [" ".join(f"z{i}_{j}" for j in range(12)) for i in range(12)]
+    html = [f"<article><p>{t}</p><p>{notice}</p></article>" for t in own] + [f"<article><p>{copy}</p><p>v{i}</p></article>" for i in range(3)]
+    data = [(i, f"http://a.x/{i}", h) for i, h in enumerate(html)]
+    got = {r.page_id: r.text for r in main_texts(spark.createDataFrame(data, "page_id long, url string, html string"), group_bytes=group_bytes).collect()}
+    assert [got[i] for i in range(12)] == own and [got[12 + i] for i in range(3)] == [f"{copy} v{i}" for i in range(3)]
+
+
 def test_substrings(docs, rows):
     assert {(a - b) % PERIOD for a in COVER for b in COVER} == set(range(PERIOD))
     least, order = {}, lambda i: math.inf if i is None else i
