@@ -33,16 +33,23 @@ def _features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return (code >> np.uint64(BITS)).astype(np.int64), (code & np.uint64((1 << BITS) - 1)).astype(np.int64)
 
 
-def _seen(batches):
-    """How many toxic and other texts have each feature."""
-    for batch in batches:
-        toxic = batch.column("toxic").to_numpy() == 1
-        for low, high, data, offsets in chunks(batch.column("text")):
-            text, feature = _features(data, offsets)
-            number, place = np.unique(feature, return_inverse=True)
-            mine = toxic[low + text]
-            yield pa.RecordBatch.from_arrays([pa.array(number.astype(np.int32)), *[pa.array(np.bincount(place[x], minlength=len(number))) for x in (mine, ~mine)]],
-                                             ["feature", "seen", "around"])
+def _seen(only: np.ndarray | None = None):
+    """How many of a task's texts have each feature (of ``only``); feature -1 stands for every text."""
+
+    def run(batches):
+        total, texts = np.zeros(1 << BITS, np.int64), 0
+        for batch in batches:
+            for low, high, data, offsets in chunks(batch.column("text")):
+                total += np.bincount(_features(data, offsets)[1], minlength=1 << BITS)
+                texts += high - low
+        number = np.flatnonzero(total) if only is None else only[total[only] > 0]
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(number, -1).astype(np.int32)), pa.array(np.append(total[number], texts))], ["feature", "texts"])
+
+    return run
+
+
+def _counts(texts: DataFrame, only: np.ndarray | None = None) -> DataFrame:
+    return texts.select("text").mapInArrow(_seen(only), "feature int, texts long").groupBy("feature").agg(F.sum("texts").alias("texts"))
 
 
 def _listed(used: np.ndarray):
@@ -122,9 +129,10 @@ class Classifier:
 def toxicity(documents: DataFrame, labels: DataFrame, held_out: Column, threshold: float = 0.7) -> DataFrame:
     """``doc_id, held_out, score, predicted`` for every document's whole text.
 
-    Only confirmed toxic rows are used as labels, at most ``MOST_TOXIC``, with at most
-    ``MOST_UNLABELLED`` texts of any kind, both picked by a hash of ``doc_id`` outside
-    ``held_out``.  The prior is the share of toxic among those labels.  Null ids, labels and
+    Only confirmed toxic rows are used as labels, at most ``MOST_TOXIC``; how common features
+    are elsewhere is counted over all rows outside ``held_out``, and the fit takes at most
+    ``MOST_UNLABELLED`` of them.  Both are picked by a hash of ``doc_id``, the smallest text
+    of an id each.  The prior is the share of toxic among those labels.  Null ids, labels and
     texts: null ids are never learned from, null labels are no labels, a null text is an
     empty one and scores the bias.  Without examples every score is the prior.
     """
@@ -133,12 +141,13 @@ def toxicity(documents: DataFrame, labels: DataFrame, held_out: Column, threshol
     pick = lambda df, n: df.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     chosen = pick(free.filter("toxic = 1"), MOST_TOXIC).withColumn("toxic", F.lit(1)).unionByName(
         pick(documents.filter(F.col("doc_id").isNotNull() & ~held_out), MOST_UNLABELLED).withColumn("toxic", F.lit(0)))
-    sample = cut_lineage(documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text"))
-    count = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
+    sample = cut_lineage(documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")))
     model = Classifier(float(prior))
-    seen = sample.mapInArrow(_seen, "feature int, seen long, around long").groupBy("feature").agg(F.sum("seen").alias("seen"), F.sum("around").alias("around"))
-    seen = seen.filter(F.col("seen") >= model.least).toPandas()
-    model.choose(*(seen[c].to_numpy() for c in ("feature", "seen", "around")), count.get(1, 0), count.get(0, 0))
+    seen = _counts(sample.filter("toxic = 1")).filter((F.col("texts") >= model.least) | (F.col("feature") < 0)).toPandas().set_index("feature")["texts"]
+    toxic, seen = int(seen.get(-1, 0)), seen.drop(-1, errors="ignore").sort_index()
+    around = _counts(documents.filter(F.col("doc_id").isNotNull() & ~held_out), seen.index.to_numpy(np.int64)).toPandas().set_index("feature")["texts"]
+    others, around = int(around.get(-1, 0)), around.reindex(seen.index, fill_value=0)
+    model.choose(seen.index.to_numpy(), seen.to_numpy(), around.to_numpy(), toxic, others)
     rows = sample.mapInArrow(_listed(model.used), "doc_id long, toxic int, features binary").orderBy("doc_id", "toxic", "features").toPandas()
     of = lambda kind: [np.frombuffer(x, np.int32) for x in rows.loc[rows["toxic"] == kind, "features"]]
     model.fit(of(1), of(0))

@@ -22,7 +22,7 @@ from shelfspan.llm.pages import CHROME, MAIN, blocks, main_texts
 from shelfspan.llm.quality import FEATURES, Trees, matrix, quality_rules
 from shelfspan.llm.substrings import COVER, PERIOD, substring_dedup
 from shelfspan.llm.tokens import token_counts
-from shelfspan.llm.toxicity import toxicity
+from shelfspan.llm.toxicity import Classifier, toxicity
 from shelfspan.llm.trie import EliasFano
 
 ROOT = "/root/testdata/sf0.001"
@@ -327,6 +327,17 @@ def test_toxicity(spark):
     assert toxicity(docs, labels.limit(0), queries.fold(3, 1)).filter("predicted = 1").isEmpty()
 
 
+def test_toxicity_counts_all_unlabelled(spark, monkeypatch):
+    given = {}
+    choose, fit = Classifier.choose, Classifier.fit
+    monkeypatch.setattr(Classifier, "choose", lambda self, *a: (given.update(around=a[2], others=a[4]), choose(self, *a))[1])
+    monkeypatch.setattr(Classifier, "fit", lambda self, *a: (given.update(rows=[len(x) for x in a]), fit(self, *a))[1])
+    monkeypatch.setattr("shelfspan.llm.toxicity.MOST_UNLABELLED", 20)
+    docs = spark.createDataFrame([(i, "vile" if i < 100 else "fine words") for i in range(300)] + [(0, f"vile {k}") for k in range(50)], "doc_id long, text string")
+    toxicity(docs, spark.createDataFrame([(i, 1, 1) for i in range(10)], LABELS), F.lit(False)).count()
+    assert given["others"] == 350 and max(given["around"]) == 150 and given["rows"] == [10, 20]
+
+
 def test_empty_tables(spark, nothing):
     labels = spark.createDataFrame([], LABELS)
     content = queries.Path(queries.public_tokenizers.path(queries.TOKENIZER)).read_text()
