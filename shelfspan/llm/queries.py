@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspan.llm import lines, mixing
+from shelfspan.llm import centroids, lines, mixing
 from shelfspan.llm.contamination import decontaminate
 from shelfspan.llm.jaccard import jaccard_components
 from shelfspan.llm.language_model import language_scores
@@ -77,8 +77,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold(3, 1))
 
 
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.centroid_clusters(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_jaccard_join, op2_quality_rules, op3_token_counts, op4_main_text, op5_substring_dedup, op6_language_scores,
-                            op7_decontamination, op8_line_dedup, op9_mixing, op10_toxicity)
+                            op7_decontamination, op8_line_dedup, op9_mixing, op10_toxicity, op13_centroid_clusters)
 }
-ORACLE: dict[str, str] = {"op8_line_dedup": lines.ORACLE, "op9_mixing": mixing.ORACLE}
+ORACLE: dict[str, str] = {"op8_line_dedup": lines.ORACLE, "op9_mixing": mixing.ORACLE, "op13_centroid_clusters": centroids.ORACLE}
