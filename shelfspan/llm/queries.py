@@ -10,8 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfspan.llm import centroids, lines, mixing
+from shelfspan.llm.alignment import token_alignment
 from shelfspan.llm.contamination import decontaminate
 from shelfspan.llm.jaccard import jaccard_components
+from shelfspan.llm.language_id import language_ids
 from shelfspan.llm.language_model import language_scores
 from shelfspan.llm.pages import main_texts
 from shelfspan.llm.quality import BASE, quality_rules
@@ -20,6 +22,7 @@ from shelfspan.llm.tokens import token_counts
 from shelfspan.llm.toxicity import toxicity
 
 TOKENIZER = "word_bpe_49k.json"
+BYTE_TOKENIZER, PIECE_TOKENIZER = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 #: Rows of an Arrow batch: a row holds a whole text, so batches have fewer rows than usual.
@@ -77,12 +80,22 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold(3, 1))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = Path(public_tokenizers.path(BYTE_TOKENIZER)), Path(public_tokenizers.path(PIECE_TOKENIZER))
+    aligned = token_alignment(table(spark, sf_dir, "documents"), a.read_text(), b.read_bytes())
+    return aligned.withColumn("groups_sha256", F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))).drop("groups")
+
+
+def op12_language_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_ids(table(spark, sf_dir, "documents"), fold(4, 2))
+
+
 def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.centroid_clusters(table(spark, sf_dir, "embeddings"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_jaccard_join, op2_quality_rules, op3_token_counts, op4_main_text, op5_substring_dedup, op6_language_scores,
-                            op7_decontamination, op8_line_dedup, op9_mixing, op10_toxicity, op13_centroid_clusters)
+                            op7_decontamination, op8_line_dedup, op9_mixing, op10_toxicity, op11_token_alignment, op12_language_ids, op13_centroid_clusters)
 }
 ORACLE: dict[str, str] = {"op8_line_dedup": lines.ORACLE, "op9_mixing": mixing.ORACLE, "op13_centroid_clusters": centroids.ORACLE}
