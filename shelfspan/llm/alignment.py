@@ -4,7 +4,9 @@ Two tokens that end at one byte of a text: the bytes of one end the bytes of the
 the pairs that any corpus can hold follow from the two vocabularies, at most one for each
 suffix of a token.  They get a minimal perfect hash; tasks count into a dense vector indexed
 by it, vectors are summed in a tree, and a second pass aligns again and looks counts up.
-No text is shuffled, and what reaches the driver is as long as the vocabularies allow.
+Texts are tokenised once: the first pass writes the ids, two bytes each, and the second
+reads them.  No text is shuffled, and what reaches the driver is as long as the
+vocabularies allow.
 """
 
 from __future__ import annotations
@@ -15,14 +17,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from shelfspan.llm.packing import pack, unpack
 from shelfspan.llm.words import chunks, mixed, shuffle_width
+from shelfspan.session import cut_lineage
 
 #: Numbers of a dense vector in one row, and first-level sums of the tree per slice.
 SLICE, NODES = 1 << 16, 64
+#: Bytes of ids that are aligned at once.
+IDS_AT_ONCE = 1 << 20
 _U = np.uint64
 
 
@@ -133,6 +140,7 @@ class Aligner:
         self.a_json, self.b_model = a_json, b_model
         a, b = byte_level_entries(a_json), piece_entries(b_model)
         self.a, self.b, self.hash = Entries(a), Entries(b), PerfectHash(possible_pairs(a, b))
+        self.kind = np.uint16 if max(len(a), len(b)) <= 1 << 16 else np.uint32
 
     def open(self) -> Aligner:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -146,17 +154,18 @@ class Aligner:
         self.second = SentencePieceProcessor(model_proto=self.b_model)
         return self
 
-    def chunk(self, texts: list[str | None]) -> Chunk:
-        given = np.array([i for i, t in enumerate(texts) if t], np.int64)
+    def tokenised(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Ids of both sides per text; none where a side does not spell the text."""
+        given = [i for i, t in enumerate(texts) if t]
+        a, b = ([np.zeros(0, self.kind)] * len(texts) for _ in "ab")
         spaced = [" " + texts[i] for i in given]
-        want = [s.encode() for s in spaced]
-        a = [np.array(e.ids, np.int64) for e in self.first.encode_batch_fast(spaced, add_special_tokens=False)]
-        b = [np.array(x, np.int64) for x in self.second.encode([texts[i] for i in given], num_threads=1)] if len(given) else []
-        fine = np.ones(len(given), bool)
-        for ids, entries in ((a, self.a), (b, self.b)):
-            fine &= np.array([_same(x, entries, w) for x, w in zip(ids, want)], bool)
-        keep = np.flatnonzero(fine)
-        return Chunk(self, len(texts), given[keep], [a[i] for i in keep], [b[i] for i in keep])
+        first = self.first.encode_batch_fast(spaced, add_special_tokens=False)
+        second = self.second.encode([texts[i] for i in given], num_threads=1) if given else []
+        for i, text, x, y in zip(given, spaced, first, second):
+            x, y, want = np.array(x.ids, self.kind), np.array(y, self.kind), text.encode()
+            if _same(x, self.a, want) and _same(y, self.b, want):
+                a[i], b[i] = x, y
+        return a, b
 
 
 def _same(ids: np.ndarray, entries: Entries, want: bytes) -> bool:
@@ -169,10 +178,11 @@ class Chunk:
     Every text ends a token on both sides, so groups never reach into the next text.
     """
 
-    def __init__(self, aligner: Aligner, texts: int, place: np.ndarray, a: list[np.ndarray], b: list[np.ndarray]):
-        self.texts, self.place = texts, place
-        self.sizes = [np.array([len(x) for x in ids], np.int64) for ids in (a, b)]
-        self.ids = [np.concatenate([np.zeros(0, np.int64), *ids]) for ids in (a, b)]
+    def __init__(self, aligner: Aligner, a: list[np.ndarray], b: list[np.ndarray]):
+        self.texts = len(a)
+        self.place = np.flatnonzero([len(x) for x in a])
+        self.sizes = [np.array([len(ids[i]) for i in self.place], np.int64) for ids in (a, b)]
+        self.ids = [np.concatenate([np.zeros(0, np.int64), *[ids[i] for i in self.place]]).astype(np.int64) for ids in (a, b)]
         ends = [np.cumsum(entries.length[ids]) for entries, ids in zip((aligner.a, aligner.b), self.ids)]
         meets = np.searchsorted(ends[1], ends[0])
         hit = ends[1][meets] == ends[0] if len(meets) else np.zeros(0, bool)
@@ -216,19 +226,30 @@ class Chunk:
         return out
 
 
-def _counted(aligner: Aligner):
-    """How often a task's texts hold each pair, as slices of one dense vector."""
+FIRST = "doc_id long, a binary, b binary, slice int, node int, counts binary"
+
+
+def _first_pass(aligner: Aligner):
+    """A row with the ids of each text, and what the task's texts hold of each pair in slices of one dense vector."""
+
+    def table(doc_id, a, b, part, node, counts) -> pa.RecordBatch:
+        n = max(len(doc_id), len(part))
+        none = lambda x, kind: pa.array(x, kind) if len(x) else pa.nulls(n, kind)
+        return pa.RecordBatch.from_arrays([none(doc_id, pa.int64()), none(a, pa.binary()), none(b, pa.binary()), none(part, pa.int32()), none(node, pa.int32()),
+                                           none(counts, pa.binary())], ["doc_id", "a", "b", "slice", "node", "counts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work, total = aligner.open(), np.zeros(len(aligner.hash), np.int64)
         for batch in batches:
             for low, high, _, _ in chunks(batch.column("text")):
-                place = work.hash.places(work.chunk(batch.column("text").slice(low, high - low).to_pylist()).code)
+                a, b = work.tokenised(batch.column("text").slice(low, high - low).to_pylist())
+                place = work.hash.places(Chunk(work, a, b).code)
                 assert (place >= 0).all()
                 total += np.bincount(place, minlength=len(total))
-        node, part = TaskContext.get().partitionId() % NODES, range(0, len(total), SLICE)
-        yield pa.RecordBatch.from_arrays([pa.array([p // SLICE for p in part], pa.int32()), pa.array([node] * len(part), pa.int32()),
-                                          pa.array([pack(total[p : p + SLICE]) for p in part], pa.binary())], ["slice", "node", "counts"])
+                yield table(batch.column("doc_id").slice(low, high - low).to_pylist(), [x.tobytes() for x in a], [x.tobytes() for x in b], [], [], [])
+        node, parts = TaskContext.get().partitionId() % NODES, range(0, len(total), SLICE)
+        if total.any():
+            yield table([], [], [], [p // SLICE for p in parts], [node] * len(parts), [pack(total[p : p + SLICE]) for p in parts])
 
     return run
 
@@ -245,15 +266,25 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                           pa.array([pack(v) for v in total.values()], pa.binary())], ["slice", "node", "counts"])
 
 
-def pair_counts(documents: DataFrame, aligner: Aligner) -> np.ndarray:
-    """How often each pair is linked in all of ``documents``, by its place in ``aligner.hash``."""
-    schema, width = "slice int, node int, counts binary", shuffle_width(documents.sparkSession)
-    vectors = documents.select("text").mapInArrow(_counted(aligner), schema)
+def pair_counts(passed: DataFrame, aligner: Aligner) -> np.ndarray:
+    """How often each pair is linked in all texts of the first pass, by its place in ``aligner.hash``."""
+    schema, width = "slice int, node int, counts binary", shuffle_width(passed.sparkSession)
+    vectors = passed.filter("slice IS NOT NULL").select("slice", "node", "counts")
     nodes = vectors.repartition(width, "slice", "node").mapInArrow(_added, schema).selectExpr("slice", "0 AS node", "counts")
     whole = nodes.repartition(width, "slice").mapInArrow(_added, schema).orderBy("slice").collect()
     return np.concatenate([unpack(r["counts"], np.int64) for r in whole]) if whole else np.zeros(len(aligner.hash), np.int64)
 
 
+def _parts(batch: pa.RecordBatch) -> Iterator[tuple[int, int]]:
+    """Row ranges with some ``IDS_AT_ONCE`` bytes of ids; a longer text is a range of its own."""
+    size = np.cumsum(pc.binary_length(batch.column("a")).to_numpy(zero_copy_only=False))
+    low = 0
+    while low < len(size):
+        high = max(int(np.searchsorted(size, (size[low - 1] if low else 0) + IDS_AT_ONCE, "right")), low + 1)
+        yield low, high
+        low = high
+
+
 def token_alignment(documents: DataFrame, a_json: str, b_model: bytes) -> DataFrame:
     """``doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups`` of each document.
 
@@ -267,22 +298,23 @@ def token_alignment(documents: DataFrame, a_json: str, b_model: bytes) -> DataFr
     Columns beside ``doc_id`` and ``text`` are not read.
     """
     aligner = Aligner(a_json, b_model)
-    counts = pair_counts(documents, aligner)
+    passed = cut_lineage(documents.selectExpr("CAST(doc_id AS long) AS doc_id", "text").mapInArrow(_first_pass(aligner), FIRST))
+    counts = pair_counts(passed, aligner)
     b_of = (aligner.hash.keys & _U(0xFFFFFFFF)).astype(np.int64)
     highest = np.zeros(len(aligner.b.length), np.int64)
     np.maximum.at(highest, b_of, counts)
     best = counts == highest[b_of]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        work = aligner.open()
         for batch in batches:
-            for low, high, _, _ in chunks(batch.column("text")):
-                chunk = work.chunk(batch.column("text").slice(low, high - low).to_pylist())
-                place = work.hash.places(chunk.code)
+            for low, high in _parts(batch):
+                a, b = ([np.frombuffer(x, aligner.kind) for x in batch.column(side).slice(low, high - low).to_pylist()] for side in "ab")
+                chunk = Chunk(aligner, a, b)
+                place = aligner.hash.places(chunk.code)
                 links = chunk.per_text(np.diff(chunk.bounds))
                 numbers = [chunk.per_text(chunk.sizes[0]), chunk.per_text(chunk.sizes[1]), links, links, chunk.summed(best[place]), chunk.summed(counts[place])]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(low, high - low), *map(pa.array, numbers), pa.array(chunk.groups(), pa.large_string()).cast(pa.string())],
                                                  ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups"])
 
-    return documents.selectExpr("CAST(doc_id AS long) AS doc_id", "text").mapInArrow(
+    return passed.filter(F.col("slice").isNull()).select("doc_id", "a", "b").mapInArrow(
         run, "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string")

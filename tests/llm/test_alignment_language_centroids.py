@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from parity.check import connect, difference
 from shelfspan.llm import centroids, queries
-from shelfspan.llm.alignment import Aligner, PerfectHash, token_alignment
+from shelfspan.llm.alignment import Aligner, Chunk, PerfectHash, token_alignment
 from shelfspan.llm.language_id import PAD, Network, language_ids, pooled
 
 ROOT = "/root/testdata/sf0.001"
@@ -113,7 +113,7 @@ def test_perfect_hash_is_minimal_and_knows_its_keys():
 
 def test_every_link_is_a_possible_pair():
     work = Aligner(A_JSON, B_MODEL).open()
-    chunk = work.chunk([t for t in ODD if t])
+    chunk = Chunk(work, *work.tokenised(ODD))
     assert len(chunk.code) and (work.hash.places(chunk.code) >= 0).all()
 
 
