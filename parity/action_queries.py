@@ -42,18 +42,23 @@ def scoring_day(feed):
     return panel_ops.latest_backtest_date(feed.ledger, H).scalar()
 
 
-def past_positions(feed):
+def past_positions(feed, day=None):
+    day = scoring_day(feed) if day is None else day
     frame = modeled(feed, ["trailing_demand_rate", "days_of_cover", "avg_price", "intransit_units"])
-    past = S.latest_position(S.open_positions(frame, scoring_day(feed)))
-    return cut_lineage(J.build_positions(past, feed.ledger_with_inbound, scoring_day(feed)))
+    past = S.latest_position(S.open_positions(frame, day))
+    return cut_lineage(J.build_positions(past, feed.ledger_with_inbound, day))
 
 
-cte("past_rows", """
+def past_cte(name, day):
+    cte(name, f"""
 SELECT m.store_id, m.sku_uid, user_id * 2 + part AS pid, greatest(coalesce(today, start_stock), 0) AS start_stock, trailing_demand_rate, avg_price, greatest(coalesce(moving, 0), 0) AS committed_units
-FROM (SELECT * FROM model_frame, (SELECT max(date) - 14 AS a FROM panel) WHERE spell_start <= a AND spell_end >= a
+FROM (SELECT * FROM model_frame, ({day}) WHERE spell_start <= a AND spell_end >= a
       QUALIFY row_number() OVER (PARTITION BY store_id, sku_uid ORDER BY spell_start DESC) = 1) m
 LEFT JOIN (SELECT store_id AS s, sku_uid AS k, date AS d, store_stock AS today, CAST(inbound AS DOUBLE) AS moving FROM panel) t ON t.s = m.store_id AND t.k = m.sku_uid AND t.d = m.a
 """)
+
+
+past_cte("past_rows", "SELECT max(date) - 14 AS a FROM panel")
 POSITION = "store_id:s sku_uid:s start_stock:f trailing_demand_rate:f committed_units:f"
 
 
@@ -185,7 +190,7 @@ def _intervals(feed):
 
 def calibrated(feed):
     sold = feed.ledger.filter("units_sold > 0")
-    return cut_lineage(R.calibrate(feed.ledger, sold, feed.replenishment_orders, feed.forecast, feed.product_dim, min_days=10, min_rows=2))
+    return cut_lineage(R.calibrate(feed.ledger, sold, feed.replenishment_orders, feed.forecast, feed.product_dim, min_days=3, min_rows=2))
 
 
 @query("project_paths", SUMMARY)
@@ -258,15 +263,21 @@ SELECT *, CASE WHEN m1 > 0 THEN s1 * avg_price * 0.4 - m1 * 40 END AS v1, CASE W
 SELECT m.*, e0 * trailing_demand_rate AS loss, CASE WHEN m1 > 0 THEN greatest((e0 - e1) * trailing_demand_rate, 0) ELSE 0 END AS s1, CASE WHEN m3 > 0 THEN greatest((e0 - e3) * trailing_demand_rate, 0) ELSE 0 END AS s3
 FROM moved_rows m JOIN arm_wide USING (store_id, sku_uid))
 """)
-cte("recs", """
-SELECT *, round(CAST(loss AS DECIMAL(18, 9)), 2) AS baseline_expected_lost_units, round(CAST(best_saved AS DECIMAL(18, 9)), 2) AS expected_units_saved, round(CAST(best AS DECIMAL(18, 9)), 2) AS expected_net_value, round(CAST(best_saved * avg_price * 0.4 AS DECIMAL(18, 9)), 2) AS expected_margin_protected,
+def rec_cte(name, valued, margin):
+    cte(name, f"""
+SELECT *, round(CAST(loss AS DECIMAL(18, 9)), 2) AS baseline_expected_lost_units, round(CAST(best_saved AS DECIMAL(18, 9)), 2) AS expected_units_saved, round(CAST(best AS DECIMAL(18, 9)), 2) AS expected_net_value, round(CAST(best_saved * avg_price * {margin} AS DECIMAL(18, 9)), 2) AS expected_margin_protected,
        CASE WHEN recommended_action = 'rebalance_from_store' THEN rebalance_donor ELSE '' END AS donor FROM (
 SELECT *, CASE WHEN coalesce(v3, -1) > greatest(coalesce(v1, 0), 0) THEN 'expedite_from_supplier' WHEN coalesce(v1, 0) > 0 THEN 'rebalance_from_store' ELSE 'no_action' END AS recommended_action,
        CASE WHEN coalesce(v3, -1) > greatest(coalesce(v1, 0), 0) THEN v3 WHEN coalesce(v1, 0) > 0 THEN v1 ELSE 0 END AS best,
-       CASE WHEN coalesce(v3, -1) > greatest(coalesce(v1, 0), 0) THEN s3 WHEN coalesce(v1, 0) > 0 THEN s1 ELSE 0 END AS best_saved FROM valued)
+       CASE WHEN coalesce(v3, -1) > greatest(coalesce(v1, 0), 0) THEN s3 WHEN coalesce(v1, 0) > 0 THEN s1 ELSE 0 END AS best_saved FROM {valued})
 """)
 
 
+rec_cte("recs", "valued", 0.4)
+cte("what_if_valued", "SELECT * REPLACE (CASE WHEN m1 > 0 THEN s1 * avg_price * 0.3 - m1 * 200 END AS v1, CASE WHEN m3 > 0 THEN s3 * avg_price * 0.3 - m3 * 60 END AS v3) FROM valued")
+rec_cte("what_if_recs", "what_if_valued", 0.3)
+
+
 def by_draws(stacked, keys):
     return J.first_out_counts(J.paths_from_draws(draws(stacked, keys, arm="arm"), keys), keys, H)
 
@@ -299,10 +310,26 @@ def _mix(feed):
 
 @query("action_feed", "total:i no_action_share:f total_net_value:f2", """
 SELECT count(*) AS total, avg(CASE WHEN recommended_action = 'no_action' THEN 1.0 ELSE 0.0 END) AS no_action_share, sum(expected_net_value) FILTER (WHERE recommended_action <> 'no_action') AS total_net_value
-FROM recs WHERE sku_uid = 'SKU1'
+FROM recs
 """)
 def _feed(feed):
-    return X.feed_totals(recommended(feed).filter("sku_uid = 'SKU1'"))
+    return X.feed_totals(recommended(feed))
+
+
+FEED_ROW = "page:i store_id:s sku_uid:s recommended_action:s expected_net_value:f2 expected_units_saved:f2"
+
+
+@query("action_feed_pages", FEED_ROW, """
+SELECT *, CAST((place - 1) // 15 AS BIGINT) AS page FROM (
+SELECT *, row_number() OVER (ORDER BY expected_net_value DESC, store_id, sku_uid) AS place FROM recs WHERE recommended_action <> 'no_action') WHERE place <= 30
+""")
+def _pages(feed):
+    """Two pages, the second behind the last row of the first."""
+    acted = recommended(feed).filter(F.col("recommended_action") != P.NO_ACTION)
+    first = X.feed_page(acted, 15)
+    end = X.page_end(first)
+    second = X.feed_page(acted, 15, after=end) if end else first.limit(0)
+    return first.withColumn("page", F.lit(0)).unionByName(second.withColumn("page", F.lit(1)))
 
 
 @query("decision_backtest", "n:i acted_share:f precision:f recall:f stockout_rate_when_not:f base_rate:f", """
@@ -314,9 +341,27 @@ def _decisions(feed):
     return X.decision_backtest(recommended(feed), truth)
 
 
-@query("scenario_recommend", "recommended_action:s positions:i net_value:f2")
+COMPARED = """
+SELECT store_id, sku_uid, r.recommended_action AS standing_recommended_action, w.recommended_action AS scenario_recommended_action, r.recommended_action <> w.recommended_action AS changed,
+       r.expected_net_value AS standing_expected_net_value, w.expected_net_value AS scenario_expected_net_value,
+       w.expected_net_value - r.expected_net_value AS value_change FROM recs r JOIN what_if_recs w USING (store_id, sku_uid)"""
+
+
+def compared(feed):
+    return X.beside_standing(recommended(feed), recommended(feed, {P.REBALANCE: 200.0}, 0.3))
+
+
+@query("scenario_recommend", "store_id:s sku_uid:s standing_recommended_action:s scenario_recommended_action:s changed:i scenario_expected_net_value:f2 value_change:f2", COMPARED)
 def _what_if(feed):
-    return X.action_mix(recommended(feed, {P.REBALANCE: 200.0}, 0.3))
+    return compared(feed)
+
+
+@query("scenario_delta", "positions:i changed:i value_change:f2 standing_no_action_share:f standing_net_value:f2 scenario_no_action_share:f scenario_net_value:f2", f"""
+SELECT count(*) AS positions, count(*) FILTER (WHERE changed) AS changed, sum(value_change) AS value_change,
+""" + ", ".join(f"avg(CASE WHEN {side}_recommended_action = 'no_action' THEN 1.0 ELSE 0.0 END) AS {side}_no_action_share, coalesce(sum({side}_expected_net_value) FILTER (WHERE {side}_recommended_action <> 'no_action'), 0) AS {side}_net_value"
+                for side in ("standing", "scenario")) + f" FROM ({COMPARED})")
+def _delta(feed):
+    return X.scenario_delta(compared(feed))
 
 
 @query("recommend_drawn", "recommended_action:s positions:i")
@@ -342,13 +387,10 @@ SELECT * FROM all_imbalances ORDER BY expected_lost_revenue DESC, store_id, sku_
 """)
 
 
-def imbalanced(feed, scored, top=40):
-    return X.imbalance(scored, donors_of(feed, scored, as_of(feed)), feed.store_dim, top=top)
-
-
 @query("imbalance", "store_id:s sku_uid:s donor_store:s surplus:f expected_lost_revenue:f4", "SELECT * FROM imbalanced")
 def _imbalance(feed):
-    return imbalanced(feed, banded(feed))
+    scored = banded(feed)
+    return X.imbalance(scored, donors_of(feed, scored, as_of(feed)), feed.store_dim)
 
 
 ALERTS = " UNION ALL ".join(
@@ -368,4 +410,5 @@ def _alerts(feed):
     from shelfspan.operators.score import coverage_short
     scored = cut_lineage(shelf(feed))
     vendors = R.supplier_performance(lead_columns(feed.goods_receipts))
-    return X.alerts(scored, coverage_short(scored), vendors, imbalanced(feed, scored, None), R.lead_time_summary(leads(feed)))
+    totals = X.imbalance_totals(scored, donors_of(feed, scored, as_of(feed)), feed.store_dim)
+    return X.alerts(scored, coverage_short(scored), vendors, totals, R.lead_time_summary(leads(feed)))

@@ -9,3 +9,4 @@ import parity.feature_queries  # noqa: F401
 import parity.score_queries  # noqa: F401
 import parity.action_queries  # noqa: F401
 import parity.signal_queries  # noqa: F401
+import parity.export_queries  # noqa: F401

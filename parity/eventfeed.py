@@ -1,7 +1,8 @@
 """The retail tables of the contract, derived from a star schema with an event stream.
 
-A user is a store, the parity of an event id picks one of two SKUs, a ``signup`` event is
-a delivery of four units and every other event is one unit of demand.  The walk is the
+A user is a store that carries two of a hundred and two SKUs; which two follows from its
+number, and the parity of an event id picks one of them.  A ``signup`` event is a delivery
+of four units and every other event is one unit of demand.  The walk is the
 usual reflected random walk: demand that meets an empty shelf is lost.
 """
 
@@ -19,6 +20,8 @@ from shelfspan.operators.spells import build_spells
 
 UNITS_PER_DELIVERY = 4
 PROMISED_DAYS = 45
+#: Assortments: stores whose numbers are equal modulo this carry the same two SKUs.
+ASSORTMENTS = 51
 
 
 def store_key(user: Column) -> Column:
@@ -29,6 +32,11 @@ def sku_key(part: Column) -> Column:
     return F.concat(F.lit("SKU"), part.cast("string"))
 
 
+def part_of(which: Column, user: Column) -> Column:
+    """The number of a store's first (0) or second (1) SKU."""
+    return which * ASSORTMENTS + user % ASSORTMENTS
+
+
 def warehouse_key(region: Column) -> Column:
     return F.concat(F.lit("WH_"), region)
 
@@ -54,7 +62,7 @@ class EventFeed:
         events = self.raw("events").select("event_id", "user_id", "event_type", F.col("ts").cast("date").alias("date"))
         is_delivery = F.col("event_type") == "signup"
         daily = events.groupBy(
-            "user_id", (F.col("event_id") % 2).alias("part"), "date"
+            "user_id", part_of(F.col("event_id") % 2, F.col("user_id")).alias("part"), "date"
         ).agg(
             (F.count_if(is_delivery) * UNITS_PER_DELIVERY).alias("rcv"),
             F.count_if(~is_delivery).alias("dem"),
@@ -65,7 +73,7 @@ class EventFeed:
         )
         spine = (
             events.select("user_id").distinct()
-            .select("user_id", F.explode(F.array(F.lit(0), F.lit(1)).cast("array<bigint>")).alias("part"))
+            .select("user_id", F.explode(F.array(*[part_of(F.lit(i).cast("bigint"), F.col("user_id")) for i in (0, 1)])).alias("part"))
             .select("user_id", "part", F.explode(days).alias("date"), F.lit(0).alias("rcv"), F.lit(0).alias("dem"))
         )
         dense = (
@@ -172,7 +180,7 @@ class EventFeed:
             self.raw("events").filter("event_type = 'signup'")
             .select(
                 store_key(F.col("user_id")).alias("store_id"),
-                sku_key(F.col("event_id") % 2).alias("sku_uid"),
+                sku_key(part_of(F.col("event_id") % 2, F.col("user_id"))).alias("sku_uid"),
                 F.date_sub(F.col("ts").cast("date"), (1 + F.col("event_id") % 5).cast("int")).alias("date"),
                 F.lit(float(UNITS_PER_DELIVERY)).alias("qty"),
             )

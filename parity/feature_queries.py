@@ -149,14 +149,17 @@ def _frame(feed):
     return modeled(feed, FEATURES)
 
 
-ZONES = ["AMERICA", "ASIA", "EUROPE", "MIDDLE_EAST"]
+def level_sql(column):
+    return f"regexp_replace({column}, '\\W+', '_', 'g')"
 
 
-@query("one_hot", "store_id:s sku_uid:s spell_id:i " + " ".join(f"zonecat_{z}:f" for z in ZONES), """
-SELECT store_id, sku_uid, spell_id, """ + ", ".join(
-    f"CASE WHEN regexp_replace(zone_norm, '\\W+', '_', 'g') = '{z}' THEN 1.0 ELSE 0.0 END AS zonecat_{z}" for z in ZONES) + " FROM model_frame")
+@query("one_hot", "store_id:s sku_uid:s spell_id:i name:s value:f", " UNION ALL ".join(
+    f"SELECT store_id, sku_uid, spell_id, '{prefix}_' || {level_sql(c)} AS name, 1.0 AS value FROM model_frame WHERE {level_sql(c)} > (SELECT min({level_sql(c)}) FROM model_frame)"
+    for c, prefix in (("zone_norm", "zonecat"), ("category", "prodcat"))))
 def _one_hot(feed):
-    return M.one_hot(modeled(feed, ["zone_norm"]))[0]
+    frame, levels = M.one_hot(modeled(feed, ["zone_norm", "category"]))
+    held = frame.select(*PAIR, "spell_id", F.inline("hot"))
+    return held.join(levels.select("place", "name"), "place")
 
 
 @query("time_split", "store_id:s sku_uid:s spell_id:i part:s", """

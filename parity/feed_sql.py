@@ -6,15 +6,15 @@ cte("stream", "SELECT event_id, user_id, event_type, CAST(ts AS DATE) AS date FR
 cte("stream_window", "SELECT min(date) AS d0, max(date) AS d1 FROM stream")
 cte("day_list", "SELECT CAST(unnest(generate_series(d0, d1, INTERVAL 1 DAY)) AS DATE) AS date FROM stream_window")
 cte("daily_flow", """
-SELECT user_id, event_id % 2 AS part, date,
+SELECT user_id, event_id % 2 * 51 + user_id % 51 AS part, date,
        4 * count(*) FILTER (WHERE event_type = 'signup') AS rcv,
        count(*) FILTER (WHERE event_type <> 'signup') AS dem
 FROM stream GROUP BY 1, 2, 3
 """)
 cte("flow", """
-SELECT u.user_id, p.part, d.date, coalesce(f.rcv, 0) AS rcv, coalesce(f.dem, 0) AS dem
-FROM (SELECT DISTINCT user_id FROM stream) u CROSS JOIN (VALUES (0), (1)) p(part) CROSS JOIN day_list d
-LEFT JOIN daily_flow f ON f.user_id = u.user_id AND f.part = p.part AND f.date = d.date
+SELECT u.user_id, u.part, d.date, coalesce(f.rcv, 0) AS rcv, coalesce(f.dem, 0) AS dem
+FROM (SELECT DISTINCT user_id, which * 51 + user_id % 51 AS part FROM stream CROSS JOIN (VALUES (0), (1)) p(which)) u CROSS JOIN day_list d
+LEFT JOIN daily_flow f ON f.user_id = u.user_id AND f.part = u.part AND f.date = d.date
 """)
 
 
@@ -104,7 +104,7 @@ SELECT p.store_id, sku_uid, date, store_stock,
 FROM panel p LEFT JOIN store_dim s ON s.store_id = p.store_id
 """)
 cte("order_lines", """
-SELECT 'ST' || user_id AS store_id, 'SKU' || (event_id % 2) AS sku_uid,
+SELECT 'ST' || user_id AS store_id, 'SKU' || (event_id % 2 * 51 + user_id % 51) AS sku_uid,
        CAST(date - CAST(1 + event_id % 5 AS INTEGER) AS DATE) AS date, 4.0 AS qty
 FROM stream WHERE event_type = 'signup'
 """)

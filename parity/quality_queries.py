@@ -9,9 +9,9 @@ from shelfspan.operators import quality as Q
 FINDING = "check:s table:s passed:i severity:s n_bad:i n_total:i bad_rate:f"
 
 
-def finding_sql(check, table, severity, counts, passed="n_bad = 0"):
+def finding_sql(check, table, severity, counts, passed="n_bad = 0", examples="''"):
     return f"""SELECT 'accounting.{check}' AS "check", '{table}' AS "table", {passed} AS passed, '{severity}' AS severity, n_bad, n_total,
-       CASE WHEN n_total = 0 THEN 0.0 ELSE n_bad / n_total END AS bad_rate FROM ({counts})"""
+       CASE WHEN n_total = 0 THEN 0.0 ELSE n_bad / n_total END AS bad_rate, coalesce({examples}, '') AS examples, '' AS detail FROM ({counts})"""
 
 
 cte("stock_rows", """
@@ -101,15 +101,16 @@ def leaky(feed):
 
 
 MOVEMENT = finding_sql("stock_movement_sign", "inventory_daily", "error",
-                       "SELECT count(*) FILTER (WHERE comparable AND implied < -0.5) AS n_bad, count(*) FILTER (WHERE comparable) AS n_total FROM moves")
+                       "SELECT count(*) FILTER (WHERE comparable AND implied < -0.5) AS n_bad, count(*) FILTER (WHERE comparable) AS n_total, max(-implied) FILTER (WHERE comparable AND implied < -0.5) AS worst FROM moves",
+                       examples="'max ' || worst")
 ATTRIBUTION = finding_sql("receipt_attribution", "inventory_daily", "warn", """
 SELECT count(*) FILTER (WHERE NOT hit) AS n_bad, count(*) AS n_total FROM (
 SELECT EXISTS (SELECT 1 FROM late_orders o WHERE o.store_id = m.store_id AND o.sku_uid = m.sku_uid AND o.date <= m.date AND o.date >= m.date - 3) AS hit
 FROM moves m WHERE comparable AND implied > 0.5)""", "n_bad / n_total <= 0.2")
 PHANTOM = finding_sql("phantom_stockout", "inventory_daily", "error", """
-SELECT count(*) FILTER (WHERE NOT hit) AS n_bad, (SELECT count(*) FROM moves WHERE comparable) AS n_total FROM (
-SELECT EXISTS (SELECT 1 FROM late_orders o WHERE o.store_id = m.store_id AND o.sku_uid = m.sku_uid AND o.date <= m.date AND o.date >= m.date - 3) AS hit
-FROM moves m WHERE comparable AND prev <= 0 AND units_sold > 0)""")
+SELECT count(*) FILTER (WHERE NOT hit) AS n_bad, (SELECT count(*) FROM moves WHERE comparable) AS n_total, min(named) FILTER (WHERE NOT hit) AS first FROM (
+SELECT store_id || '/' || sku_uid || '/' || CAST(date AS VARCHAR) AS named, EXISTS (SELECT 1 FROM late_orders o WHERE o.store_id = m.store_id AND o.sku_uid = m.sku_uid AND o.date <= m.date AND o.date >= m.date - 3) AS hit
+FROM moves m WHERE comparable AND prev <= 0 AND units_sold > 0)""", examples="first")
 cte("late_orders", "SELECT * FROM order_lines")
 
 
@@ -128,21 +129,44 @@ def _phantom(feed):
     return Q.phantom_stockout(leaky(feed), feed.replenishment_orders, lookback=3)
 
 
-@query("findings", FINDING, f"""
-({finding_sql("stock_components_sum_to_opening", "inventory_daily", "error", "SELECT count(*) FILTER (WHERE abs(warehouse_stock + store_stock + intransit_stock - opening_stk) > 0.5) AS n_bad, count(*) AS n_total FROM stock_rows")})
+cte("all_findings", f"""
+({finding_sql("stock_components_sum_to_opening", "inventory_daily", "error", "SELECT count(*) FILTER (WHERE off > 0.5) AS n_bad, count(*) AS n_total, max(off) FILTER (WHERE off > 0.5) AS worst FROM (SELECT abs(warehouse_stock + store_stock + intransit_stock - opening_stk) AS off FROM stock_rows)", examples="'diff=' || CAST(CAST(worst AS DOUBLE) AS VARCHAR)")})
 UNION ALL ({finding_sql("non_negative_stock", "inventory_daily", "error", "SELECT count(*) FILTER (WHERE store_stock < 0) AS n_bad, 2 * count(*) AS n_total FROM stock_rows")})
+UNION ALL ({finding_sql("receipt_after_order", "goods_receipts", "error", "SELECT count(*) FILTER (WHERE date < order_date) AS n_bad, count(*) AS n_total FROM goods_receipts")})
 UNION ALL ({MOVEMENT}) UNION ALL ({ATTRIBUTION}) UNION ALL ({PHANTOM})
 """)
-def _findings(feed):
+
+
+def findings(feed):
     rules = [
         {"name": "stock_components_sum_to_opening", "type": "sum_equals", "severity": "error",
          "parts": ["warehouse_stock", "store_stock", "intransit_stock"], "total": "opening_stk"},
         {"name": "non_negative_stock", "type": "non_negative", "columns": ["store_stock", "warehouse_stock"], "severity": "error"},
     ]
     orders = feed.replenishment_orders
+    ordered = [{"name": "receipt_after_order", "type": "date_order", "earlier": "order_date", "later": "date", "severity": "error"}]
+    moved = leaky(feed)
     return Q.findings([
-        Q.table_invariants(stock_rows(feed), "inventory_daily", rules), Q.stock_movement(leaky(feed)),
-        Q.receipt_attribution(leaky(feed), orders, lookback=3), Q.phantom_stockout(leaky(feed), orders, lookback=3)])
+        Q.table_invariants(stock_rows(feed), "inventory_daily", rules), Q.table_invariants(feed.goods_receipts, "goods_receipts", ordered),
+        Q.stock_movement(moved), Q.receipt_attribution(moved, orders, lookback=3), Q.phantom_stockout(moved, orders, lookback=3)])
+
+
+@query("findings", FINDING + " examples:s detail:s", "SELECT * FROM all_findings")
+def _findings(feed):
+    return findings(feed)
+
+
+@query("findings_filtered", FINDING + " examples:s detail:s", """SELECT * FROM all_findings WHERE severity = 'error' AND NOT passed AND "table" = 'inventory_daily'""")
+def _filtered(feed):
+    return Q.filter_findings(findings(feed), severity="error", passed=False, table="inventory_daily")
+
+
+@query("finding_totals", "severity:s passed:s table:s n_checks:i n_failed:i n_blocking:i", """
+SELECT severity, passed, "table", count(*) AS n_checks, count(*) FILTER (WHERE NOT passed) AS n_failed, count(*) FILTER (WHERE NOT passed AND severity = 'error') AS n_blocking
+FROM all_findings GROUP BY GROUPING SETS ((), (severity), (passed), ("table"), (severity, passed, "table"))
+""")
+def _totals(feed):
+    return Q.finding_totals(findings(feed))
 
 
 @query("unexplained_movement",
@@ -203,16 +227,31 @@ cte("dc_seen", "SELECT * FROM inventory_daily WHERE (length(store_id) + ascii(ri
 
 
 @query("dc_groups", "store_id:s pool:s", """
-SELECT i.store_id, min(i.store_id) OVER (PARTITION BY zone_norm) AS pool FROM (SELECT DISTINCT store_id FROM dc_seen) i JOIN store_dim s ON s.store_id = i.store_id
+SELECT i.store_id, min(i.store_id) OVER (PARTITION BY zone_norm, CAST(substr(i.store_id, 3) AS BIGINT) % 51) AS pool FROM (SELECT DISTINCT store_id FROM dc_seen) i JOIN store_dim s ON s.store_id = i.store_id
 """)
 def _groups(feed):
     seen = feed.inventory_daily.filter((F.length("store_id") + F.ascii(F.right("store_id", F.lit(1))) + F.dayofmonth("date")) % 5 > 0)
     return N.store_groups(seen)
 
 
+# one store per zone reports what its neighbour zone does on some days, so its pool disagrees
+cte("dc_torn", """
+SELECT * REPLACE (CASE WHEN CAST(substr(store_id, 3) AS BIGINT) % 10 = 3 AND day(date) % 4 = 0 THEN warehouse_stock + 500 ELSE warehouse_stock END AS warehouse_stock) FROM inventory_daily
+""")
+
+
+@query("dc_groups_torn", "store_id:s pool:s", """
+SELECT store_id, min(store_id) OVER (PARTITION BY zone_norm, CAST(substr(store_id, 3) AS BIGINT) % 51, odd) AS pool FROM (
+SELECT DISTINCT i.store_id, s.zone_norm, CAST(substr(i.store_id, 3) AS BIGINT) % 10 = 3 AS odd FROM dc_torn i JOIN store_dim s ON s.store_id = i.store_id)
+""")
+def _torn(feed):
+    odd = (F.substring("store_id", 3, 20).cast("bigint") % 10 == 3) & (F.dayofmonth("date") % 4 == 0)
+    return N.store_groups(feed.inventory_daily.withColumn("warehouse_stock", F.col("warehouse_stock") + F.when(odd, 500.0).otherwise(0.0)))
+
+
 @query("dc_verdict", "varying_share:f n_groups:i verdict:s", """
 SELECT (SELECT avg(CASE WHEN v > 1 THEN 1.0 ELSE 0.0 END) FROM (SELECT count(DISTINCT warehouse_stock) AS v FROM inventory_daily GROUP BY sku_uid, date)) AS varying_share,
-       (SELECT count(DISTINCT zone_norm) FROM inventory_daily i JOIN store_dim s ON s.store_id = i.store_id) AS n_groups, 'serving groups' AS verdict
+       (SELECT count(DISTINCT (zone_norm, CAST(substr(i.store_id, 3) AS BIGINT) % 51)) FROM inventory_daily i JOIN store_dim s ON s.store_id = i.store_id) AS n_groups, 'serving groups' AS verdict
 """)
 def _verdict(feed):
     return N.dc_verdict(feed.inventory_daily, N.store_groups(feed.inventory_daily))
@@ -227,3 +266,14 @@ def _mapping(feed):
         [(0, "WH_SOUTH", ["africa "]), (1, "WH_WEST", ["America", "ASIA"]), (2, "WH_NORTH", ["Europe"])],
         "position int, dc_id string, serves_zones array<string>")
     return N.dc_of_store(feed.store_dim.select("store_id", "zone_norm"), dcs, zone="zone_norm")
+
+
+@query("ambiguous_zones", "zone:s n_dcs:i first_dc:s other_dc:s", """
+SELECT r_name AS zone, count(*) AS n_dcs, min(dc_id) AS first_dc, max(dc_id) AS other_dc FROM (
+SELECT DISTINCT r_name, 'WH_' || CAST(n_nationkey % 3 AS VARCHAR) AS dc_id FROM nation JOIN region ON n_regionkey = r_regionkey) GROUP BY 1 HAVING count(*) > 1
+""")
+def _ambiguous(feed):
+    """A configuration by the nations' numbers, where regions are split between warehouses."""
+    served = feed.raw("nation").join(feed.raw("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    dcs = served.groupBy(F.concat(F.lit("WH_"), (F.col("n_nationkey") % 3).cast("string")).alias("dc_id")).agg(F.collect_set("r_name").alias("serves_zones"))
+    return N.ambiguous_zones(dcs)

@@ -22,7 +22,7 @@ ASOF LEFT JOIN (SELECT DISTINCT store_id, sku_uid, date FROM order_lines) o
 """)
 def _inclusive(feed):
     receipts = feed.ledger.filter("received > 0").select(*PAIR, "date")
-    return asof_join(receipts, feed.replenishment_orders.withColumnRenamed("date", "order_date"), PAIR, "date", "order_date", tolerance_days=3)
+    return asof_join(receipts, feed.replenishment_orders.withColumnRenamed("date", "order_date"), PAIR, "date", "order_date", tolerance_days=3, hot_keys=True)
 
 
 cte("daily_rate", "SELECT store_id, date, sum(units_sold) AS sold FROM panel GROUP BY 1, 2")
@@ -35,7 +35,7 @@ ASOF LEFT JOIN daily_rate d ON d.store_id = s.store_id AND s.spell_start > d.dat
 def _strict(feed):
     daily = feed.ledger.groupBy("store_id", "date").agg(F.sum("units_sold").alias("sold"))
     left = feed.spells.select(*PAIR, "spell_id", "spell_start")
-    return asof_join(left, daily, ["store_id"], "spell_start", "date", values=["sold"], strict=True)
+    return asof_join(left, daily, ["store_id"], "spell_start", "date", values=["sold"], strict=True, hot_keys=True)
 
 
 cte("lead_times", """
@@ -190,13 +190,29 @@ def _open_orders(feed):
     return R.open_orders(feed.replenishment_orders, as_of(feed), mean)
 
 
+cte("line_sales", """
+SELECT 'ST' || s_nationkey AS store_id, 'SKU' || (l_partkey % 50) AS sku_uid, CAST(l_shipdate AS DATE) AS date, sum(l_quantity) AS units_sold
+FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2, 3
+""")
+
+
+def line_sales(feed):
+    """Quantities shipped per nation, SKU and day: they vary far more than counts of events do."""
+    nation = feed.raw("supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
+    return feed.raw("lineitem").join(nation, "l_suppkey").groupBy(
+        F.concat(F.lit("ST"), "s_nationkey").alias("store_id"), F.concat(F.lit("SKU"), (F.col("l_partkey") % 50).cast("string")).alias("sku_uid"),
+        F.col("l_shipdate").cast("date").alias("date")).agg(F.sum("l_quantity").alias("units_sold"))
+
+
 @query("dispersion", "dispersion:f", """
 SELECT coalesce(least(greatest(median(m * m / (v - m)), 0.1), 1e6), 1e6) AS dispersion FROM (
-SELECT avg(units_sold) AS m, var_samp(units_sold) AS v, count(*) AS n FROM panel WHERE store_stock > 0 GROUP BY store_id, sku_uid)
-WHERE n >= 10 AND m > 0 AND v > m
+SELECT avg(units_sold) AS m, var_samp(units_sold) AS v, count(*) AS n FROM line_sales WHERE day(date) % 4 > 0 GROUP BY store_id, sku_uid)
+WHERE n >= 5 AND m > 0 AND v > m
 """)
 def _dispersion(feed):
-    return R.demand_dispersion(feed.ledger, min_days=10)
+    sold = line_sales(feed)
+    shelf = sold.select(*PAIR, "date", F.when(F.dayofmonth("date") % 4 > 0, 1.0).otherwise(0.0).alias("store_stock"))
+    return R.demand_dispersion(sold, shelf, min_days=5)
 
 
 @query("weekday_factors", "weekday:i factor:f", """
@@ -245,8 +261,8 @@ def _error(feed):
 
 @query("calibrate", "forecast_bias:f forecast_sigma:f dispersion:f lead_mean:f lead_sigma:f n_lead_observations:i monday:f", """
 SELECT CASE WHEN n >= 2 THEN b ELSE 1.0 END AS forecast_bias, CASE WHEN n >= 2 THEN s ELSE 0.35 END AS forecast_sigma,
-       greatest((SELECT median(m * m / (v - m)) FROM (SELECT avg(units_sold) AS m, var_samp(units_sold) AS v, count(*) AS n FROM panel WHERE store_stock > 0 GROUP BY store_id, sku_uid)
-                 WHERE n >= 10 AND m > 0 AND v > m), 0.05) AS dispersion,
+       greatest((SELECT coalesce(median(m * m / (v - m)), 1e6) FROM (SELECT avg(units_sold) AS m, var_samp(units_sold) AS v, count(*) AS n FROM panel WHERE store_stock > 0 AND units_sold > 0 GROUP BY store_id, sku_uid)
+                 WHERE n >= 3 AND m > 0 AND v > m), 0.05) AS dispersion,
        (SELECT avg(lead_days) FROM lead_times) AS lead_mean, (SELECT stddev_samp(lead_days) FROM lead_times) AS lead_sigma,
        (SELECT count(*) FROM lead_times) AS n_lead_observations,
        (SELECT avg(units_sold) FILTER (WHERE isodow(date) = 1) / avg(units_sold) FROM panel WHERE units_sold > 0) AS monday
@@ -256,7 +272,7 @@ FROM (SELECT count(*) AS n, exp(median(ratio)) AS b, stddev_samp(ratio) AS s FRO
 """)
 def _calibrate(feed):
     sold = feed.ledger.filter("units_sold > 0")
-    return R.calibrate(feed.ledger, sold, feed.replenishment_orders, feed.forecast, feed.product_dim, min_days=10, min_rows=2).withColumn(
+    return R.calibrate(feed.ledger, sold, feed.replenishment_orders, feed.forecast, feed.product_dim, min_days=3, min_rows=2).withColumn(
         "monday", F.get("weekday_factor", F.lit(0)))
 
 

@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from parity.base import cte, query
-from parity.feature_queries import modeled
+from parity.feature_queries import FEATURES, modeled
 from parity.rollup_queries import as_of, leads
 from parity.survival_queries import km_ctes
 from shelfspan import params as P
@@ -84,10 +84,26 @@ SELECT m.eta, (SELECT sum(exp(o.eta)) FROM cx o WHERE o.duration_model >= m.dura
 """)
 def _cox_objective(feed):
     frame = frame_of(feed)
-    value, _, _ = fit.cox_sums(frame, NAMES, np.zeros(3), np.ones(3), -np.array(MODEL.coefficients))
+    value, _, _ = fit.cox_sums(frame, NAMES, -np.array(MODEL.coefficients))
     return frame.agg(F.lit(float(value)).alias("log_likelihood"))
 
 
+cte("cx_risk", """
+SELECT m.*, sum(exp(eta)) OVER later AS s0, sum(exp(eta) * days_of_cover) OVER later AS s1 FROM cx3 m
+WINDOW later AS (ORDER BY duration_model DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+""")
+cte("cx3", f"SELECT duration_model, stockout_event, {MODEL.intercept} - mu AS eta, log_days_of_cover AS days_of_cover FROM mf")
+
+
+@query("cox_slope", "slope:f4 curvature:f4", """
+SELECT sum(days_of_cover - s1 / s0) AS slope, -sum(s2 / s0 - (s1 / s0) * (s1 / s0)) AS curvature FROM (
+SELECT *, sum(exp(eta) * days_of_cover * days_of_cover) OVER (ORDER BY duration_model DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS s2 FROM cx_risk) WHERE stockout_event = 1
+""")
+def _cox_slope(feed):
+    """First and second derivative in the first coefficient, away from the optimum."""
+    frame = frame_of(feed)
+    _, slope, curvature = fit.cox_sums(frame, NAMES, -np.array(MODEL.coefficients))
+    return frame.agg(F.lit(float(slope[0])).alias("slope"), F.lit(float(curvature[0, 0])).alias("curvature"))
 
 
 def coefficients(spark_frame, model, extra):
@@ -110,6 +126,24 @@ def _cox_fit(feed):
     return coefficients(frame, model, [("log_likelihood", model.log_likelihood)])
 
 
+VARIED = " + ".join(f"CASE WHEN stddev_samp({n}) > 0 THEN 1 ELSE 0 END" for n in FEATURES)
+
+
+@query("cox_flat", "n_rows:i n_events:i n_features:i n_varied:i flat:i gains:i", f"""
+SELECT count(*) AS n_rows, sum(stockout_event) AS n_events, {len(FEATURES)} AS n_features, {VARIED} AS n_varied, 1 AS flat, 1 AS gains
+FROM model_frame
+""")
+def _cox_flat(feed):
+    """A fit over every numeric feature: its gradient is flat and it beats no features at all."""
+    frame = frame_of(feed, FEATURES)
+    model = fit.fit_cox(frame, FEATURES)
+    nothing, _, _ = fit.cox_sums(frame, FEATURES, np.zeros(len(FEATURES)))
+    return frame.agg(
+        F.count("*").alias("n_rows"), F.sum("stockout_event").alias("n_events"), F.lit(len(model.coefficients)).alias("n_features"),
+        F.lit(sum(c != 0 for c in model.coefficients)).alias("n_varied"), F.lit(model.gradient_norm < 1e-6).alias("flat"),
+        F.lit(bool(model.log_likelihood > nothing)).alias("gains"))
+
+
 @query("weibull_fit", "name:s value:f4 n_rows:i")
 def _weibull(feed):
     frame = frame_of(feed)
@@ -232,7 +266,7 @@ def _days_out(feed):
 
 
 def ranked(feed):
-    return cut_lineage(C.rank_positions(open_frame(feed), MODEL))
+    return C.rank_positions(open_frame(feed), MODEL)
 
 
 @query("rank_positions", KEY + RISK + " expected_days_out:f expected_lost_units:f expected_lost_revenue:f4", "SELECT * FROM ranked")
@@ -243,8 +277,8 @@ def _rank(feed):
 @query("rank_order", KEY + "rank_by_risk:i rank_by_units:i rank_by_revenue:i", "SELECT * FROM ranked")
 def _rank_order(feed):
     scored = ranked(feed).drop("rank_by_risk", "rank_by_units", "rank_by_revenue")
-    settled = cut_lineage(scored.withColumns({"p_stockout_14d": F.round("p_stockout_14d", 9), "expected_lost_units": F.round("expected_lost_units", 9),
-                                              "expected_lost_revenue": F.round("expected_lost_revenue", 6)}))
+    settled = scored.withColumns({"p_stockout_14d": F.round("p_stockout_14d", 9), "expected_lost_units": F.round("expected_lost_units", 9),
+                                              "expected_lost_revenue": F.round("expected_lost_revenue", 6)})
     return C.rank_all(settled, {"rank_by_risk": ("p_stockout_14d", True, "min"), "rank_by_units": ("expected_lost_units", True, "min"),
                                 "rank_by_revenue": ("expected_lost_revenue", True, "min")})
 
@@ -260,7 +294,7 @@ FROM (SELECT *, p_stockout_14d AS p, expected_lost_revenue AS v, rank() OVER (OR
 
 def banded(feed):
     scored = ranked(feed).withColumn("expected_lost_revenue", F.round("expected_lost_revenue", 4))
-    return cut_lineage(C.attach_bands(cut_lineage(scored)))
+    return cut_lineage(C.attach_bands(scored))
 
 
 @query("bands", KEY + "risk_band:s risk_score:f1", "SELECT * FROM banded")
@@ -325,6 +359,16 @@ def _topology(feed):
     return C.topology(banded(feed), snapshot, stores, feed.store_dim.select("store_id", "dc_id"))
 
 
+@query("dc_nodes", "dc_id:s stores:i positions:i at_risk:i", """
+SELECT s.dc_id, count(DISTINCT b.store_id) AS stores, count(*) AS positions, count(*) FILTER (WHERE risk_band IN ('Critical', 'High')) AS at_risk
+FROM banded b JOIN store_dim s ON s.store_id = b.store_id GROUP BY 1
+""")
+def _dc_nodes(feed):
+    snapshot = R.position_snapshot(feed.ledger, as_of(feed), 14)
+    stores = feed.store_dim.select("store_id", "city_norm")
+    return C.dc_nodes(C.topology(banded(feed), snapshot, stores, feed.store_dim.select("store_id", "dc_id")))
+
+
 @query("paged_positions", KEY + "expected_lost_revenue:f4", """
 SELECT * FROM banded ORDER BY expected_lost_revenue DESC, store_id, sku_uid, spell_id LIMIT 25 OFFSET 10
 """)

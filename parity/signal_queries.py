@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from parity.base import cte, query
 from shelfspan.operators import signals as G
 from shelfspan.operators.spells import build_spells
-from shelfspan.sources.eventfeed import EventFeed
+from parity.eventfeed import EventFeed
 
 
 def both_arms(feed):
@@ -93,7 +93,7 @@ SELECT *, round(mentions / sum(mentions) OVER (PARTITION BY city_norm, week) * 1
 SELECT city_norm, CAST(date_trunc('week', date) AS DATE) AS week, event_type AS brand, count(*) AS mentions FROM stream JOIN store_dim ON store_id = 'ST' || user_id GROUP BY 1, 2, 3)
 """)
 def _voice(feed):
-    from shelfspan.sources.eventfeed import store_key
+    from parity.eventfeed import store_key
     events = feed.raw("events").select(store_key(F.col("user_id")).alias("store_id"), F.col("event_type").alias("brand"), F.col("ts").cast("date").alias("date"))
     mentions = events.join(feed.store_dim.select("store_id", "city_norm"), "store_id").groupBy("city_norm", G.week_of("date").alias("week"), "brand").agg(
         F.count("*").alias("mentions"))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from parity.base import cte, query
 from shelfspan.operators import survival as V
 from shelfspan.operators.spells import align_arms, build_spells
-from shelfspan.sources.eventfeed import EventFeed
+from parity.eventfeed import EventFeed
 
 
 def km_ctes(name, source, event, by=""):

@@ -1,8 +1,7 @@
 """Survival regressions fitted by Newton steps over Spark partitions.
 
-Each step is one pass: every batch is reduced to sums by numpy inside its task, Spark adds
-the sums up, and only the parameter-sized result (at most (d + 2) squared numbers for the
-AFT, one such block per distinct day for Cox) reaches the driver.
+Every task reduces its rows to sums by numpy, Spark adds the sums up, and only a value, a
+gradient and a Hessian reach the driver.
 """
 
 from __future__ import annotations
@@ -15,12 +14,15 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from shelfspan.functions import normal
 from shelfspan.session import cut_lineage
 
 TIME, EVENT = "duration_model", "stockout_event"
 SUMS = "k int, v double"
+#: Days that are summed together before totals are carried on.
+BLOCK_DAYS = 32
 
 
 @dataclass(frozen=True)
@@ -177,51 +179,88 @@ def fit_aft(train: DataFrame, features: list[str], ridge: float = 0.05, steps: i
     return AftModel(features, [float(v) for v in b], float(theta[0] - b @ mean), float(math.exp(theta[-1])), float(value), slope, trace)
 
 
-def cox_sums(frame: DataFrame, features: list[str], mean, std, beta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-    """Partial log-likelihood with tied days taken together, its gradient and Hessian."""
-    d = len(features)
-    width = 1 + d + d * d
+def _prefixed(days: DataFrame, columns: list[str], later: bool) -> DataFrame:
+    """``days`` with each column summed over all earlier (or later) days, the day itself included.
+
+    Days are summed inside their block; a block's total is carried into those behind it
+    over one row per block.
+    """
+    order = F.col("t").desc() if later else F.col("t")
+    inside = Window.partitionBy("block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.orderBy(F.col("block").desc() if later else F.col("block")).rowsBetween(Window.unboundedPreceding, -1)
+    totals = days.groupBy("block").agg(*[F.sum(c).alias(c) for c in columns])
+    carried = totals.select("block", *[F.coalesce(F.sum(c).over(before), F.lit(0.0)).alias(f"carried_{c}") for c in columns])
+    summed = [(F.sum(c).over(inside) + F.col(f"carried_{c}")).alias(f"{c}_to") for c in columns]
+    return days.join(carried, "block").select(*days.columns, *summed)
+
+
+def _risk_by_day(rows: DataFrame, xs: list[str], beta: np.ndarray) -> DataFrame:
+    """``block, t, deaths, s0, s1_j``: what a day's rows add to the risk sets, one block of days per task."""
+    sums = ["deaths", "s0", *[f"s1_{x}" for x in xs]]
+
+    def reduce_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        days, total = np.zeros(0), np.zeros((0, len(sums)))
+        for batch in batches:
+            x = batch[xs].to_numpy(float)
+            risk = np.exp(x @ beta)
+            days = np.concatenate((days, batch[TIME].to_numpy(float)))
+            total = np.concatenate((total, np.column_stack([batch[EVENT].to_numpy(float), risk, x * risk[:, None]])))
+            order = np.argsort(days, kind="stable")
+            days, total = days[order], total[order]
+            first = np.flatnonzero(np.diff(days, prepend=np.nan) != 0)
+            days, total = days[first], np.add.reduceat(total, first) if len(first) else total
+        yield pd.DataFrame({"block": np.floor(days / BLOCK_DAYS).astype(np.int64), "t": days} | dict(zip(sums, total.T)))
+
+    made = rows.mapInPandas(reduce_batches, "block long, t double, " + ", ".join(f"{c} double" for c in sums))
+    return made.repartition("block").groupBy("block", "t").agg(*[F.sum(c).alias(c) for c in sums])
+
+
+def cox_sums(rows: DataFrame, xs: list[str], beta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Partial log-likelihood with tied days taken together, its gradient and Hessian.
+
+    Risk sets are suffix sums over days.  With the cumulative hazard H(t) = sum of deaths / s0
+    up to t, the second sums over risk sets become one sum over rows weighted by risk x H,
+    less one over days of the risk set's mean: both have the form sum of w x x', so one
+    reducer takes rows and days together and only 1 + d + d^2 numbers reach the driver.
+    """
+    d, s1 = len(xs), [f"s1_{x}" for x in xs]
+    days = _prefixed(_risk_by_day(rows, xs, beta), ["s0", *s1], later=True)
+    days = days.withColumn("h", F.col("deaths") / F.col("s0_to"))
+    hazard = _prefixed(days.select("block", "t", "h"), ["h"], later=False).select(F.col("t").alias(TIME), F.col("h_to").alias("hazard"))
+    none = F.lit(None).cast("double")
+    at_rows = rows.join(hazard, TIME).select(*xs, F.col(EVENT).cast("double").alias("event"), "hazard", none.alias("deaths"), none.alias("s0"))
+    at_days = days.filter("deaths > 0").select(*[(F.col(f"{s}_to") / F.col("s0_to")).alias(x) for s, x in zip(s1, xs)],
+                                               none.alias("event"), none.alias("hazard"), "deaths", F.col("s0_to").alias("s0"))
 
     def reduce_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(1 + d + d * d)
         for batch in batches:
-            x = (batch[features].to_numpy(float) - mean) / std
+            x = batch[xs].to_numpy(float)
+            event, hazard, deaths, s0 = batch[["event", "hazard", "deaths", "s0"]].to_numpy(float).T
+            row = np.isnan(deaths)
             eta = x @ beta
-            risk, event = np.exp(eta), batch[EVENT].to_numpy(float)
-            days, at = np.unique(batch[TIME].to_numpy(float), return_inverse=True)
-            cross = (x[:, :, None] * x[:, None, :]).reshape(len(x), d * d)
-            block = np.column_stack([risk, x * risk[:, None], cross * risk[:, None], event, eta * event, x * event[:, None]])
-            sums = np.zeros((len(days), block.shape[1]))
-            np.add.at(sums, at, block)
-            yield pd.DataFrame({"t": np.repeat(days, block.shape[1]), "k": np.tile(np.arange(block.shape[1], dtype=np.int32), len(days)),
-                                "v": sums.ravel()})
-
-    rows = (
-        frame.select(*features, TIME, EVENT).mapInPandas(reduce_batches, "t double, k int, v double")
-        .groupBy("t", "k").agg(F.sum("v").alias("v")).collect()
-    )
-    days = sorted({r.t for r in rows})
-    index = {t: i for i, t in enumerate(days)}
-    table = np.zeros((len(days), width + 2 + d))
-    for t, k, v in rows:
-        table[index[t], k] = v
-    still = np.cumsum(table[::-1, :width], axis=0)[::-1]
-    deaths = table[:, width]
-    hit = deaths > 0
-    s0, s1, s2 = still[hit, 0], still[hit, 1 : 1 + d], still[hit, 1 + d :].reshape(-1, d, d)
-    mean_x = s1 / s0[:, None]
-    value = table[:, width + 1].sum() - np.sum(deaths[hit] * np.log(s0))
-    gradient = table[:, width + 2 :].sum(axis=0) - np.sum(deaths[hit, None] * mean_x, axis=0)
-    spread = s2 / s0[:, None, None] - mean_x[:, :, None] * mean_x[:, None, :]
-    return value, gradient, -np.sum(deaths[hit, None, None] * spread, axis=0)
+            weight = np.where(row, np.exp(np.where(row, eta, 0)) * hazard, -deaths)
+            value = np.where(row, event * eta, -deaths * np.log(np.where(row, 1, s0)))
+            slope = np.where(row, event - weight, 0)
+            total += np.concatenate([[value.sum()], x.T @ slope, ((x * weight[:, None]).T @ x).ravel()])
+        yield pd.DataFrame({"k": np.arange(total.size, dtype=np.int32), "v": total})
+
+    total = _collect_sums(at_rows.unionByName(at_days), reduce_batches, 1 + d + d * d)
+    return total[0], total[1 : 1 + d], -total[1 + d :].reshape(d, d)
+
+
+def standardised(train: DataFrame, features: list[str]) -> tuple[DataFrame, list[str], np.ndarray, int]:
+    """``x0, x1, ...`` with mean 0 and deviation 1 beside time and event, the deviations and the row count."""
+    plain = train.select(*[F.col(c).cast("double").alias(c) for c in features], F.col(TIME).cast("double").alias(TIME), EVENT)
+    mean, std, n = scale(plain, features)
+    xs = [f"x{i}" for i in range(len(features))]
+    return plain.select(*[((F.col(c) - float(m)) / float(s)).alias(x) for c, x, m, s in zip(features, xs, mean, std)], TIME, EVENT), xs, std, n
 
 
 def fit_cox(train: DataFrame, features: list[str], ridge: float = 0.1, steps: int = 40, tolerance: float = 1e-10) -> CoxModel:
     """Cause-specific proportional hazards; every ending but a stockout is censoring."""
-    rows = cut_lineage(train.select(*[F.col(c).cast("double").alias(c) for c in features], TIME, EVENT))
-    mean, std, n = scale(rows, features)
-    beta, value, slope, _ = _newton(
-        lambda th: cox_sums(rows, features, mean, std, th), np.zeros(len(features)), np.full(len(features), ridge), n, steps, tolerance
-    )
+    rows, xs, std, n = standardised(cut_lineage(train.select(*features, TIME, EVENT)), features)
+    beta, value, slope, _ = _newton(lambda th: cox_sums(rows, xs, th), np.zeros(len(features)), np.full(len(features), ridge), n, steps, tolerance)
     return CoxModel(features, [float(v) for v in beta / std], float(value), slope)
 
 

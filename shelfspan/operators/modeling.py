@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from shelfspan import params as P
+from shelfspan.session import cut_lineage
 
 ENCODED = {"zone_norm": "zonecat", "category": "prodcat"}
 
@@ -24,23 +28,38 @@ def _level(column: str) -> Column:
     return F.regexp_replace(F.col(column).cast("string"), r"\W+", "_")
 
 
-def one_hot(frame: DataFrame, most_levels: int = 1000) -> tuple[DataFrame, list[str]]:
-    """0/1 columns per level, the first level in order left out.
+def level_dictionary(frame: DataFrame) -> DataFrame:
+    """``name, column, level, place`` of every level but the first of its column, in order.
+
+    A column with one level gives none.  Levels are numbered over all columns, so a place is
+    a position in the coefficients of a fit.
+    """
+    parts = [frame.select(F.lit(i).alias("_at"), F.lit(c).alias("column"), F.lit(prefix).alias("_prefix"), _level(c).alias("level")).distinct()
+             for i, (c, prefix) in enumerate(ENCODED.items()) if c in frame.columns]
+    if not parts:
+        return frame.sparkSession.createDataFrame([], "name string, column string, level string, place int")
+    levels = reduce(lambda a, b: a.unionByName(b), parts).filter(F.col("level").isNotNull())
+    # one row per level: as many as a fit has coefficients
+    numbered = levels.withColumn("_n", F.row_number().over(Window.partitionBy("_at").orderBy("level"))).filter("_n > 1")
+    place = F.row_number().over(Window.orderBy("_at", "level")) - 1
+    return numbered.select(F.concat_ws("_", "_prefix", "level").alias("name"), "column", "level", place.cast("int").alias("place"))
+
+
+def one_hot(frame: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``hot``, the places of a row's levels with value 1, and the dictionary of all places.
 
-    Levels become columns, so their number is checked; a level that holds every row would
-    be constant and is left out with the first.
+    An array holds at most one entry per encoded column, however many levels there are.
     """
-    created: list[str] = []
+    levels = cut_lineage(level_dictionary(frame))
+    held = []
     for column, prefix in ENCODED.items():
-        if column not in frame.columns:
-            continue
-        levels = [r[0] for r in frame.select(_level(column)).distinct().limit(most_levels + 1).collect()]
-        if len(levels) > most_levels:
-            raise ValueError(f"{column} has more than {most_levels} levels")
-        for level in sorted(v for v in levels if v is not None)[1:]:
-            frame = frame.withColumn(f"{prefix}_{level}", (_level(column) == level).cast("double"))
-            created.append(f"{prefix}_{level}")
-    return frame, created
+        if column in frame.columns:
+            of_column = levels.filter(F.col("column") == column).select(F.col("level").alias(f"_{prefix}"), F.col("place").alias(f"_{prefix}_at"))
+            frame = frame.withColumn(f"_{prefix}", _level(column)).join(of_column, f"_{prefix}", "left")
+            held.append(prefix)
+    entries = [F.struct(F.col(f"_{p}_at").alias("place"), F.lit(1.0).alias("value")) for p in held]
+    hot = F.filter(F.array(*entries), lambda e: e["place"].isNotNull()) if held else F.array().cast("array<struct<place:int,value:double>>")
+    return frame.withColumn("hot", hot).drop(*[c for p in held for c in (f"_{p}", f"_{p}_at")]), levels
 
 
 def complete_cases(frame: DataFrame, features: list[str]) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -88,6 +90,25 @@ def latest_backtest_date(inventory: DataFrame, horizon: int) -> DataFrame:
     return panel_end(inventory).select(F.date_sub("panel_end", horizon).alias("as_of"))
 
 
+def backtest_date(inventory: DataFrame, horizon: int, requested: str | date | None = None) -> date:
+    """The day to score at: the one asked for, else the latest that leaves the horizon to be observed.
+
+    A day before the panel opens, or too late to see an outcome, is an error that says so.
+    """
+    first, last = inventory.agg(F.min("date"), F.max("date")).first()
+    if last is None:
+        raise ValueError("the panel has no days")
+    latest = last - timedelta(days=horizon)
+    if requested is None:
+        return latest
+    day = requested if isinstance(requested, date) else date.fromisoformat(requested)
+    if day < first:
+        raise ValueError(f"the panel opens {first}; {day} is before any position exists")
+    if day > latest:
+        raise ValueError(f"the panel ends {last}, so {day} leaves no room for {horizon} days; the latest day is {latest}")
+    return day
+
+
 def actual_outcomes(panel: DataFrame, positions: DataFrame, as_of, horizon: int) -> DataFrame:
     """Days from ``as_of`` to the first empty shelf inside the horizon, null when none.
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from shelfspan import params as P
 from shelfspan.functions import normal
+from shelfspan.functions.beta import beta_share, let
 
 COVER = "log_days_of_cover"
 
@@ -38,24 +39,37 @@ def reorder_from_model(latest: DataFrame, model, horizon: Column, service_level:
     ).withColumn("safety_stock", F.round(F.col("recommended_reorder_point") - F.col("expected_demand_over_lead"), 2))
 
 
+def negative_binomial_cdf(count: Column, mean: Column, k: Column) -> Column:
+    """P(X <= count) for a count of 0 or more: an incomplete beta share, whatever the size of the count."""
+    share = k / (k + mean)
+    return beta_share(k.cast("double"), count.cast("double") + 1, share, 1 - share)
+
+
 def negative_binomial_quantile(mean: Column, k: Column, q: float) -> Column:
     """Smallest count whose distribution function reaches ``q``.
 
-    The probabilities follow from each other in logarithms.  By the one-sided Chebyshev
-    inequality the answer is at most mean + sqrt(variance * q / (1 - q)), so the walk is
-    exact and always long enough.
+    By the one-sided Chebyshev inequality the answer is at most mean + sqrt(variance * q /
+    (1 - q)); the bracket below that is halved as often as its width has bits, so the work
+    grows with the logarithm of the demand and nothing as long as the demand is made.
     """
     m = F.greatest(mean, F.lit(1e-6))
-    reach = F.ceil(m + F.sqrt((m + m * m / k) * q / (1 - q))).cast("int") + 1
-    step = F.log(m / (k + m))
-    start = F.struct((k * F.log(k / (k + m))).alias("lp"), F.exp(k * F.log(k / (k + m))).alias("cdf"), F.lit(0).alias("at"))
+    reach = F.ceil(m + F.sqrt((m + m * m / k) * q / (1 - q))).cast("long") + 1
+
+    def search(given: Column) -> Column:
+        start = F.struct(F.lit(-1).cast("long").alias("below"), given["reach"].alias("reached"))
+
+        def halve(acc: Column, _: Column) -> Column:
+            middle = F.floor((acc["below"] + acc["reached"]) / 2)
+            enough = negative_binomial_cdf(middle, given["m"], given["k"]) >= q
+            return F.when(acc["reached"] - acc["below"] <= 1, acc).otherwise(
+                let(F.struct(enough.alias("enough"), middle.alias("middle")), lambda tried: F.struct(
+                    F.when(tried["enough"], acc["below"]).otherwise(tried["middle"]).alias("below"),
+                    F.when(tried["enough"], tried["middle"]).otherwise(acc["reached"]).alias("reached"))))
 
-    def advance(acc: Column, j: Column) -> Column:
-        lp = acc["lp"] + F.log((j - 1 + k) / j) + step
-        done = acc["cdf"] >= q
-        return F.when(done, acc).otherwise(F.struct(lp.alias("lp"), (acc["cdf"] + F.exp(lp)).alias("cdf"), j.alias("at")))
+        halvings = F.sequence(F.lit(1), F.ceil(F.log2(given["reach"] + 1)).cast("int") + 1)
+        return F.aggregate(halvings, start, halve, lambda acc: acc["reached"])
 
-    return F.aggregate(F.sequence(F.lit(1), reach), start, advance, lambda acc: acc["at"])
+    return let(F.struct(m.alias("m"), k.cast("double").alias("k"), reach.alias("reach")), search)
 
 
 def reorder_from_demand(latest: DataFrame, lead_mean: Column, lead_std: Column, dispersion: Column,

@@ -7,10 +7,11 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from shelfspan import params as P
-from shelfspan.operators.ordering import quantiles
 from shelfspan.operators.project import PAIR, summarise_paths
+from shelfspan.operators.selection import exact_medians
 from shelfspan.session import cut_lineage
 
 LEVERS = [P.REBALANCE, P.EXPEDITE_DC, P.EXPEDITE_SUPPLIER]
@@ -33,7 +34,7 @@ def find_donors(positions: DataFrame, panel: DataFrame, stores: DataFrame, as_of
     """Stores whose stock exceeds their own requirement by at least one unit."""
     today = panel.filter(F.col("date") == as_of).groupBy(*PAIR).agg(F.coalesce(F.min("store_stock"), F.lit(0.0)).alias("stock"))
     rates = positions.groupBy(*PAIR).agg(F.max("trailing_demand_rate").alias("rate"))
-    usual = quantiles(positions, "trailing_demand_rate", {"m": 0.5}).scalar()
+    usual = F.lit(exact_medians(positions, {"m": F.col("trailing_demand_rate")})["m"]).cast("double")
     kept = F.coalesce("rate", usual) * min_cover_days
     surplus = today.join(rates, PAIR, "left").withColumn("donor_surplus", F.greatest(F.col("stock") - kept, F.lit(0.0)))
     placed = scope_of(surplus.filter("donor_surplus >= 1"), stores, scope)
@@ -84,12 +85,13 @@ def lever_values(feasible: DataFrame, project: Projector, horizon: int, unit_cos
     costs = {**P.LEVER_COSTS, **(unit_costs or {})}
     columns = {P.REBALANCE: ("rebalance_units", "rebalance_days"), P.EXPEDITE_DC: ("dc_available", "expedite_dc_days"),
                P.EXPEDITE_SUPPLIER: ("supplier_available", "expedite_supplier_days")}
-    # prices are catalogue price points, so the exact median holds few distinct values
-    price = F.coalesce("avg_price", feasible.agg(F.median("avg_price").alias("m")).scalar()) if "avg_price" in feasible.columns else F.lit(1.0)
+    base, price = cut_lineage(feasible), F.lit(1.0)
+    if "avg_price" in base.columns:
+        price = F.coalesce("avg_price", F.lit(exact_medians(base, {"m": F.col("avg_price")})["m"]).cast("double"))
     need = F.ceil(F.greatest(F.col("trailing_demand_rate") * horizon - F.col("start_stock"), F.lit(0.0)))
-    base = cut_lineage(feasible.withColumns({
+    base = base.withColumns({
         "_price": price, **{f"_moved_{n}": F.least(F.greatest(F.col(u), F.lit(0.0)), need.cast("double")) for n, (u, _) in columns.items()}
-    }))
+    })
     arms = [F.struct(F.lit("baseline").alias("arm"), F.col("committed_units"), F.col("lead_mean"), F.col("lead_sigma"))]
     for name, (_, days) in columns.items():
         mean_days = base.agg(F.avg(days).alias("d")).scalar()
@@ -148,17 +150,47 @@ def decision_backtest(recommendations: DataFrame, truth: DataFrame) -> DataFrame
     ).withColumn("stockout_rate_when_acted", F.col("precision"))
 
 
-def imbalance(banded: DataFrame, donors: DataFrame, stores: DataFrame, scope: str = "same_zone", top: int | None = 40) -> DataFrame:
-    """High-risk positions with a donor of the same SKU in scope, the dearest first; all without ``top``."""
+def _at_risk_with_donors(banded: DataFrame, donors: DataFrame, stores: DataFrame, scope: str) -> DataFrame:
+    """High-risk positions with how many other stores could give the SKU, and how much.
+
+    Donors are added up per SKU and scope, and the store's own surplus is taken off again,
+    so a position meets one row however many donors there are.
+    """
     at_risk = scope_of(banded.filter(F.col("risk_band").isin("Critical", "High")), stores, scope)
-    pairs = at_risk.join(donors, ["sku_uid", "scope_key"]).filter("donor_store <> store_id")
+    key = ["sku_uid", "scope_key"]
+    offered = donors.groupBy(*key).agg(F.count("*").alias("_all"), F.sum("donor_surplus").alias("_units"))
+    own = donors.groupBy(*key, F.col("donor_store").alias("store_id")).agg(F.count("*").alias("_own"), F.sum("donor_surplus").alias("_own_units"))
+    less = lambda c, d: F.col(c) - F.coalesce(F.col(d), F.lit(0))
+    return at_risk.join(offered, key).join(own, [*key, "store_id"], "left").withColumns(
+        {"donors": less("_all", "_own"), "donor_units": less("_units", "_own_units")}
+    ).drop("_all", "_own", "_units", "_own_units").filter("donors > 0")
+
+
+def imbalance_totals(banded: DataFrame, donors: DataFrame, stores: DataFrame, scope: str = "same_zone") -> DataFrame:
+    """How many pairs of a high-risk position and another store's surplus there are, and their units."""
+    found = _at_risk_with_donors(banded, donors, stores, scope)
+    return found.agg(F.coalesce(F.sum("donors"), F.lit(0)).alias("positions"), F.sum("donor_units").alias("surplus"))
+
+
+def imbalance(banded: DataFrame, donors: DataFrame, stores: DataFrame, scope: str = "same_zone", top: int = 40) -> DataFrame:
+    """High-risk positions with a donor of the same SKU in scope, the dearest first.
+
+    Every position that stays has a donor, so the first ``top`` rows come from the first
+    ``top`` positions; of each SKU and scope they ask for, ``top`` + 1 donors are enough,
+    as one of them may be the store itself.
+    """
+    dearest = [F.desc("expected_lost_revenue"), *PAIR]
+    first = _at_risk_with_donors(banded, donors, stores, scope).select(*PAIR, "scope_key", "expected_lost_revenue").orderBy(*dearest).limit(top)
+    asked = first.select("sku_uid", "scope_key").distinct()
+    largest = Window.partitionBy("sku_uid", "scope_key").orderBy(F.desc("donor_surplus"), "donor_store")
+    # at most ``top`` rows are broadcast
+    able = donors.join(F.broadcast(asked), ["sku_uid", "scope_key"], "left_semi").withColumn("_place", F.row_number().over(largest)).filter(F.col("_place") <= top + 1)
+    pairs = able.join(F.broadcast(first), ["sku_uid", "scope_key"]).filter("donor_store <> store_id")
     found = pairs.select(*PAIR, "donor_store", F.col("donor_surplus").alias("surplus"), "expected_lost_revenue")
-    if top is None:
-        return found
-    return found.orderBy(F.desc("expected_lost_revenue"), *PAIR, F.desc("surplus"), "donor_store").limit(top)
+    return found.orderBy(*dearest, F.desc("surplus"), "donor_store").limit(top)
 
 
-def alerts(banded: DataFrame, short: DataFrame, vendors: DataFrame, imbalanced: DataFrame, lead: DataFrame) -> DataFrame:
+def alerts(banded: DataFrame, short: DataFrame, vendors: DataFrame, imbalances: DataFrame, lead: DataFrame) -> DataFrame:
     """One row per rule that fires, by severity and then by what is at stake."""
     parts = []
     for h, severity in zip(P.HORIZONS, ("critical", "warning", "info")):
@@ -173,8 +205,8 @@ def alerts(banded: DataFrame, short: DataFrame, vendors: DataFrame, imbalanced:
     worst = vendors.agg(F.min_by(F.struct("on_time_rate", "receipts"), F.struct("on_time_rate", "vendor")).alias("w")).filter("w.on_time_rate < 0.9")
     parts.append(worst.select(F.lit("warning").alias("severity"), F.lit("late_vendor").alias("rule"), F.lit(1).cast("bigint").alias("positions"),
                               F.col("w.receipts").cast("double").alias("metric")))
-    parts.append(imbalanced.agg(F.lit("warning").alias("severity"), F.lit("imbalance").alias("rule"), F.count("*").alias("positions"),
-                                F.sum("surplus").alias("metric")).filter("positions > 0"))
+    parts.append(imbalances.select(F.lit("warning").alias("severity"), F.lit("imbalance").alias("rule"), "positions",
+                                   F.col("surplus").alias("metric")).filter("positions > 0"))
     spread = F.col("std") / F.greatest("mean", F.lit(1e-6))
     parts.append(lead.filter(spread > 0.3).select(F.lit("info").alias("severity"), F.lit("lead_time_spread").alias("rule"),
                                                   F.col("n").alias("positions"), spread.alias("metric")))
@@ -188,3 +220,52 @@ def feed_totals(recommendations: DataFrame) -> DataFrame:
         F.count("*").alias("total"), F.avg((~acted).cast("int")).alias("no_action_share"),
         F.sum(F.when(acted, F.col("expected_net_value")).otherwise(0.0)).alias("total_net_value"),
     )
+
+
+FEED_KEY = ["expected_net_value", *PAIR]
+
+
+def feed_page(recommendations: DataFrame, size: int, after: tuple | None = None, action: str | None = None, store_id: str | None = None,
+              sku_uid: str | None = None, min_value: float | None = None) -> DataFrame:
+    """``size`` rows of the action feed, the most valuable first, behind the row with key ``after``.
+
+    A page starts behind a key (value, store, SKU), not at an offset: only rows that can be
+    on it are kept, so the tenth page costs what the first does, and rows that appear
+    meanwhile shift nothing.
+    """
+    rows = recommendations
+    for column, wanted in (("recommended_action", action), ("store_id", store_id), ("sku_uid", sku_uid)):
+        rows = rows if wanted is None else rows.filter(F.col(column) == wanted)
+    rows = rows if min_value is None else rows.filter(F.col("expected_net_value") >= min_value)
+    if after is not None:
+        value, store, sku = (F.lit(v) for v in after)
+        later = (F.col("store_id") > store) | ((F.col("store_id") == store) & (F.col("sku_uid") > sku))
+        rows = rows.filter((F.col("expected_net_value") < value) | ((F.col("expected_net_value") == value) & later))
+    return rows.orderBy(F.desc("expected_net_value"), *PAIR).limit(size)
+
+
+def page_end(page: DataFrame) -> tuple | None:
+    """The key of a page's last row, for the page behind it."""
+    last = page.orderBy(F.col("expected_net_value"), *[F.desc(c) for c in PAIR]).select(*FEED_KEY).first()
+    return None if last is None else tuple(last)
+
+
+def beside_standing(standing: DataFrame, scenario: DataFrame) -> DataFrame:
+    """Each position's standing advice and the scenario's, and what changes between them."""
+    kept = ["recommended_action", "rebalance_donor", "expected_units_saved", "expected_net_value"]
+    sides = [df.select(*PAIR, *[F.col(c).alias(f"{side}_{c}") for c in kept]) for side, df in (("standing", standing), ("scenario", scenario))]
+    both = sides[0].join(sides[1], PAIR, "full")
+    change = F.coalesce("scenario_expected_net_value", F.lit(0.0)) - F.coalesce("standing_expected_net_value", F.lit(0.0))
+    differs = ~F.col("standing_recommended_action").eqNullSafe(F.col("scenario_recommended_action"))
+    return both.withColumns({"changed": differs, "value_change": F.round(change, 2)})
+
+
+def scenario_delta(compared: DataFrame) -> DataFrame:
+    """The scenario's totals beside the standing ones for the same positions, one row."""
+    here = compared.filter(F.col("scenario_recommended_action").isNotNull())
+    out = [F.count("*").alias("positions"), F.count_if("changed").alias("changed"), F.sum("value_change").alias("value_change")]
+    for side in ("standing", "scenario"):
+        action, value = F.col(f"{side}_recommended_action"), F.col(f"{side}_expected_net_value")
+        idle = (action == P.NO_ACTION).cast("int")
+        out += [F.avg(idle).alias(f"{side}_no_action_share"), F.sum(F.when(action != P.NO_ACTION, value).otherwise(0.0)).alias(f"{side}_net_value")]
+    return here.agg(*out)

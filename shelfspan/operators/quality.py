@@ -196,6 +196,25 @@ def findings(parts: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), parts).orderBy("passed", order, "table", "check")
 
 
+def filter_findings(found: DataFrame, severity: str | None = None, passed: bool | None = None, table: str | None = None) -> DataFrame:
+    """The findings shown; a filter that is not given lets everything through."""
+    for column, wanted in (("severity", severity), ("passed", passed), ("table", table)):
+        if wanted is not None:
+            found = found.filter(F.col(column) == wanted)
+    return found
+
+
+def finding_totals(found: DataFrame) -> DataFrame:
+    """Checks, failed ones and blocking ones: over all, per severity, per outcome, per table and per all three.
+
+    One pass: a total's columns that it does not group by are null.
+    """
+    by = [F.col(c) for c in ("severity", "passed", "table")]
+    failed = ~F.col("passed")
+    return found.groupingSets([[], [by[0]], [by[1]], [by[2]], by], *by).agg(
+        F.count("*").alias("n_checks"), F.count_if(failed).alias("n_failed"), F.count_if(failed & (F.col("severity") == "error")).alias("n_blocking"))
+
+
 def duplicate_grain(df: DataFrame, grain: list[str]) -> DataFrame:
     return df.groupBy(*grain).agg(F.count("*").alias("n_rows")).filter("n_rows > 1")
 

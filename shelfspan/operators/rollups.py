@@ -16,6 +16,7 @@ from shelfspan.functions.values import clip
 from shelfspan.operators.asof import asof_join
 from shelfspan.operators.ordering import quantiles
 from shelfspan.operators.panel import PAIR
+from shelfspan.operators.selection import exact_medians
 
 
 # --- lead times -----------------------------------------------------------
@@ -168,15 +169,20 @@ def open_orders(orders: DataFrame, as_of: Column, lead_mean: Column) -> DataFram
 
 
 # --- calibration ----------------------------------------------------------
-def demand_dispersion(panel: DataFrame, min_days: int = 30) -> DataFrame:
-    """Median negative-binomial k over pairs whose in-stock demand is overdispersed."""
-    per_pair = panel.filter("store_stock > 0").groupBy(*PAIR).agg(
+def demand_dispersion(sales: DataFrame, inventory: DataFrame, min_days: int = 30) -> DataFrame:
+    """Median negative-binomial k over pairs whose demand on sale days in stock is overdispersed.
+
+    A day without a sale row says nothing about demand, and one without stock is censored.
+    """
+    in_stock = inventory.filter(F.col("store_stock").try_cast("double") > 0).select(*PAIR, "date").distinct()
+    sold = sales.select(*PAIR, "date", F.col("units_sold").try_cast("double").alias("units_sold")).join(in_stock, [*PAIR, "date"], "left_semi")
+    per_pair = sold.groupBy(*PAIR).agg(
         F.avg("units_sold").alias("m"), F.var_samp("units_sold").alias("v"), F.count("units_sold").alias("n")
     ).filter((F.col("n") >= min_days) & (F.col("m") > 0) & (F.col("v") > F.col("m")))
-    k = per_pair.withColumn("k", F.col("m") * F.col("m") / (F.col("v") - F.col("m")))
-    median = quantiles(k, "k", {"dispersion": 0.5})
+    median = exact_medians(per_pair, {"k": F.col("m") * F.col("m") / (F.col("v") - F.col("m"))})["k"]
     low, high = P.DISPERSION_BOUNDS
-    return median.select(F.coalesce(clip(F.col("dispersion"), low, high), F.lit(high)).alias("dispersion"))
+    # one row whatever the sales hold
+    return sold.agg(F.lit(high if median is None else min(max(median, low), high)).alias("dispersion"))
 
 
 def weekday_factors(sales: DataFrame) -> DataFrame:
@@ -217,7 +223,7 @@ def calibrate(panel: DataFrame, sales: DataFrame, orders: DataFrame, forecast: D
     """Everything the projection needs, as one row."""
     lead = lead_time_summary(infer_lead_times(panel, orders))
     error = forecast_error(forecast, sales, products, min_rows)
-    dispersion = demand_dispersion(panel, min_days).scalar()
+    dispersion = demand_dispersion(sales, panel, min_days).scalar()
     return error.select(
         "forecast_bias", "forecast_sigma",
         F.greatest(dispersion, F.lit(P.MIN_DISPERSION)).alias("dispersion"),

@@ -11,8 +11,8 @@ from pyspark.sql.window import Window
 from shelfspan import params as P
 from shelfspan.functions import normal
 from shelfspan.functions.values import clip
-from shelfspan.operators.ordering import quantiles, rank_all
-from shelfspan.session import cut_lineage
+from shelfspan.operators.ordering import place, rank_all
+from shelfspan.operators.selection import exact_medians
 
 SURVIVED_FLOOR = 1e-9
 REPORT = [
@@ -56,11 +56,10 @@ def expected_days_out(frame: DataFrame, model, horizon: int) -> DataFrame:
 def rank_positions(frame: DataFrame, model, horizon: int = 14, horizons=P.HORIZONS) -> DataFrame:
     """Risk, expected loss in units and money, and the three ranks."""
     scored = expected_days_out(conditional_risk(frame, model, horizons), model, horizon)
-    # prices are catalogue price points, so the exact median holds few distinct values
-    price = F.coalesce("avg_price", frame.agg(F.median("avg_price").alias("m")).scalar())
+    price = F.coalesce("avg_price", F.lit(exact_medians(frame, {"m": F.col("avg_price")})["m"]).cast("double"))
     lost = scored.withColumn("expected_lost_units", F.col("expected_days_out") * F.greatest("trailing_demand_rate", F.lit(0.0)))
     lost = lost.withColumn("expected_lost_revenue", F.col("expected_lost_units") * price)
-    return rank_all(cut_lineage(lost), {
+    return rank_all(lost, {
         "rank_by_risk": (f"p_stockout_{horizon}d", True, "min"), "rank_by_units": ("expected_lost_units", True, "min"),
         "rank_by_revenue": ("expected_lost_revenue", True, "min"),
     })
@@ -80,17 +79,17 @@ def attach_bands(scored: DataFrame, horizon: int = 14) -> DataFrame:
     filled = scored.withColumns({
         "_p": F.coalesce(f"p_stockout_{horizon}d", F.lit(0.0)), "_v": F.coalesce("expected_lost_revenue", F.lit(0.0)),
     })
-    marks = quantiles(filled, "_v", {"dear": P.EXPENSIVE_QUANTILE, "note": P.NOTABLE_QUANTILE}).select(
-        F.struct("dear", "note").alias("q")).scalar()
-    ranked = rank_all(filled, {"_rank": ("_v", False, "pct")}).withColumn("_q", marks)
-    dear, notable = F.col("_v") >= F.col("_q.dear"), F.col("_v") >= F.col("_q.note")
+    placed = place(filled, ["_v"])
+    marks = placed.quantiles({"dear": ("_v", P.EXPENSIVE_QUANTILE), "note": ("_v", P.NOTABLE_QUANTILE)})
+    ranked = placed.ranked({"_rank": ("_v", False, "pct")})
+    dear, notable = (F.col("_v") >= F.lit(marks[m]).cast("double") for m in ("dear", "note"))
     likely, possible = F.col("_p") >= P.LIKELY, F.col("_p") >= P.POSSIBLE
     band = (
         F.when(likely & dear, "Critical").when(likely | (possible & dear), "High").when(possible | notable, "Medium").otherwise("Low")
     )
     return ranked.withColumns({
         "risk_band": band, "risk_score": F.round(100 * (0.6 * F.col("_p") + 0.4 * F.col("_rank")), 1),
-    }).drop("_p", "_v", "_rank", "_q")
+    }).drop("_p", "_v", "_rank")
 
 
 def band_summary(banded: DataFrame) -> DataFrame:

@@ -8,12 +8,12 @@ from dataclasses import dataclass, field
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from shelfspan.functions import keys as K
 from shelfspan.functions import values as V
 from shelfspan.operators.identity import repair_store_ids
 from shelfspan.sources.contract import TABLES
+from shelfspan.sources.quoted import cells, records
 
 
 @dataclass
@@ -43,8 +43,8 @@ def _distinct_names(header: list[str]) -> list[str]:
 
 
 def read_table(spark: SparkSession, path: str, header: list[str]) -> DataFrame:
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in _distinct_names(header)])
-    rows = spark.read.schema(schema).csv(path, header=True, enforceSchema=True, encoding="UTF-8", escape='"', multiLine=True)
+    """Every cell as text, rows without any dropped; files split into ranges as they are long."""
+    rows = cells(records(spark, path), _distinct_names(header))
     filled = [F.nullif(F.trim(F.col(f"`{c}`")), F.lit("")) for c in rows.columns]
     return rows.filter(F.coalesce(*filled).isNotNull())
 
