@@ -4,32 +4,33 @@ Two tokens that end at one byte of a text: the bytes of one end the bytes of the
 the pairs that any corpus can hold follow from the two vocabularies, at most one for each
 suffix of a token.  They get a minimal perfect hash; tasks count into a dense vector indexed
 by it, vectors are summed in a tree, and a second pass aligns again and looks counts up.
-Texts are tokenised once: the first pass writes the ids, two bytes each, and the second
-reads them.  No text is shuffled, and what reaches the driver is as long as the
-vocabularies allow.
+No text is shuffled, and what reaches the driver is as long as the vocabularies allow.
+
+Both tokenizers begin a token at a blank between two other characters.  So a text is cut
+there into units, which align by themselves, and a task tokenises each different unit once.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from shelfspan.llm.packing import pack, unpack
 from shelfspan.llm.words import chunks, mixed, shuffle_width
-from shelfspan.session import cut_lineage
 
 #: Numbers of a dense vector in one row, and first-level sums of the tree per slice.
 SLICE, NODES = 1 << 16, 64
-#: Bytes of ids that are aligned at once.
-IDS_AT_ONCE = 1 << 20
+#: Units that a task remembers; beyond that it begins anew, which changes no result.
+MOST_UNITS = 200_000
+_CUT = re.compile(r"(?<=\S) (?=\S)")
 _U = np.uint64
 
 
@@ -140,7 +141,8 @@ class Aligner:
         self.a_json, self.b_model = a_json, b_model
         a, b = byte_level_entries(a_json), piece_entries(b_model)
         self.a, self.b, self.hash = Entries(a), Entries(b), PerfectHash(possible_pairs(a, b))
-        self.kind = np.uint16 if max(len(a), len(b)) <= 1 << 16 else np.uint32
+        #: A piece that goes on behind a blank would join two units: then a text is one unit.
+        self.cuts = not any(b" " in e.lstrip(b" ") for e in b)
 
     def open(self) -> Aligner:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -154,20 +156,75 @@ class Aligner:
         self.second = SentencePieceProcessor(model_proto=self.b_model)
         return self
 
-    def tokenised(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """Ids of both sides per text; none where a side does not spell the text."""
-        given = [i for i, t in enumerate(texts) if t]
-        a, b = ([np.zeros(0, self.kind)] * len(texts) for _ in "ab")
-        spaced = [" " + texts[i] for i in given]
+    def units(self, text: str | None) -> list[str]:
+        if not text:
+            return []
+        return _CUT.split(text) if self.cuts else [text]
+
+    def tokenised(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Ids of both sides per text or unit; none where a side does not spell it."""
+        a, b = ([np.zeros(0, np.int64)] * len(texts) for _ in "ab")
+        spaced = [" " + t for t in texts]
         first = self.first.encode_batch_fast(spaced, add_special_tokens=False)
-        second = self.second.encode([texts[i] for i in given], num_threads=1) if given else []
-        for i, text, x, y in zip(given, spaced, first, second):
-            x, y, want = np.array(x.ids, self.kind), np.array(y, self.kind), text.encode()
+        second = self.second.encode(texts, num_threads=1) if texts else []
+        for i, (text, x, y) in enumerate(zip(spaced, first, second)):
+            x, y, want = np.array(x.ids, np.int64), np.array(y, np.int64), text.encode()
             if _same(x, self.a, want) and _same(y, self.b, want):
                 a[i], b[i] = x, y
         return a, b
 
 
+class Known:
+    """What a task has aligned so far: a number per unit, and by that number what its alignment holds."""
+
+    def __init__(self, aligner: Aligner):
+        self.aligner = aligner
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict[str, int] = {}
+        self.n_a = self.n_b = self.first_link = np.zeros(0, np.int64)
+        self.places, self.groups = np.zeros(0, np.int64), []
+
+    def add(self, units: list[str]) -> None:
+        chunk = Chunk(self.aligner, *self.aligner.tokenised(units))
+        place = self.aligner.hash.places(chunk.code)
+        assert (place >= 0).all()
+        self.number.update(zip(units, range(len(self.number), len(self.number) + len(units))))
+        before = np.concatenate(([0], np.cumsum(chunk.per_text(np.diff(chunk.bounds)))[:-1])) + len(self.places)
+        self.first_link = np.concatenate((self.first_link, before[: len(units)]))
+        self.n_a = np.concatenate((self.n_a, chunk.per_text(chunk.sizes[0])))
+        self.n_b = np.concatenate((self.n_b, chunk.per_text(chunk.sizes[1])))
+        self.places = np.concatenate((self.places, place))
+        self.groups += chunk.groups()
+
+    def texts(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The numbers of each text's units, none for a text that one of the tokenizers changes.
+
+        Where a unit is changed, the text as a whole decides.
+        """
+        if len(self.number) > MOST_UNITS:
+            self.clear()
+        units = [self.aligner.units(t) for t in texts]
+        for asked in (units, None):
+            if asked is None:
+                changed = [i for i, n in enumerate(numbers) if len(n) and not self.n_a[n].all()]
+                asked = [[texts[i]] for i in changed]
+            fresh = list(dict.fromkeys(u for some in asked for u in some if u not in self.number))
+            if fresh:
+                self.add(fresh)
+            if asked is units:
+                numbers = [np.fromiter(map(self.number.__getitem__, some), np.int64, len(some)) for some in units]
+        for i, (whole,) in zip(changed, asked):
+            number = self.number[whole]
+            numbers[i] = np.array([number] if self.n_a[number] else [], np.int64)
+        return numbers
+
+    def links(self, numbers: np.ndarray) -> np.ndarray:
+        """How many links each of these units has."""
+        return np.diff(np.append(self.first_link, len(self.places)))[numbers]
+
+
 def _same(ids: np.ndarray, entries: Entries, want: bytes) -> bool:
     return int(entries.length[ids].sum()) == len(want) and entries.joined(ids).tobytes() == want
 
@@ -198,10 +255,6 @@ class Chunk:
         out[self.place] = values
         return out
 
-    def summed(self, of_links: np.ndarray) -> np.ndarray:
-        total = np.concatenate(([0], np.cumsum(of_links, dtype=np.int64)))
-        return self.per_text(total[self.bounds[1:]] - total[self.bounds[:-1]])
-
     def groups(self) -> list[str]:
         """``a1,a2|b1;a3|b2,b3`` of each text: the ids of both sides between common ends."""
         out = [""] * self.texts
@@ -226,30 +279,29 @@ class Chunk:
         return out
 
 
-FIRST = "doc_id long, a binary, b binary, slice int, node int, counts binary"
-
+def _counted(aligner: Aligner):
+    """How often a task's texts hold each pair, as slices of one dense vector."""
 
-def _first_pass(aligner: Aligner):
-    """A row with the ids of each text, and what the task's texts hold of each pair in slices of one dense vector."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, total, held = Known(aligner.open()), np.zeros(len(aligner.hash), np.int64), Counter()
 
-    def table(doc_id, a, b, part, node, counts) -> pa.RecordBatch:
-        n = max(len(doc_id), len(part))
-        none = lambda x, kind: pa.array(x, kind) if len(x) else pa.nulls(n, kind)
-        return pa.RecordBatch.from_arrays([none(doc_id, pa.int64()), none(a, pa.binary()), none(b, pa.binary()), none(part, pa.int32()), none(node, pa.int32()),
-                                           none(counts, pa.binary())], ["doc_id", "a", "b", "slice", "node", "counts"])
+        def settle() -> None:
+            times = np.zeros(len(known.number), np.int64)
+            times[list(held)] = list(held.values())
+            links = known.links(np.arange(len(times)))
+            np.add.at(total, known.places, np.repeat(times, links))
+            held.clear()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        work, total = aligner.open(), np.zeros(len(aligner.hash), np.int64)
         for batch in batches:
             for low, high, _, _ in chunks(batch.column("text")):
-                a, b = work.tokenised(batch.column("text").slice(low, high - low).to_pylist())
-                place = work.hash.places(Chunk(work, a, b).code)
-                assert (place >= 0).all()
-                total += np.bincount(place, minlength=len(total))
-                yield table(batch.column("doc_id").slice(low, high - low).to_pylist(), [x.tobytes() for x in a], [x.tobytes() for x in b], [], [], [])
+                if len(known.number) > MOST_UNITS:
+                    settle()
+                for numbers in known.texts(batch.column("text").slice(low, high - low).to_pylist()):
+                    held.update(numbers.tolist())
+        settle()
         node, parts = TaskContext.get().partitionId() % NODES, range(0, len(total), SLICE)
-        if total.any():
-            yield table([], [], [], [p // SLICE for p in parts], [node] * len(parts), [pack(total[p : p + SLICE]) for p in parts])
+        yield pa.RecordBatch.from_arrays([pa.array([p // SLICE for p in parts], pa.int32()), pa.array([node] * len(parts), pa.int32()),
+                                          pa.array([pack(total[p : p + SLICE]) for p in parts], pa.binary())], ["slice", "node", "counts"])
 
     return run
 
@@ -266,30 +318,21 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                           pa.array([pack(v) for v in total.values()], pa.binary())], ["slice", "node", "counts"])
 
 
-def pair_counts(passed: DataFrame, aligner: Aligner) -> np.ndarray:
-    """How often each pair is linked in all texts of the first pass, by its place in ``aligner.hash``."""
-    schema, width = "slice int, node int, counts binary", shuffle_width(passed.sparkSession)
-    vectors = passed.filter("slice IS NOT NULL").select("slice", "node", "counts")
+def pair_counts(documents: DataFrame, aligner: Aligner) -> np.ndarray:
+    """How often each pair is linked in all of ``documents``, by its place in ``aligner.hash``."""
+    schema, width = "slice int, node int, counts binary", shuffle_width(documents.sparkSession)
+    vectors = documents.select("text").mapInArrow(_counted(aligner), schema)
     nodes = vectors.repartition(width, "slice", "node").mapInArrow(_added, schema).selectExpr("slice", "0 AS node", "counts")
     whole = nodes.repartition(width, "slice").mapInArrow(_added, schema).orderBy("slice").collect()
     return np.concatenate([unpack(r["counts"], np.int64) for r in whole]) if whole else np.zeros(len(aligner.hash), np.int64)
 
 
-def _parts(batch: pa.RecordBatch) -> Iterator[tuple[int, int]]:
-    """Row ranges with some ``IDS_AT_ONCE`` bytes of ids; a longer text is a range of its own."""
-    size = np.cumsum(pc.binary_length(batch.column("a")).to_numpy(zero_copy_only=False))
-    low = 0
-    while low < len(size):
-        high = max(int(np.searchsorted(size, (size[low - 1] if low else 0) + IDS_AT_ONCE, "right")), low + 1)
-        yield low, high
-        low = high
-
-
 def token_alignment(documents: DataFrame, a_json: str, b_model: bytes) -> DataFrame:
     """``doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups`` of each document.
 
-    A is a byte-level tokenizer over a space and the text, B a piece tokenizer that puts the
-    space there itself; special strings in a text are plain text.  ``groups`` lists the ids
+    A is a byte-level tokenizer over a space and the text whose pre-tokens take a blank
+    before them, B a piece tokenizer that puts the space there itself; special strings in a
+    text are plain text.  ``groups`` lists the ids
     between byte offsets where both end a token.  A link joins the two tokens that end at
     one offset; ``count_sum`` adds the links' counts over all of ``documents``, ``n_best``
     counts the links whose pair has its B id's highest count, ties included.  A text that is
@@ -298,23 +341,33 @@ def token_alignment(documents: DataFrame, a_json: str, b_model: bytes) -> DataFr
     Columns beside ``doc_id`` and ``text`` are not read.
     """
     aligner = Aligner(a_json, b_model)
-    passed = cut_lineage(documents.selectExpr("CAST(doc_id AS long) AS doc_id", "text").mapInArrow(_first_pass(aligner), FIRST))
-    counts = pair_counts(passed, aligner)
+    counts = pair_counts(documents, aligner)
     b_of = (aligner.hash.keys & _U(0xFFFFFFFF)).astype(np.int64)
     highest = np.zeros(len(aligner.b.length), np.int64)
     np.maximum.at(highest, b_of, counts)
     best = counts == highest[b_of]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Known(aligner.open())
         for batch in batches:
-            for low, high in _parts(batch):
-                a, b = ([np.frombuffer(x, aligner.kind) for x in batch.column(side).slice(low, high - low).to_pylist()] for side in "ab")
-                chunk = Chunk(aligner, a, b)
-                place = aligner.hash.places(chunk.code)
-                links = chunk.per_text(np.diff(chunk.bounds))
-                numbers = [chunk.per_text(chunk.sizes[0]), chunk.per_text(chunk.sizes[1]), links, links, chunk.summed(best[place]), chunk.summed(counts[place])]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(low, high - low), *map(pa.array, numbers), pa.array(chunk.groups(), pa.large_string()).cast(pa.string())],
+            for low, high, _, _ in chunks(batch.column("text")):
+                numbers = known.texts(batch.column("text").slice(low, high - low).to_pylist())
+                at, size = np.concatenate([np.zeros(0, np.int64), *numbers]), np.array([len(n) for n in numbers])
+                links = known.links(np.arange(len(known.number)))
+
+                def total(of_unit: np.ndarray, at=at, size=size) -> pa.Array:
+                    so_far, end = np.concatenate(([0], np.cumsum(of_unit[at]))), np.cumsum(size)
+                    return pa.array(so_far[end] - so_far[end - size])
+
+                def of_links(values: np.ndarray, links=links) -> np.ndarray:
+                    so_far, end = np.concatenate(([0], np.cumsum(values[known.places], dtype=np.int64))), np.cumsum(links)
+                    return so_far[end] - so_far[end - links]
+
+                linked = total(links)
+                told = [total(known.n_a), total(known.n_b), linked, linked, total(of_links(best)), total(of_links(counts))]
+                groups = pa.array([";".join([known.groups[k] for k in n.tolist()]) for n in numbers], pa.large_string()).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(low, high - low), *told, groups],
                                                  ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups"])
 
-    return passed.filter(F.col("slice").isNull()).select("doc_id", "a", "b").mapInArrow(
+    return documents.selectExpr("CAST(doc_id AS long) AS doc_id", "text").mapInArrow(
         run, "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string")
