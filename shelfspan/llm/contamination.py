@@ -144,9 +144,10 @@ def _search(index: Index):
     return run
 
 
-def decontaminate(documents: DataFrame, benchmark: DataFrame, share: float = 0.5, overlap: float = 0.5, gram: int = 3, slice_words: int = SLICE_WORDS) -> DataFrame:
+def decontaminate(documents: DataFrame, benchmark: DataFrame, share: float = 0.5, overlap: float = 0.5, gram: int = 3, slice_words: int = SLICE_WORDS,
+                  key: str | None = None) -> DataFrame:
     """``doc_id, key, item_id, score, question_overlap, answer_overlap``: one row per document and
-    leaked item; ``key`` (of the documents, or null) goes along.
+    leaked item; the whole number in the documents' column ``key`` goes along, null without one.
 
     Words are lower-cased runs of letters and digits.  A passage is two cells of as many
     words as the longest item of the slice, every cell starting one.  ``score`` is the BM25
@@ -154,14 +155,15 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, share: float = 0.5
     bounds cannot reach ``share`` are passed over.  All items above it are checked: the first
     two thirds of the item (question) and the rest (answer) must each have ``overlap`` of
     their ``gram``-word runs in the passage.  Items and texts that are null or without words
-    leak nothing; repeated rows give one; an empty benchmark gives none.
+    leak nothing; repeated rows give one; an empty benchmark gives none.  Other columns are
+    not read.
     """
     spark = documents.sparkSession
     index = cut_lineage(indexed(benchmark))
     words = index.agg(F.sum(F.size("words"))).first()[0] or 0
     slices = -(-words // slice_words)
-    key = F.col("key") if "key" in documents.columns else F.lit(None)
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), key.cast("long").alias("key"), "text")
+    carried = F.lit(None) if key is None else F.col(key)
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), carried.cast("long").alias("key"), "text")
     schema = "doc_id long, key long, item_id long, score double, question_overlap double, answer_overlap double"
     found = spark.createDataFrame([], schema)
     for k in range(slices):

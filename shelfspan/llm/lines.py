@@ -127,9 +127,10 @@ def line_dedup(documents: DataFrame, least_docs: int = 10, least_words: int = 2,
 
     Null texts stay null (0 lines), empty texts empty; a text that loses all its lines
     becomes empty.  Null ids are larger than any.  Repeated rows count once and get equal
-    results.  Columns beside ``doc_id`` (whole numbers) and ``text`` pass through.
+    results.  Columns beside ``doc_id`` (whole numbers) and ``text`` pass through, but for
+    columns ``n_lines`` and ``n_dropped``, which the new ones replace.
     """
-    others = [c for c in documents.columns if c not in ("doc_id", "text")]
+    others = [c for c in documents.columns if c not in ("doc_id", "text", "n_lines", "n_dropped")]
     named = [F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(others)]
     kinds = dict(documents.dtypes)
     keyed = documents.select(F.col("doc_id").cast("long").alias("doc_id"), *named, "text", row_key("doc_id", "text").alias("key"))
@@ -142,7 +143,8 @@ def line_dedup(documents: DataFrame, least_docs: int = 10, least_words: int = 2,
 ORACLE = r"""
 WITH rows AS (SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM documents),
 raw AS (SELECT doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS number FROM rows),
-lines AS (SELECT doc_id, number, list_transform(regexp_extract_all(line, '[^ 	-]+'), lambda w: CASE WHEN regexp_matches(w, '[0-9]') THEN '<*>' ELSE w END) AS w FROM raw),
+lines AS (SELECT doc_id, number, list_transform(regexp_extract_all(line, '[^ 	-
+]+'), lambda w: CASE WHEN regexp_matches(w, '[0-9]') THEN '<*>' ELSE w END) AS w FROM raw),
 sized AS (SELECT *, len(w) AS n, w[1:3] AS lead, md5(array_to_string(w, ' ')) AS h FROM lines WHERE len(w) >= 2),
 leaves AS (SELECT n, lead FROM sized GROUP BY n, lead HAVING count(DISTINCT doc_id) >= 10),
 held AS (SELECT n, lead, h, any_value(w) AS w, count(DISTINCT doc_id) AS docs FROM sized SEMI JOIN leaves USING (n, lead) GROUP BY n, lead, h),
@@ -153,7 +155,8 @@ template AS (SELECT n, lead, h, coalesce(f, '') AS f FROM held LEFT JOIN fields
 placed AS (SELECT doc_id, number, n, lead, f FROM sized JOIN template USING (n, lead, h)),
 often AS (SELECT n, lead, f, min(doc_id) AS first_doc FROM placed GROUP BY n, lead, f HAVING count(DISTINCT doc_id) >= 10),
 gone AS (SELECT doc_id, number FROM placed JOIN often USING (n, lead, f) WHERE doc_id <> first_doc),
-judged AS (SELECT r.doc_id, r.number, r.line, g.number IS NOT NULL AS goes, regexp_matches(r.line, '[^ 	-]') AS has
+judged AS (SELECT r.doc_id, r.number, r.line, g.number IS NOT NULL AS goes, regexp_matches(r.line, '[^ 	-
+]') AS has
            FROM raw r LEFT JOIN gone g ON r.doc_id = g.doc_id AND r.number = g.number)
 SELECT d.doc_id, CAST(coalesce(sum(has::INT), 0) AS BIGINT) AS n_lines, CAST(coalesce(sum(goes::INT), 0) AS BIGINT) AS n_dropped,
        CASE WHEN any_value(d.text) IS NOT NULL THEN sha256(coalesce(string_agg(line, chr(10) ORDER BY number) FILTER (WHERE NOT goes), '')) END AS kept_sha256

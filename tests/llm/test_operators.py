@@ -292,6 +292,8 @@ def test_decontamination(spark, docs, rows):
     for at_once in (10**6, 40):
         assert {(r.doc_id, r.item_id) for r in decontaminate(both, bench, slice_words=at_once).collect()} == {(100, 0), (102, 1)}
     assert decontaminate(both, bench.limit(0)).count() == 0
+    clashing = both.withColumns({"key": F.lit("no number"), "item_id": F.lit("x"), "score": F.lit(1)})
+    assert {(r.doc_id, r.key, r.item_id) for r in decontaminate(clashing, bench).collect()} == {(100, None, 0), (102, None, 1)}
 
 
 def test_lines(spark, docs, rows):
@@ -303,6 +305,11 @@ def test_lines(spark, docs, rows):
         if t and "common footer" in t:
             assert ("common footer" in texts[i].text) == (i == first)
     assert texts[0].text is None and texts[1].text == "" and got.count() == len(rows)
+    named = docs.withColumns({"n_lines": F.lit("own"), "n_dropped": F.lit(-7), "leaf": F.lit(1)})
+    again = {r.doc_id: r for r in line_dedup(named, least_docs=5).collect()}
+    assert all(again[i].text == texts[i].text and again[i].n_dropped == texts[i].n_dropped and again[i].leaf == 1 for i in texts)
+    stage = corpus_pipeline.lines(None, named, ROOT)
+    assert stage.columns == named.columns and {(r.n_lines, r.n_dropped) for r in stage.collect()} == {("own", -7)}
 
 
 def test_mixing(docs, rows):
