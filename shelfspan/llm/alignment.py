@@ -17,6 +17,7 @@ import os
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from shelfspan.llm.words import chunks, mixed, shuffle_width
 #: Numbers of a dense vector in one row, and first-level sums of the tree per slice.
 SLICE, NODES = 1 << 16, 64
 #: Units that a task remembers; beyond that it begins anew, which changes no result.
-MOST_UNITS = 200_000
+MOST_UNITS = 600_000
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _U = np.uint64
 
@@ -56,21 +57,6 @@ def piece_entries(model: bytes) -> list[bytes]:
             for i in range(pieces.get_piece_size())]
 
 
-class Entries:
-    """Bytes of a vocabulary, to be joined for many ids at once."""
-
-    def __init__(self, entries: list[bytes]):
-        self.length = np.array([len(e) for e in entries], np.int64)
-        assert self.length.min(initial=1) > 0
-        self.start = np.cumsum(self.length) - self.length
-        self.flat = np.frombuffer(b"".join(entries), np.uint8)
-
-    def joined(self, ids: np.ndarray) -> np.ndarray:
-        length = self.length[ids]
-        begin = np.cumsum(length) - length
-        return self.flat[np.repeat(self.start[ids] - begin, length) + np.arange(int(length.sum()))]
-
-
 def possible_pairs(a: list[bytes], b: list[bytes]) -> np.ndarray:
     """Codes of all id pairs of which one token's bytes end the other's, ascending."""
     found = set()
@@ -139,8 +125,10 @@ class Aligner:
 
     def __init__(self, a_json: str, b_model: bytes):
         self.a_json, self.b_model = a_json, b_model
-        a, b = byte_level_entries(a_json), piece_entries(b_model)
-        self.a, self.b, self.hash = Entries(a), Entries(b), PerfectHash(possible_pairs(a, b))
+        self.entries = a, b = byte_level_entries(a_json), piece_entries(b_model)
+        self.lengths = [np.array([len(e) for e in side], np.int64) for side in self.entries]
+        assert all(n.min(initial=1) > 0 for n in self.lengths)
+        self.hash = PerfectHash(possible_pairs(a, b))
         #: A piece that goes on behind a blank would join two units: then a text is one unit.
         self.cuts = not any(b" " in e.lstrip(b" ") for e in b)
 
@@ -161,16 +149,16 @@ class Aligner:
             return []
         return _CUT.split(text) if self.cuts else [text]
 
-    def tokenised(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    def tokenised(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         """Ids of both sides per text or unit; none where a side does not spell it."""
-        a, b = ([np.zeros(0, np.int64)] * len(texts) for _ in "ab")
         spaced = [" " + t for t in texts]
-        first = self.first.encode_batch_fast(spaced, add_special_tokens=False)
-        second = self.second.encode(texts, num_threads=1) if texts else []
-        for i, (text, x, y) in enumerate(zip(spaced, first, second)):
-            x, y, want = np.array(x.ids, np.int64), np.array(y, np.int64), text.encode()
-            if _same(x, self.a, want) and _same(y, self.b, want):
-                a[i], b[i] = x, y
+        a = [e.ids for e in self.first.encode_batch_fast(spaced, add_special_tokens=False)]
+        b = self.second.encode(texts, num_threads=1) if texts else []
+        spell_a, spell_b = (side.__getitem__ for side in self.entries)
+        for i, (text, x, y) in enumerate(zip(spaced, a, b)):
+            want = text.encode()
+            if b"".join(map(spell_a, x)) != want or b"".join(map(spell_b, y)) != want:
+                a[i] = b[i] = []
         return a, b
 
 
@@ -225,22 +213,18 @@ class Known:
         return np.diff(np.append(self.first_link, len(self.places)))[numbers]
 
 
-def _same(ids: np.ndarray, entries: Entries, want: bytes) -> bool:
-    return int(entries.length[ids].sum()) == len(want) and entries.joined(ids).tobytes() == want
-
-
 class Chunk:
     """Some texts' tokens, one after the other; texts without tokens take no room.
 
     Every text ends a token on both sides, so groups never reach into the next text.
     """
 
-    def __init__(self, aligner: Aligner, a: list[np.ndarray], b: list[np.ndarray]):
+    def __init__(self, aligner: Aligner, a: list[list[int]], b: list[list[int]]):
         self.texts = len(a)
         self.place = np.flatnonzero([len(x) for x in a])
         self.sizes = [np.array([len(ids[i]) for i in self.place], np.int64) for ids in (a, b)]
-        self.ids = [np.concatenate([np.zeros(0, np.int64), *[ids[i] for i in self.place]]).astype(np.int64) for ids in (a, b)]
-        ends = [np.cumsum(entries.length[ids]) for entries, ids in zip((aligner.a, aligner.b), self.ids)]
+        self.ids = [np.array(list(chain.from_iterable(ids)), np.int64) for ids in (a, b)]
+        ends = [np.cumsum(length[ids]) for length, ids in zip(aligner.lengths, self.ids)]
         meets = np.searchsorted(ends[1], ends[0])
         hit = ends[1][meets] == ends[0] if len(meets) else np.zeros(0, bool)
         #: Per link, in order: the token that ends there on either side.
@@ -343,7 +327,7 @@ def token_alignment(documents: DataFrame, a_json: str, b_model: bytes) -> DataFr
     aligner = Aligner(a_json, b_model)
     counts = pair_counts(documents, aligner)
     b_of = (aligner.hash.keys & _U(0xFFFFFFFF)).astype(np.int64)
-    highest = np.zeros(len(aligner.b.length), np.int64)
+    highest = np.zeros(len(aligner.lengths[1]), np.int64)
     np.maximum.at(highest, b_of, counts)
     best = counts == highest[b_of]
 
