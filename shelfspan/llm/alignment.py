@@ -15,7 +15,6 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
 
@@ -165,8 +164,8 @@ class Aligner:
 class Known:
     """What a task has aligned so far: a number per unit, and by that number what its alignment holds."""
 
-    def __init__(self, aligner: Aligner):
-        self.aligner = aligner
+    def __init__(self, aligner: Aligner, listed: bool = True):
+        self.aligner, self.listed = aligner, listed
         self.clear()
 
     def clear(self) -> None:
@@ -184,7 +183,8 @@ class Known:
         self.n_a = np.concatenate((self.n_a, chunk.per_text(chunk.sizes[0])))
         self.n_b = np.concatenate((self.n_b, chunk.per_text(chunk.sizes[1])))
         self.places = np.concatenate((self.places, place))
-        self.groups += chunk.groups()
+        if self.listed:
+            self.groups += chunk.groups()
 
     def texts(self, texts: list[str | None]) -> list[np.ndarray]:
         """The numbers of each text's units, none for a text that one of the tokenizers changes.
@@ -198,7 +198,7 @@ class Known:
             if asked is None:
                 changed = [i for i, n in enumerate(numbers) if len(n) and not self.n_a[n].all()]
                 asked = [[texts[i]] for i in changed]
-            fresh = list(dict.fromkeys(u for some in asked for u in some if u not in self.number))
+            fresh = [u for u in dict.fromkeys(chain.from_iterable(asked)) if u not in self.number]
             if fresh:
                 self.add(fresh)
             if asked is units:
@@ -267,22 +267,22 @@ def _counted(aligner: Aligner):
     """How often a task's texts hold each pair, as slices of one dense vector."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, total, held = Known(aligner.open()), np.zeros(len(aligner.hash), np.int64), Counter()
+        known, total, times = Known(aligner.open(), listed=False), np.zeros(len(aligner.hash), np.int64), np.zeros(0, np.int64)
 
-        def settle() -> None:
-            times = np.zeros(len(known.number), np.int64)
-            times[list(held)] = list(held.values())
+        def settled() -> np.ndarray:
+            """What the units seen so far add, each as often as texts hold it."""
             links = known.links(np.arange(len(times)))
-            np.add.at(total, known.places, np.repeat(times, links))
-            held.clear()
+            return np.bincount(known.places, np.repeat(times, links), len(total)).astype(np.int64)
 
         for batch in batches:
             for low, high, _, _ in chunks(batch.column("text")):
                 if len(known.number) > MOST_UNITS:
-                    settle()
-                for numbers in known.texts(batch.column("text").slice(low, high - low).to_pylist()):
-                    held.update(numbers.tolist())
-        settle()
+                    total, times = total + settled(), np.zeros(0, np.int64)
+                numbers = known.texts(batch.column("text").slice(low, high - low).to_pylist())
+                seen = np.bincount(np.concatenate([np.zeros(0, np.int64), *numbers]), minlength=len(known.number))
+                seen[: len(times)] += times
+                times = seen
+        total += settled()
         node, parts = TaskContext.get().partitionId() % NODES, range(0, len(total), SLICE)
         yield pa.RecordBatch.from_arrays([pa.array([p // SLICE for p in parts], pa.int32()), pa.array([node] * len(parts), pa.int32()),
                                           pa.array([pack(total[p : p + SLICE]) for p in parts], pa.binary())], ["slice", "node", "counts"])
