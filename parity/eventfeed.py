@@ -17,6 +17,7 @@ from pyspark.sql.window import Window
 
 from shelfspan.operators.panel import PAIR, infer_receipts
 from shelfspan.operators.spells import build_spells
+from shelfspan.session import cut_lineage
 
 UNITS_PER_DELIVERY = 4
 PROMISED_DAYS = 45
@@ -104,6 +105,12 @@ class EventFeed:
             .withColumn("inbound", F.coalesce(F.lead("rcv").over(by_day), F.lit(0)))
         )
 
+    def settled(self) -> EventFeed:
+        """This feed with its walk written once, for queries that read several tables made of it."""
+        if "_settled" not in self.__dict__:
+            self.__dict__.update(walk=cut_lineage(self.walk), _settled=True)
+        return self
+
     # -- dimensions ---------------------------------------------------------
     @cached_property
     def store_dim(self) -> DataFrame:

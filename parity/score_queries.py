@@ -348,7 +348,7 @@ def _kpis(feed):
     return C.kpis(banded(feed))
 
 
-@query("topology", "store_id:s dc_id:s positions:i at_risk:i exposure:f2 on_hand:f", """
+@query("topology", "store_id:s dc_id:s positions:i at_risk:i exposure:f4 on_hand:f", """
 SELECT r.store_id, s.dc_id, positions, at_risk, exposure, coalesce(on_hand, 0) AS on_hand
 FROM (SELECT store_id, count(*) AS positions, count(*) FILTER (WHERE risk_band IN ('Critical', 'High')) AS at_risk, sum(expected_lost_revenue) AS exposure FROM banded GROUP BY 1) r
 LEFT JOIN (SELECT store_id, sum(store_stock) AS on_hand FROM snapshot GROUP BY 1) k ON k.store_id = r.store_id LEFT JOIN store_dim s ON s.store_id = r.store_id
