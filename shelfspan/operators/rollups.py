@@ -17,6 +17,7 @@ from shelfspan.operators.asof import asof_join
 from shelfspan.operators.ordering import quantiles
 from shelfspan.operators.panel import PAIR
 from shelfspan.operators.selection import exact_medians
+from shelfspan.session import cut_lineage
 
 
 # --- lead times -----------------------------------------------------------
@@ -179,10 +180,11 @@ def demand_dispersion(sales: DataFrame, inventory: DataFrame, min_days: int = 30
     per_pair = sold.groupBy(*PAIR).agg(
         F.avg("units_sold").alias("m"), F.var_samp("units_sold").alias("v"), F.count("units_sold").alias("n")
     ).filter((F.col("n") >= min_days) & (F.col("m") > 0) & (F.col("v") > F.col("m")))
+    per_pair = cut_lineage(per_pair)
     median = exact_medians(per_pair, {"k": F.col("m") * F.col("m") / (F.col("v") - F.col("m"))})["k"]
     low, high = P.DISPERSION_BOUNDS
     # one row whatever the sales hold
-    return sold.agg(F.lit(high if median is None else min(max(median, low), high)).alias("dispersion"))
+    return per_pair.agg(F.lit(high if median is None else min(max(median, low), high)).alias("dispersion"))
 
 
 def weekday_factors(sales: DataFrame) -> DataFrame:
