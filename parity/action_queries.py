@@ -39,14 +39,23 @@ def draws(positions, keys, horizon=H, n_paths=PATHS, arm=None):
 
 
 def scoring_day(feed):
-    return panel_ops.latest_backtest_date(feed.ledger, H).scalar()
+    """Read once: it filters several reads of the panel."""
+    if "_scoring_day" not in feed.__dict__:
+        feed._scoring_day = panel_ops.latest_backtest_date(feed.settled().ledger, H).first()["as_of"]
+    return F.lit(feed._scoring_day).cast("date")
 
 
 def past_positions(feed, day=None):
-    day = scoring_day(feed) if day is None else day
+    """The open positions of a day, written once however many queries' parts ask for them."""
+    feed = feed.settled()
+    if day is None and "_past_positions" in feed.__dict__:
+        return feed._past_positions
     frame = modeled(feed, ["trailing_demand_rate", "days_of_cover", "avg_price", "intransit_units"])
-    past = S.latest_position(S.open_positions(frame, day))
-    return cut_lineage(J.build_positions(past, feed.ledger_with_inbound, day))
+    past = S.latest_position(S.open_positions(frame, scoring_day(feed) if day is None else day))
+    built = cut_lineage(J.build_positions(past, feed.ledger_with_inbound, scoring_day(feed) if day is None else day))
+    if day is None:
+        feed._past_positions = built
+    return built
 
 
 def past_cte(name, day):
@@ -183,12 +192,14 @@ FROM (SELECT *, mc_days_to_stockout_p50 IS NOT NULL AND actual IS NOT NULL AS ok
       FROM one_sum JOIN past_truth USING (store_id, sku_uid))
 """)
 def _intervals(feed):
+    positions = past_positions(feed)
     summary = J.summarise_paths(counts(feed), PAIR, H)
-    truth = panel_ops.actual_outcomes(feed.ledger, past_positions(feed).select(*PAIR), scoring_day(feed), H)
+    truth = panel_ops.actual_outcomes(feed.ledger, positions.select(*PAIR), scoring_day(feed), H)
     return J.score_against_truth(summary, truth)
 
 
 def calibrated(feed):
+    feed = feed.settled()
     sold = feed.ledger.filter("units_sold > 0")
     return cut_lineage(R.calibrate(feed.ledger, sold, feed.replenishment_orders, feed.forecast, feed.product_dim, min_days=3, min_rows=2))
 
@@ -337,7 +348,8 @@ SELECT count(*) AS n, avg(acted) AS acted_share, avg(ran) FILTER (WHERE acted =
 FROM (SELECT CASE WHEN recommended_action <> 'no_action' THEN 1.0 ELSE 0.0 END AS acted, CASE WHEN actual IS NULL THEN 0.0 ELSE 1.0 END AS ran FROM recs JOIN past_truth USING (store_id, sku_uid))
 """)
 def _decisions(feed):
-    truth = panel_ops.actual_outcomes(feed.ledger, past_positions(feed).select(*PAIR), scoring_day(feed), H)
+    positions = past_positions(feed)
+    truth = panel_ops.actual_outcomes(feed.ledger, positions.select(*PAIR), scoring_day(feed), H)
     return X.decision_backtest(recommended(feed), truth)
 
 
