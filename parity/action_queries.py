@@ -25,17 +25,20 @@ ARMS = {"baseline": 0, P.REBALANCE: 1, P.EXPEDITE_DC: 2, P.EXPEDITE_SUPPLIER: 3}
 
 
 def draws(positions, keys, horizon=H, n_paths=PATHS, arm=None):
-    """Demand and landing per position, path and day."""
+    """Demand and landing per position and path, as arrays by day."""
     number = lambda c: F.regexp_extract(c, r"(\d+)$", 1).cast("bigint")
     pid = number("store_id") * 2 + number("sku_uid")
     shift = F.lit(0) if arm is None else F.when(F.col(arm) == "baseline", 0).otherwise(1)
-    spread = positions.withColumns({"_pid": pid, "_shift": shift, "path": F.explode(F.sequence(F.lit(1), F.lit(n_paths)))})
-    spread = spread.withColumn("day", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
-    u = (F.col("_pid") * 7919 + F.col("path") * 104729 + F.col("day") * 1299709 + F.col("_shift") * 15485863) % 10007 / 10007.0
+    # the draws are heavy and the positions light, so the task count is set here rather than by input size
+    dealt = positions.repartition(int(positions.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    spread = dealt.withColumns({"_pid": pid, "_shift": shift, "path": F.explode(F.sequence(F.lit(1), F.lit(n_paths)))})
+    u = lambda day: (F.col("_pid") * 7919 + F.col("path") * 104729 + day * 1299709 + F.col("_shift") * 15485863) % 10007 / 10007.0
     arrival = 1 + (F.col("_pid") * 31 + F.col("path") * 17) % (horizon + 1)
     arrival = arrival if arm is None else F.when(F.col(arm) == "baseline", arrival).otherwise(F.rint("lead_mean"))
-    return spread.select(*keys, "path", "day", F.col("start_stock"), F.when(F.col("day") == arrival, F.col("committed_units")).otherwise(0.0).alias("landing"),
-                         F.floor(u * 3 * F.col("trailing_demand_rate") + 0.25).cast("double").alias("demand"))
+    days = [F.lit(day) for day in range(1, horizon + 1)]
+    return spread.withColumn("_arrival", arrival).select(
+        *keys, "path", F.col("start_stock"), F.array(*[F.when(day == F.col("_arrival"), F.col("committed_units")).otherwise(0.0) for day in days]).alias("landing"),
+        F.array(*[F.floor(u(day) * 3 * F.col("trailing_demand_rate") + 0.25).cast("double") for day in days]).alias("demand"))
 
 
 def scoring_day(feed):
@@ -122,7 +125,8 @@ def _project(feed):
 SELECT store_id, sku_uid, day, quantile_cont(level, 0.1) AS p10_stock, quantile_cont(level, 0.5) AS p50_stock, quantile_cont(level, 0.9) AS p90_stock FROM one_paths GROUP BY 1, 2, 3
 """)
 def _fan(feed):
-    return J.stock_fan(paths(feed), PAIR)
+    by_day = paths(feed).select(*PAIR, "path", F.posexplode("stock").alias("day", "stock"))
+    return J.stock_fan(by_day.withColumn("day", F.col("day") + 1), PAIR)
 
 
 SUMMARY = "store_id:s sku_uid:s mc_p_stockout:f mc_p_stockout_7d:f mc_days_to_stockout_p10:f mc_days_to_stockout_p50:f mc_days_to_stockout_p90:f mc_expected_days_out:f"
