@@ -34,10 +34,23 @@ def _checkpoint_dir_ready(spark: SparkSession) -> None:
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{warehouse}/_checkpoints")
 
 
+_FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and continue from the files."""
+    """Write ``df`` to the shared checkpoint folder and continue from the files.
+
+    Nothing reads the shuffle files behind it again, so they go at once, not when the driver
+    happens to collect its garbage; a session's own setting comes back.
+    """
     _checkpoint_dir_ready(df.sparkSession)
-    return df.checkpoint(eager=True)
+    conf = df.sparkSession.conf
+    before = conf.get(_FREED, None)
+    conf.set(_FREED, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)
+    finally:
+        conf.unset(_FREED) if before is None else conf.set(_FREED, before)
 
 
 def scalar(one_row: DataFrame, column: str) -> Column:

@@ -4,7 +4,10 @@ import bisect
 import csv
 import itertools
 import math
+import os
 import random
+import subprocess
+import sys
 
 import numpy as np
 import pytest
@@ -270,3 +273,31 @@ def test_quoted_files_in_many_ranges(spark, tmp_path, width):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
     assert got == sorted(rows)
+
+
+FREED = """
+import glob, sys, time
+from pyspark.sql import SparkSession, functions as F
+from shelfspan.session import cut_lineage
+
+folder = sys.argv[1]
+conf = {"spark.local.dir": folder + "/local", "spark.sql.warehouse.dir": folder + "/warehouse", "spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "4"}
+spark = SparkSession.builder.master("local[2]").config(map=conf).getOrCreate()
+left = lambda: glob.glob(folder + "/local/**/shuffle_*", recursive=True)
+before = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+df = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+kept = cut_lineage(df)
+until = time.time() + 20
+while left() and time.time() < until:
+    time.sleep(0.2)
+assert not left(), left()
+assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == before
+assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, df.collect())) and kept.count() == 7
+assert left()
+"""
+
+
+def test_a_cut_leaves_no_shuffle_files(tmp_path):
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = {**os.environ, "PYTHONPATH": os.pathsep.join([root, os.environ.get("PYTHONPATH", "")])}
+    subprocess.run([sys.executable, "-c", FREED, str(tmp_path)], check=True, timeout=120, env=env)
