@@ -1,10 +1,12 @@
-"""N-gram Jaccard join: prefixes of rare tokens and of combinations of frequent ones, then exact checks.
+"""N-gram Jaccard join: prefixes of rare tokens and of neighbouring frequent ones, then exact checks.
 
 A document's tokens are hashes of its distinct word shingles.  All documents order tokens
 alike: rare ones by hash, then frequent ones by hash.  A set of ``n`` tokens may miss
 ``t = n - ceil(0.8 n)`` of them in a partner, so its prefix holds enough rare tokens, each a
-signature, and, where those run out, enough frequent ones, each *pair* of them a signature,
-that a partner with no common signature would miss more than ``t``.
+signature, that a partner with none of them would miss more than ``t``.  Where rare tokens run
+out, each two *neighbours* among the first frequent ones are a signature.  A token that a partner
+lacks parts two such, one that it has besides parts one; so two sets that link part at most
+``0.4 n``, and one more finds them.  Signatures grow with the size of a set, not with its square.
 
 Copies are taken together first.  Equal sets have one representative; near copies that share
 low hashes with a leader and pass the exact check belong to its *centre*.  Only centres are
@@ -126,9 +128,9 @@ def signatures(value: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, int
     rare = value[~often][: misses + 1]
     if len(rare) > misses:
         return rare, len(rare)
-    hot = value[often][: misses + 2 - len(rare)]
-    i, j = np.triu_indices(len(hot), 1)
-    return np.concatenate((rare, mixed(hot[i] * np.uint64(0xD6E8FEB86659FD93) + hot[j]))), len(rare) + len(hot)
+    # With no rare token in common, each of them is one that the partner lacks.
+    hot = value[often][: 2 * n * (100 - PERCENT) // 100 - 2 * len(rare) + 2]
+    return np.concatenate((rare, mixed(hot[:-1] * np.uint64(0xD6E8FEB86659FD93) + hot[1:]))), len(rare) + len(hot)
 
 
 def _signature_blocks(n: int, frequent, buckets: int):
@@ -354,15 +356,29 @@ def _pairs(named: DataFrame, width: int) -> DataFrame:
     return counted.groupBy("a", "b").agg(F.sum("shared").alias("shared"))
 
 
+def _lacking(one: str, other: str):
+    """Three times the signatures that two linked sets of these sizes have in common at least, the
+    prefix of ``one`` ending first.
+
+    With ``x`` tokens of ``one`` alone, ``y`` of ``other`` alone and ``c`` common rare tokens, more
+    than ``0.4 one - 2 x - y - 3 c`` signatures of neighbours are left beside these ``c``.
+    """
+    share = PERCENT / (100 + PERCENT)
+    return (3 * share - PERCENT / 50) * F.col(one) + (3 * share - 1) * F.col(other)
+
+
 def _hopeful(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Pairs whose common prefix tokens and the tokens behind the prefixes can reach the
-    threshold.  A pair signature of k frequent tokens counts as up to k + 1 tokens."""
+    """Pairs with enough common signatures for the threshold.  Where both prefixes are of rare
+    tokens, these and the tokens behind the prefixes have to reach it."""
     side = lambda s: sizes.select(F.col("key").alias(s), F.col("n").alias(f"n_{s}"), F.col("prefix").alias(f"prefix_{s}"))
     shared = pairs.join(side("a"), "a").join(side("b"), "b")
+    rare = lambda s: 100 * (F.col(f"prefix_{s}") - 1) <= (100 - PERCENT) * F.col(f"n_{s}")
     behind = F.greatest(F.col("n_a") - F.col("prefix_a"), F.col("n_b") - F.col("prefix_b"))
-    reach = F.least(F.col("shared") + 1 + behind, "n_a", "n_b")
+    reach = F.least(F.col("shared") + behind, "n_a", "n_b")
     needed = F.lit(PERCENT) * (F.col("n_a") + F.col("n_b"))
-    return shared.filter(_sized("n_a", "n_b") & ((100 + PERCENT) * reach >= needed)).select("a", "b")
+    enough = F.when(rare("a") & rare("b"), (100 + PERCENT) * reach >= needed).otherwise(
+        F.least(_lacking("n_a", "n_b"), _lacking("n_b", "n_a")) <= 3 * F.col("shared"))
+    return shared.filter(_sized("n_a", "n_b") & enough).select("a", "b")
 
 
 def _folded(bits: np.ndarray, words: int) -> np.ndarray:
@@ -451,13 +467,6 @@ def _reachable(low: str, high: str):
     return 100 * F.col(high) >= PERCENT * F.col(low)
 
 
-def _lacking(low: str, high: str):
-    """100 times the prefix tokens that sets of at least ``low`` and at most ``high`` tokens must
-    have in common: their share of both sizes, less what lies behind the larger one's prefix."""
-    share = PERCENT * 100 / (100 + PERCENT)
-    return share * (F.col(low) + F.col(high)) - PERCENT * F.greatest(low, high)
-
-
 def linked_texts(documents: DataFrame, n: int = 5) -> tuple[DataFrame, DataFrame]:
     """Facts of every text, and ``key, label``: which texts hang together by links.
 
@@ -515,7 +524,7 @@ def linked_texts(documents: DataFrame, n: int = 5) -> tuple[DataFrame, DataFrame
         "signature", F.col("centre").alias("name"), "strong", F.coalesce("wide", F.lit(False)).alias("marked"), F.lit(0).cast("long").alias("n"), F.lit(None).cast("binary").alias("sketch"))
     near = cut_lineage(_pairs(balls, width).join(side("a"), "a").join(side("b"), "b").filter("radius_a + radius_b > 0").filter(
         _reachable("low_a", "high_b") & _reachable("low_b", "high_a")).filter(
-        F.least(_lacking("low_a", "high_b"), _lacking("low_b", "high_a")) <= 100 * (F.col("shared") + 1)).select("a", "b", (F.col("radius_a") + F.col("radius_b")).alias("slack")))
+        F.least(_lacking("high_a", "low_b"), _lacking("high_b", "low_a")) <= 3 * F.col("shared")).select("a", "b", (F.col("radius_a") + F.col("radius_b")).alias("slack")))
     known = first.select("a", "b", "linked", "distance")
     measured = compared(near.join(known, ["a", "b"], "left_anti"), texts, n).select("a", "b", "linked", "distance").unionByName(known)
     close = cut_lineage(near.join(measured, ["a", "b"]).filter(~F.col("linked") & (F.col("distance") <= F.lit(1 - PERCENT / 100 + 1e-9) + F.col("slack"))).select("a", "b", "distance"))

@@ -112,6 +112,28 @@ def test_jaccard_balls_in_many_blocks(docs, rows, monkeypatch):
     assert Counter(map(tuple, jaccard.jaccard_components(docs).collect())) == components_of(rows)
 
 
+@pytest.mark.parametrize("share", [1.0, 0.95, 0.85])
+def test_signatures_grow_with_the_set_and_find_every_link(share):
+    rng = np.random.default_rng(3)
+    often = 0
+    for n in [4, 5, 6, 9, 10, 11, 50, 2000] * 25:
+        pool = np.unique(rng.integers(0, 2**63, 2 * n + 10, dtype=np.uint64))
+        frequent = pool[rng.random(len(pool)) < share] >> np.uint64(24)
+        order = rng.permutation(pool)
+        one = np.sort(order[:n])
+        gone = int(rng.integers(0, n // 5 + 1))
+        new = (20 * n - 100 * gone) // 80
+        other = np.sort(np.concatenate((rng.permutation(one)[gone:], order[n : n + new])))
+        common = len(np.intersect1d(one, other))
+        assert 100 * common >= 80 * (len(one) + len(other) - common)
+        found = [jaccard.signatures(x, frequent) for x in (one, other)]
+        assert len(np.intersect1d(found[0][0], found[1][0]))
+        for x, (signature, prefix) in zip((one, other), found):
+            assert len(signature) <= prefix <= len(x)
+            often += prefix > len(x) // 5 + 1
+    assert often > 20
+
+
 @pytest.mark.parametrize("bits", [None, jaccard.SKETCH_BITS])
 def test_parity_never_exceeds_the_difference(bits):
     draw = np.random.default_rng(7)
