@@ -7,11 +7,14 @@ by it, vectors are summed in a tree, and a second pass aligns again and looks co
 No text is shuffled, and what reaches the driver is as long as the vocabularies allow.
 
 Both tokenizers begin a token at a blank between two other characters.  So a text is cut
-there into units, which align by themselves, and a task tokenises each different unit once.
+there into units, which align by themselves, and a worker tokenises each different unit once,
+for both passes and for as many tasks as it runs, within bounds.
+For the byte-level side many units are one text of its tokenizer, cut again where units end.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 import re
@@ -28,8 +31,10 @@ from shelfspan.llm.words import chunks, mixed, shuffle_width
 
 #: Numbers of a dense vector in one row, and first-level sums of the tree per slice.
 SLICE, NODES = 1 << 16, 64
-#: Units that a task remembers; beyond that it begins anew, which changes no result.
-MOST_UNITS = 600_000
+#: Units and their characters that a worker remembers; beyond that it begins anew, which changes no result.
+MOST_UNITS, MOST_CHARACTERS = 1_000_000, 1 << 25
+#: Units that the byte-level tokenizer gets as one text.
+JOINED = 500
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _U = np.uint64
 
@@ -124,8 +129,11 @@ class Aligner:
 
     def __init__(self, a_json: str, b_model: bytes):
         self.a_json, self.b_model = a_json, b_model
+        self.name = hashlib.sha256(a_json.encode() + b"\0" + b_model).hexdigest()
         self.entries = a, b = byte_level_entries(a_json), piece_entries(b_model)
         self.lengths = [np.array([len(e) for e in side], np.int64) for side in self.entries]
+        self.starts = [np.cumsum(n) - n for n in self.lengths]
+        self.pools = [np.frombuffer(b"".join(side), np.uint8) for side in self.entries]
         assert all(n.min(initial=1) > 0 for n in self.lengths)
         self.hash = PerfectHash(possible_pairs(a, b))
         #: A piece that goes on behind a blank would join two units: then a text is one unit.
@@ -148,28 +156,86 @@ class Aligner:
             return []
         return _CUT.split(text) if self.cuts else [text]
 
-    def tokenised(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of both sides per text or unit; none where a side does not spell it."""
-        spaced = [" " + t for t in texts]
-        a = [e.ids for e in self.first.encode_batch_fast(spaced, add_special_tokens=False)]
-        b = self.second.encode(texts, num_threads=1) if texts else []
-        spell_a, spell_b = (side.__getitem__ for side in self.entries)
-        for i, (text, x, y) in enumerate(zip(spaced, a, b)):
-            want = text.encode()
-            if b"".join(map(spell_a, x)) != want or b"".join(map(spell_b, y)) != want:
-                a[i] = b[i] = []
-        return a, b
+    def spelled(self, side: int, ids: np.ndarray) -> np.ndarray:
+        """Bytes of some tokens, one after the other."""
+        length = self.lengths[side][ids]
+        at = np.repeat(self.starts[side][ids] - np.cumsum(length) + length, length) + np.arange(length.sum())
+        return self.pools[side][at]
+
+    def _first_ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.first.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+
+    def _joined(self, texts: list[str]) -> list[str]:
+        """``texts`` in order, runs of them joined by a blank where both sides begin a token there."""
+        if not self.cuts:
+            return texts
+        out, run = [], []
+        for text in texts:
+            bare = text and not text[0].isspace() and not text[-1].isspace()
+            if run and (not bare or len(run) == JOINED):
+                out.append(" ".join(run))
+                run = []
+            if bare:
+                run.append(text)
+            else:
+                out.append(text)
+        return [*out, " ".join(run)] if run else out
+
+    def _same(self, side: int, ids: np.ndarray, sizes: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Which texts the tokens of ``side`` spell byte by byte."""
+        so_far, last = np.concatenate(([0], np.cumsum(self.lengths[side][ids]))), np.cumsum(sizes)
+        want = np.diff(offsets)
+        same = so_far[last] - so_far[last - sizes] == want
+        told, bytes_ = self.spelled(side, ids[np.repeat(same, sizes)]), data[np.repeat(same, want)]
+        ends = np.cumsum(want[same])
+        same[np.flatnonzero(same)[np.searchsorted(ends, np.flatnonzero(told != bytes_), "right")]] = False
+        return same
+
+    def tokenised(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all texts or units and how many each has, for both sides; none where a side does not spell it."""
+        spaced = pa.array([" " + t for t in texts], pa.large_string())
+        offsets = np.frombuffer(spaced.buffers()[1], np.int64)[: len(texts) + 1]
+        data = np.frombuffer(spaced.buffers()[2], np.uint8)[: offsets[-1]] if texts else np.zeros(0, np.uint8)
+        flat = lambda ids: np.fromiter(chain.from_iterable(ids), np.int64, sum(map(len, ids)))
+        a = flat(self._first_ids(self._joined(texts)))
+        ends = np.cumsum(self.lengths[0][a])
+        cut = np.searchsorted(ends, offsets[1:])
+        if len(texts) and (not len(ends) or ends[-1] != offsets[-1] or (ends[cut] != offsets[1:]).any()):
+            each = self._first_ids(texts)
+            a, sizes_a = flat(each), np.array([len(x) for x in each], np.int64)
+        else:
+            sizes_a = np.diff(cut + 1, prepend=0)
+        each = self.second.encode(texts, num_threads=1) if texts else []
+        b, sizes_b = flat(each), np.array([len(x) for x in each], np.int64)
+        same = self._same(0, a, sizes_a, data, offsets) & self._same(1, b, sizes_b, data, offsets)
+        return a[np.repeat(same, sizes_a)], np.where(same, sizes_a, 0), b[np.repeat(same, sizes_b)], np.where(same, sizes_b, 0)
+
+
+class Numbers(dict):
+    """A number per unit, in order of asking; ``fresh`` has the units that got one since it was emptied."""
+
+    def __init__(self):
+        self.fresh: list[str] = []
+
+    def __missing__(self, unit: str) -> int:
+        self[unit] = number = len(self)
+        self.fresh.append(unit)
+        return number
 
 
 class Known:
-    """What a task has aligned so far: a number per unit, and by that number what its alignment holds."""
+    """What a worker has aligned so far: a number per unit, and by that number what its alignment holds."""
 
-    def __init__(self, aligner: Aligner, listed: bool = True):
-        self.aligner, self.listed = aligner, listed
+    def __init__(self, aligner: Aligner):
+        self.aligner = aligner
         self.clear()
 
+    @property
+    def full(self) -> bool:
+        return len(self.number) > MOST_UNITS or self.characters > MOST_CHARACTERS
+
     def clear(self) -> None:
-        self.number: dict[str, int] = {}
+        self.number, self.characters = Numbers(), 0
         self.n_a = self.n_b = self.first_link = np.zeros(0, np.int64)
         self.places, self.groups = np.zeros(0, np.int64), []
 
@@ -177,35 +243,34 @@ class Known:
         chunk = Chunk(self.aligner, *self.aligner.tokenised(units))
         place = self.aligner.hash.places(chunk.code)
         assert (place >= 0).all()
-        self.number.update(zip(units, range(len(self.number), len(self.number) + len(units))))
         before = np.concatenate(([0], np.cumsum(chunk.per_text(np.diff(chunk.bounds)))[:-1])) + len(self.places)
         self.first_link = np.concatenate((self.first_link, before[: len(units)]))
         self.n_a = np.concatenate((self.n_a, chunk.per_text(chunk.sizes[0])))
         self.n_b = np.concatenate((self.n_b, chunk.per_text(chunk.sizes[1])))
         self.places = np.concatenate((self.places, place))
-        if self.listed:
-            self.groups += chunk.groups()
+        self.groups += chunk.groups()
+        self.characters += sum(map(len, units))
+
+    def numbered(self, units: list[list[str]]) -> list[np.ndarray]:
+        """The numbers of each list's units; new ones are aligned first."""
+        size = [len(some) for some in units]
+        flat = np.fromiter(map(self.number.__getitem__, chain.from_iterable(units)), np.int64, sum(size))
+        if self.number.fresh:
+            self.add(self.number.fresh)
+            self.number.fresh = []
+        return np.split(flat, np.cumsum(size)[:-1]) if units else []
 
     def texts(self, texts: list[str | None]) -> list[np.ndarray]:
         """The numbers of each text's units, none for a text that one of the tokenizers changes.
 
         Where a unit is changed, the text as a whole decides.
         """
-        if len(self.number) > MOST_UNITS:
+        if self.full:
             self.clear()
-        units = [self.aligner.units(t) for t in texts]
-        for asked in (units, None):
-            if asked is None:
-                changed = [i for i, n in enumerate(numbers) if len(n) and not self.n_a[n].all()]
-                asked = [[texts[i]] for i in changed]
-            fresh = [u for u in dict.fromkeys(chain.from_iterable(asked)) if u not in self.number]
-            if fresh:
-                self.add(fresh)
-            if asked is units:
-                numbers = [np.fromiter(map(self.number.__getitem__, some), np.int64, len(some)) for some in units]
-        for i, (whole,) in zip(changed, asked):
-            number = self.number[whole]
-            numbers[i] = np.array([number] if self.n_a[number] else [], np.int64)
+        numbers = self.numbered([self.aligner.units(t) for t in texts])
+        changed = [i for i, n in enumerate(numbers) if len(n) and not self.n_a[n].all()]
+        for i, whole in zip(changed, self.numbered([[texts[i]] for i in changed])):
+            numbers[i] = whole if self.n_a[whole].all() else whole[:0]
         return numbers
 
     def links(self, numbers: np.ndarray) -> np.ndarray:
@@ -219,11 +284,11 @@ class Chunk:
     Every text ends a token on both sides, so groups never reach into the next text.
     """
 
-    def __init__(self, aligner: Aligner, a: list[list[int]], b: list[list[int]]):
-        self.texts = len(a)
-        self.place = np.flatnonzero([len(x) for x in a])
-        self.sizes = [np.array([len(ids[i]) for i in self.place], np.int64) for ids in (a, b)]
-        self.ids = [np.array(list(chain.from_iterable(ids)), np.int64) for ids in (a, b)]
+    def __init__(self, aligner: Aligner, a: np.ndarray, sizes_a: np.ndarray, b: np.ndarray, sizes_b: np.ndarray):
+        self.texts = len(sizes_a)
+        self.place = np.flatnonzero(sizes_a)
+        self.sizes = [sizes_a[self.place], sizes_b[self.place]]
+        self.ids = [a, b]
         ends = [np.cumsum(length[ids]) for length, ids in zip(aligner.lengths, self.ids)]
         meets = np.searchsorted(ends[1], ends[0])
         hit = ends[1][meets] == ends[0] if len(meets) else np.zeros(0, bool)
@@ -263,20 +328,31 @@ class Chunk:
         return out
 
 
+#: A worker process runs task after task; what it has aligned stays, for one pair of tokenizers.
+_KNOWN: dict[str, Known] = {}
+
+
+def _known(aligner: Aligner) -> Known:
+    if aligner.name not in _KNOWN:
+        _KNOWN.clear()
+        _KNOWN[aligner.name] = Known(aligner.open())
+    return _KNOWN[aligner.name]
+
+
 def _counted(aligner: Aligner):
     """How often a task's texts hold each pair, as slices of one dense vector."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, total, times = Known(aligner.open(), listed=False), np.zeros(len(aligner.hash), np.int64), np.zeros(0, np.int64)
+        known, total, times = _known(aligner), np.zeros(len(aligner.hash), np.int64), np.zeros(0, np.int64)
 
         def settled() -> np.ndarray:
             """What the units seen so far add, each as often as texts hold it."""
             links = known.links(np.arange(len(times)))
-            return np.bincount(known.places, np.repeat(times, links), len(total)).astype(np.int64)
+            return np.bincount(known.places[: links.sum()], np.repeat(times, links), len(total)).astype(np.int64)
 
         for batch in batches:
             for low, high, _, _ in chunks(batch.column("text")):
-                if len(known.number) > MOST_UNITS:
+                if known.full:
                     total, times = total + settled(), np.zeros(0, np.int64)
                 numbers = known.texts(batch.column("text").slice(low, high - low).to_pylist())
                 seen = np.bincount(np.concatenate([np.zeros(0, np.int64), *numbers]), minlength=len(known.number))
@@ -332,23 +408,24 @@ def token_alignment(documents: DataFrame, a_json: str, b_model: bytes) -> DataFr
     best = counts == highest[b_of]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Known(aligner.open())
+        known, number = _known(aligner), None
         for batch in batches:
             for low, high, _, _ in chunks(batch.column("text")):
                 numbers = known.texts(batch.column("text").slice(low, high - low).to_pylist())
                 at, size = np.concatenate([np.zeros(0, np.int64), *numbers]), np.array([len(n) for n in numbers])
-                links = known.links(np.arange(len(known.number)))
+                if number is not known.number:
+                    number, facts = known.number, [np.zeros(0, np.int64)] * 3
+                fresh = known.links(np.arange(len(facts[0]), len(number)))
+                places = known.places[len(known.places) - fresh.sum() :]
+                more = [fresh, *[np.diff(np.concatenate(([0], np.cumsum(values[places], dtype=np.int64)))[np.concatenate(([0], np.cumsum(fresh)))]) for values in (best, counts)]]
+                facts = [np.concatenate(pair) for pair in zip(facts, more)]
 
                 def total(of_unit: np.ndarray, at=at, size=size) -> pa.Array:
                     so_far, end = np.concatenate(([0], np.cumsum(of_unit[at]))), np.cumsum(size)
                     return pa.array(so_far[end] - so_far[end - size])
 
-                def of_links(values: np.ndarray, links=links) -> np.ndarray:
-                    so_far, end = np.concatenate(([0], np.cumsum(values[known.places], dtype=np.int64))), np.cumsum(links)
-                    return so_far[end] - so_far[end - links]
-
-                linked = total(links)
-                told = [total(known.n_a), total(known.n_b), linked, linked, total(of_links(best)), total(of_links(counts))]
+                linked, *of_links = map(total, facts)
+                told = [total(known.n_a), total(known.n_b), linked, linked, *of_links]
                 groups = pa.array([";".join([known.groups[k] for k in n.tolist()]) for n in numbers], pa.large_string()).cast(pa.string())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(low, high - low), *told, groups],
                                                  ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups"])

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from parity.check import connect, difference
-from shelfspan.llm import centroids, queries
+from shelfspan.llm import alignment, centroids, queries
 from shelfspan.llm.alignment import Aligner, Chunk, PerfectHash, token_alignment
 from shelfspan.llm.language_id import PAD, Network, language_ids, pooled
 
@@ -117,6 +117,39 @@ def test_every_link_is_a_possible_pair():
     assert len(chunk.code) and (work.hash.places(chunk.code) >= 0).all()
 
 
+def test_units_are_joined_for_the_byte_level_side():
+    work = Aligner(A_JSON, B_MODEL).open()
+    texts = [f"word{i} x{i % 7}é" for i in range(300)] + [" led", "trailing ", "\n", "ﬁ"] + [f"more{i}" for i in range(300)]
+    asked, encode = [], work.first.encode_batch_fast
+
+    class Counting:
+        def encode_batch_fast(self, texts, **kw):
+            asked.extend(texts)
+            return encode(texts, **kw)
+
+    work.first = Counting()
+    a, sizes_a, b, sizes_b = work.tokenised(texts)
+    assert len(asked) < 10
+    ends = [np.cumsum(s) for s in (sizes_a, sizes_b)]
+    for i, text in enumerate(texts):
+        x, y = (ids[end[i] - s[i] : end[i]].tolist() for ids, s, end in ((a, sizes_a, ends[0]), (b, sizes_b, ends[1])))
+        want_a, want_b = encode([" " + text], add_special_tokens=False)[0].ids, work.second.encode(text)
+        told = b"".join(work.entries[0][k] for k in want_a) == b"".join(work.entries[1][k] for k in want_b) == (" " + text).encode()
+        assert (x, y) == ((want_a, want_b) if told else ([], []))
+
+
+@pytest.mark.parametrize("most", [0, 5, 1_000])
+def test_a_full_memory_begins_anew(monkeypatch, most):
+    texts = [t for t in ODD if t] * 2 + ["some more words", "words more some"]
+    plain = alignment.Known(Aligner(A_JSON, B_MODEL).open())
+    want = [";".join(plain.groups[k] for k in n) for n in plain.texts(texts)]
+    monkeypatch.setattr(alignment, "MOST_UNITS", most)
+    monkeypatch.setattr(alignment, "MOST_CHARACTERS", 10 * most)
+    known = alignment.Known(plain.aligner)
+    told = [";".join(known.groups[k] for k in n) for t in texts for n in known.texts([t])]
+    assert told == want and len(known.number) <= most + max(len(t) for t in texts)
+
+
 # Languages
 
 
