@@ -280,9 +280,11 @@ def _common(n: int):
 
 def among(documents: DataFrame, keys: DataFrame) -> DataFrame:
     """Documents whose ``key`` is among ``keys``, and maybe some others: up to a bound on the
-    number of keys by a bit filter of fixed size, beyond it by a join."""
-    if keys.count() * 8 > FILTER_BITS:
-        return documents.join(keys.select("key").distinct(), "key", "left_semi")
+    number of keys by a bit filter of fixed size, beyond it by a join.  Keys may repeat; they are
+    counted apart only where their rows pass the bound."""
+    keys = keys.select("key")
+    if keys.count() * 8 > FILTER_BITS and keys.distinct().count() * 8 > FILTER_BITS:
+        return documents.join(keys.distinct(), "key", "left_semi")
     spot = F.pmod(F.xxhash64("key"), F.lit(FILTER_BITS))
     bit = F.expr("shiftleft(1L, cast(_spot & 63 AS int))")
     bits = keys.select(spot.alias("_spot")).groupBy(F.expr("shiftright(_spot, 6)").alias("_word")).agg(F.bit_or(bit).alias("_bits"))
@@ -290,11 +292,15 @@ def among(documents: DataFrame, keys: DataFrame) -> DataFrame:
     return placed.join(F.broadcast(bits), "_word").filter("(shiftright(_bits, cast(_spot & 63 AS int)) & 1) = 1").drop("_spot", "_word", "_bits")
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    """``key``: both sides of pairs, as often as pairs have them."""
+    return pairs.select(F.explode(F.array("a", "b")).alias("key"))
+
+
 def compared(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
-    """``a, b, common, n_a, n_b, linked, distance`` of pairs of keys, from whole texts; written once."""
-    pairs = cut_lineage(pairs.select("a", "b").distinct())
-    keys = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-    held = among(texts.select("key", "text"), keys)
+    """``a, b, common, n_a, n_b, linked, distance`` of distinct pairs of keys, from whole texts; written once."""
+    pairs = cut_lineage(pairs.select("a", "b"))
+    held = among(texts.select("key", "text"), _ends(pairs))
     both = pairs.join(held.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b").join(held.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a")
     out = both.select("a", "b", "text_a", "text_b").mapInArrow(_common(n), "a long, b long, common long, n_a long, n_b long").dropDuplicates(["a", "b"])
     union = F.col("n_a") + F.col("n_b") - F.col("common")
@@ -455,10 +461,9 @@ def _alike(batches):
 
 
 def linkable_pairs(pairs: DataFrame, parities: DataFrame) -> DataFrame:
-    """``a, b``: the pairs that parities do not rule out."""
+    """``a, b``: the pairs that parities do not rule out, each once."""
     pairs = cut_lineage(pairs.select("a", "b").distinct())
-    keys = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-    held = among(parities, keys).dropDuplicates(["key"])
+    held = among(parities, _ends(pairs)).dropDuplicates(["key"])
     side = lambda s: held.select(*[F.col(c).alias(f"{c}_{s}" if c != "key" else s) for c in ("key", "n", "parity")])
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_alike, "a long, b long")
 
@@ -510,7 +515,7 @@ def linked_texts(documents: DataFrame, n: int = 5) -> tuple[DataFrame, DataFrame
 
     # Centres against centres, at the threshold itself.
     own = rows.filter("key = centre").select("signature", F.col("key").alias("name"), "strong", F.col("strong").alias("marked"), "n")
-    sketches = among(whole.select("key", "sketch"), own.select(F.col("name").alias("key")).distinct()).dropDuplicates(["key"])
+    sketches = among(whole.select("key", "sketch"), own.select(F.col("name").alias("key"))).dropDuplicates(["key"])
     own = own.join(sketches.withColumnRenamed("key", "name"), "name")
     first = compared(linkable_pairs(_hopeful(_pairs(own, width), sizes), parities), texts, n)
 
@@ -529,14 +534,14 @@ def linked_texts(documents: DataFrame, n: int = 5) -> tuple[DataFrame, DataFrame
     measured = compared(near.join(known, ["a", "b"], "left_anti"), texts, n).select("a", "b", "linked", "distance").unionByName(known)
     close = cut_lineage(near.join(measured, ["a", "b"]).filter(~F.col("linked") & (F.col("distance") <= F.lit(1 - PERCENT / 100 + 1e-9) + F.col("slack"))).select("a", "b", "distance"))
     members = rows.select("key", "centre", "n", "distance", "strong").distinct()
-    late = compared(across(close, members, parities, width), texts, n)
+    late = compared(across(close, members, parities, width).distinct(), texts, n)
 
     # What hangs together, among centres: members hang on theirs.
     edges = copies.select("a", "b").unionByName(again.select("a", "b")).unionByName(first.filter("linked").select("a", "b")).unionByName(late.filter("linked").select("a", "b"))
     of = lambda s: placed.select(F.col("key").alias(s), F.col("centre").alias(f"centre_{s}"))
     edges = cut_lineage(edges.join(of("a"), "a").join(of("b"), "b").filter("centre_a != centre_b").select(
         F.least("centre_a", "centre_b").alias("a"), F.greatest("centre_a", "centre_b").alias("b")).distinct())
-    labels = components(edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))), edges)
+    labels = components(_ends(edges).withColumnRenamed("key", "node"), edges)
     labels = placed.join(labels, placed["centre"] == labels["node"], "left").select(F.col("key").alias("node"), F.coalesce("label", "centre").alias("label"))
     member = facts.filter("n > 0").join(sets.select(F.col("key").alias("one"), *same), same)
     return facts, member.join(labels, member["one"] == labels["node"], "left").select("key", F.coalesce("label", "one").alias("label"))

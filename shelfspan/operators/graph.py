@@ -14,8 +14,8 @@ def components(nodes: DataFrame, edges: DataFrame, node: str = "node") -> DataFr
     Each round a label also jumps to the label of the node it names, so long chains close
     in a logarithmic number of rounds.  Lineage is cut once a round.
     """
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = cut_lineage(both)
+    ways = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = cut_lineage(edges.select(F.explode(ways).alias("way")).select("way.a", "way.b").distinct())
     labels = cut_lineage(nodes.select(F.col(node).alias("node"), F.col(node).alias("label")).distinct())
     if both.isEmpty():
         return labels

@@ -387,3 +387,28 @@ def test_pipeline_stages(spark, docs):
         assert out.count() <= docs.count()
     kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, ROOT).collect()}
     assert {0, 1, 2} <= kept and 26 not in kept and corpus_pipeline.run(spark, ROOT).filter(F.col("taken") > 2 * F.col("size")).isEmpty()
+
+
+def test_pairs_are_compared_in_few_stages(spark):
+    """Keys of pairs are counted and filtered as they are: nothing is shuffled to make them distinct."""
+    texts = spark.createDataFrame([(k, f"a b c d e f g h {'x' if k < 3 else k}") for k in (1, 2, 3, 4)], "key long, text string")
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (2, 4)], "a long, b long")
+    spark.sparkContext.setJobGroup("pairs", "pairs")
+    try:
+        found = {(r.a, r.b): (r.common, r.n_a, r.n_b, r.linked) for r in jaccard.compared(pairs, texts, 5).collect()}
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    tracker = spark.sparkContext.statusTracker()
+    stages = {s for j in tracker.getJobIdsForGroup("pairs") for s in tracker.getJobInfo(j).stageIds}
+    assert found == {(1, 2): (5, 5, 5, True), (1, 3): (4, 5, 5, False), (2, 4): (4, 5, 5, False)}
+    assert len(stages) <= 22
+
+
+def test_keys_may_repeat_where_documents_are_picked(spark, monkeypatch):
+    docs = spark.range(100).select(F.col("id").alias("key"), F.lit("t").alias("text"))
+    keys = spark.createDataFrame([(k,) for k in (3, 3, 3, 5, 5)], "key long")
+    for bits in (1 << 25, 1 << 5, 8):  # the filter; the filter after all, as the distinct keys are few; the join
+        monkeypatch.setattr(jaccard, "FILTER_BITS", bits)
+        got = [r.key for r in jaccard.among(docs, keys).collect()]
+        assert {3, 5} <= set(got) and len(got) == len(set(got))
+    assert set(got) == {3, 5}
