@@ -198,7 +198,10 @@ def _tokens(n: int):
     def make(batch):
         keys = batch.column("key").to_numpy()
         for low, high, begin, value in _sets(batch.column("text"), n):
-            text, token, _ = grouped(np.repeat(np.arange(high - low), np.diff(begin)), value & np.uint64(0xFFFFFFFFFF000000))
+            text, token = np.repeat(np.arange(high - low), np.diff(begin)), value & np.uint64(0xFFFFFFFFFF000000)
+            new = np.ones(len(token), bool)
+            new[1:] = (token[1:] != token[:-1]) | (text[1:] != text[:-1])
+            text, token = text[new], token[new]
             yield token, text, np.ones(len(text), np.int64), keys[low:high], None
 
     return make

@@ -46,6 +46,10 @@ def unpack_sorted(data: bytes) -> np.ndarray:
 def grouped(*columns: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
     """Distinct rows in ascending order of ``columns`` (first one first) and summed weights."""
     n = len(columns[0])
+    if len(columns) == 1 and weight is None:
+        value = np.sort(columns[0])
+        at = np.flatnonzero(np.concatenate((np.ones(min(n, 1), bool), value[1:] != value[:-1])))
+        return value[at], np.diff(np.append(at, n))
     order = np.lexsort(columns[::-1]) if len(columns) > 1 else np.argsort(columns[0], kind="stable")
     columns = tuple(c[order] for c in columns)
     new = np.ones(n, bool)

@@ -33,38 +33,57 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def _powers(n: int) -> np.ndarray:
-    base = np.full(n, _STEP, np.uint64)
-    return np.multiply.accumulate(base)
+def _powers(step: int, n: int) -> np.ndarray:
+    """``step`` to the powers 0, 1, ... modulo 2 ** 64."""
+    out = np.full(n, step, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
 
 
-_POW = _powers(256)
+#: Bytes that are hashed at a time: their numbers stay in a core's cache.
+_SPAN = 1 << 14
+_POW, _BACK = _powers(int(_STEP), 2 * _SPAN), _powers(pow(int(_STEP), -1, 1 << 64), 2 * _SPAN)
+
+
+def _word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Sum of each word's bytes as ``table`` has them, times powers of the step from its first byte on.
+
+    ``table`` has 0 for bytes between words.  Powers run on over a span, and a word's sum is taken
+    back by the power at its first byte.
+    """
+    global _POW, _BACK
+    out = np.zeros(len(start), np.uint64)
+    low = 0
+    while low < len(start):
+        begin = int(start[low])
+        high = int(np.searchsorted(start, begin + _SPAN))
+        wide = int(end[high - 1]) - begin
+        if wide > len(_POW):
+            _POW, _BACK = (_powers(int(x[1]), 2 * wide) for x in (_POW, _BACK))
+        each = table[data[begin : begin + wide]]
+        each *= _POW[:wide]
+        at = start[low:high] - begin
+        out[low:high] = np.add.reduceat(each, at) * _BACK[at]
+        low = high
+    return mixed(out * _STEP)
 
 
 class Words:
     """Words of some texts in order: owning text, hash, first byte and length in bytes."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, plain: bool = False):
-        global _POW
         inside = _PLAIN[data] if plain else ~_BLANK[data]
-        first = np.zeros(len(data) + 1, bool)
-        first[offsets[:-1]] = True
-        first = first[:-1]
-        if len(data):
-            first[1:] |= ~inside[:-1]
-            first[0] = True
-        at = np.flatnonzero(inside)
-        begins = np.flatnonzero(first[at])
+        edge = np.zeros(len(data) + 1, bool)
+        edge[offsets] = True
+        start, end = edge[:-1].copy(), edge[1:].copy()
+        start[1:] |= ~inside[:-1]
+        end[:-1] |= ~inside[1:]
         self.data = data
-        self.length = np.diff(np.append(begins, len(at)))
-        self.start = at[begins]
-        self.text = (np.searchsorted(offsets, self.start, "right") - 1).astype(np.int64)
-        longest = int(self.length.max(initial=0))
-        if longest > len(_POW):
-            _POW = _powers(2 * longest)
-        inner = np.arange(len(at)) - np.repeat(begins, self.length)
-        each = (_LOWER if lower else _BYTE)[data[at]] * _POW[inner]
-        self.hash = mixed(np.add.reduceat(each, begins)) if len(begins) else np.zeros(0, np.uint64)
+        self.start = np.flatnonzero(inside & start)
+        end = np.flatnonzero(inside & end) + 1
+        self.length = end - self.start
+        self.text = np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(self.start, offsets)))
+        self.hash = _word_hashes(data, self.start, end, np.where(_PLAIN if plain else ~_BLANK, _LOWER if lower else _BYTE, _U(0)))
 
     def __len__(self) -> int:
         return len(self.hash)
@@ -129,8 +148,11 @@ def shingle_sets(w: Words, texts: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(short):
         extra = np.array([windows(w.hash[begin[t] : begin[t] + count[t]], int(count[t]))[0] for t in short], np.uint64)
         owner, value = np.concatenate((owner, short)), np.concatenate((value, extra ^ _U(0x5BD1E995)))
-    order = np.lexsort((value, owner))
-    owner, value = owner[order], value[order]
+        order = np.argsort(owner, kind="stable")
+        owner, value = owner[order], value[order]
+    edges = np.flatnonzero(np.diff(owner, prepend=-1, append=-1)).tolist()
+    for low, high in zip(edges[:-1], edges[1:]):
+        value[low:high].sort()
     keep = np.ones(len(owner), bool)
     keep[1:] = (owner[1:] != owner[:-1]) | (value[1:] != value[:-1])
     return owner[keep], value[keep]

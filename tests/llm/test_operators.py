@@ -4,10 +4,12 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -24,6 +26,7 @@ from shelfspan.llm.substrings import COVER, PERIOD, substring_dedup
 from shelfspan.llm.tokens import token_counts
 from shelfspan.llm.toxicity import Classifier, toxicity
 from shelfspan.llm.trie import EliasFano
+from shelfspan.llm.words import Words, chunks, mixed, shingle_sets
 
 ROOT = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -389,6 +392,36 @@ def test_pipeline_stages(spark, docs):
     assert {0, 1, 2} <= kept and 26 not in kept and corpus_pipeline.run(spark, ROOT).filter(F.col("taken") > 2 * F.col("size")).isEmpty()
 
 
+def test_words_take_little_memory_beside_their_text():
+    """Bytes are hashed a span at a time, so a text of many spans needs few bytes beside its own; hashes are those of each word alone."""
+    rng = np.random.default_rng(5)
+    some = [bytes(rng.integers(97, 123, n, dtype=np.uint8)) for n in (*rng.integers(10, 40, 500), 40_000, 1)]
+    data = np.frombuffer(b" ".join(some * 100), np.uint8)
+    offsets = np.array([0, len(data) // 2, len(data) // 2, len(data)])
+    Words(data, offsets)
+    tracemalloc.start()
+    w = Words(data, offsets)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12 * len(data)
+    step, byte = 0x9E3779B97F4A7C15, np.random.default_rng(20260701).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
+    for i in (0, 1, 499, 500, 501, 502, len(w) - 1):
+        plain = sum(int(byte[c]) * pow(step, k + 1, 1 << 64) for k, c in enumerate(w.word(i))) % (1 << 64)
+        assert w.hash[i] == mixed(np.array([plain], np.uint64))[0]
+
+
+def test_sets_of_short_and_long_texts_are_sorted_and_distinct():
+    texts = ["a b c d e f a b c d e f", "", "x", None, "a b", "A B C D E F", "é  ü\ta\nb c d"]
+    for low, high, data, offsets in chunks(pa.array(texts), 20):
+        w = Words(data, offsets, lower=True)
+        owner, value = shingle_sets(w, high - low, 5)
+        pairs = list(zip(owner.tolist(), value.tolist()))
+        assert pairs == sorted(set(pairs))
+        for i in range(high - low):
+            words = (texts[low + i] or "").lower().split()
+            assert (owner == i).sum() == len({tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else ())
+
+
 def test_pairs_are_compared_in_few_stages(spark):
     """Keys of pairs are counted and filtered as they are: nothing is shuffled to make them distinct."""
     texts = spark.createDataFrame([(k, f"a b c d e f g h {'x' if k < 3 else k}") for k in (1, 2, 3, 4)], "key long, text string")
