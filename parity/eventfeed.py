@@ -108,7 +108,7 @@ class EventFeed:
     def settled(self) -> EventFeed:
         """This feed with its walk written once, for queries that read several tables made of it."""
         if "_settled" not in self.__dict__:
-            walk = self.walk.select(*PAIR, "part", "date", "rcv", "dem", "stock", "sold", "lost", "inbound")
+            walk = self.walk.select(*PAIR, "user_id", "part", "date", "rcv", "dem", "stock", "sold", "lost", "inbound")
             # tables made of the unwritten walk are made again
             for made in ("inventory_daily", "shelf", "ledger", "ledger_with_inbound", "spells", "sales_pos"):
                 self.__dict__.pop(made, None)
